@@ -17,6 +17,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from .common import table, widened
 
@@ -198,12 +199,15 @@ def token_digests(docs: DataFrame, ranks_path: str, pattern: str) -> DataFrame:
                     back.append(hashlib.sha256(decode(np.frombuffer(ids, "<u4").tolist(), tokens.value)).hexdigest())
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(n, pa.int64()), pa.array(sha), pa.array(back)], names=["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
 
-    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")
 
 
-def op10_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+def public_vocabulary() -> tuple[str, str]:
+    """Path of the rank file and the pattern that the contract names."""
     import public_tokenizers
 
-    docs = table(spark, sf_dir, "documents")
-    docs = docs.withColumn("doc_id", docs["doc_id"].cast("long"))
-    return token_digests(docs, public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN)
+    return public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN
+
+
+def op10_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_digests(table(spark, sf_dir, "documents"), *public_vocabulary())

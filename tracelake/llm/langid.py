@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .bpe import load_ranks, slices
+from .bpe import load_ranks, public_vocabulary, slices
 from .common import remainder, table, widened
 
 DOCS_PER_LANG = 120
@@ -194,9 +194,7 @@ def predict(docs: DataFrame, sample: dict[str, list[str]], vocabulary: str) -> D
 
 
 def op1_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
-    import public_tokenizers
-
     docs = table(spark, sf_dir, "documents").withColumn("held_out", remainder(F.col("doc_id"), 4) == 2)
     sample = labelled_sample(docs.filter(~F.col("held_out")))
-    out = predict(docs.select("doc_id", "held_out", "text"), sample, public_tokenizers.path("byte_bpe_multi_50k.tiktoken"))
+    out = predict(docs.select("doc_id", "held_out", "text"), sample, public_vocabulary()[0])
     return out.select("doc_id", "held_out", "lang_pred", "score")

@@ -6,13 +6,16 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, chat, decontaminate, html_text, langid, lines, quality
+from . import bpe, chat, decontaminate, html_text, langid, lines, lm, neardup, quality, repeats
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_langid": langid.op1_langid,
         "op2_html": html_text.op2_html,
+        "op3_neardup": neardup.op3_neardup,
+        "op4_repeats": repeats.op4_repeats,
+        "op5_lm": lm.op5_lm,
         "op6_chat_format": chat.op6_chat_format,
         "op7_line_dedup": lines.op7_line_dedup,
         "op8_decontaminate": decontaminate.op8_decontaminate,
