@@ -7,7 +7,7 @@ region, where it is dense the longest common prefixes win, so the depth adapts t
 full sets of both texts, and links are joined to components.
 
 Two documents at similarity 0.8 miss each other in all trees with probability (1 - 0.8^3)^TREES. In a dense region a node sees
-`REACH` neighbours on each side in every tree; groups of close copies are connected through these. Between rounds components
+`REACH` neighbours on each side in every tree (`FIRST_REACH` in the first round); groups of close copies are connected through these. Between rounds components
 are known, and a further round takes as neighbours the nearest nodes of other components instead, until nothing new is linked,
 so a crowd of copies does not hide a neighbour behind it.
 
@@ -33,6 +33,8 @@ TREES = 24
 DEPTH = 6
 MIN_DEPTH = 3
 REACH = 8
+#: Neighbours in the first round, which only has to bring close copies together; later rounds look past them.
+FIRST_REACH = 2
 ROUNDS = 4
 MEMO_WORDS = 500_000
 _MULTIPLIERS = np.random.default_rng(20240229).integers(1, 2**63, TREES * DEPTH, np.int64).astype(np.uint64) * np.uint64(2) + np.uint64(1)
@@ -161,8 +163,8 @@ def near_duplicates(docs: DataFrame, shingle: int = 5, percent: int = 80, reach:
     nodes = stored(sigs.filter("set_key IS NOT NULL AND doc_id IS NOT NULL").groupBy("set_key").agg(F.min("doc_id").alias("id"), F.first("n_shingles").alias("n"), F.first("sig").alias("sig")), "nodes")
     label = nodes.withColumn("component", F.col("id"))
     links = tried = None
-    for _ in range(rounds):
-        pairs = tree_neighbours(label, percent, reach)
+    for k in range(rounds):
+        pairs = tree_neighbours(label, percent, reach if k else min(FIRST_REACH, reach))
         if tried is not None:
             pairs = pairs.join(tried, ["a", "b"], "left_anti")
         pairs = stored(pairs, "pairs")
@@ -170,8 +172,10 @@ def near_duplicates(docs: DataFrame, shingle: int = 5, percent: int = 80, reach:
         found = new.count()
         links = new if links is None else links.unionByName(new)
         tried = pairs if tried is None else tried.unionByName(pairs)
-        if not found:
+        if not found and k:
             break
+        if not found:
+            continue
         comps = stored(connected_components(links), "components")
         label = nodes.join(comps, "id", "left").withColumn("component", F.coalesce("component", "id"))
     names = label.select("set_key", "component")
