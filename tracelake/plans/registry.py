@@ -5,11 +5,76 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from ..functions.text import conversation_scores
+from ..operators import commands, documents, ledger, ranges, trace, vectors
+from .sql import SQL
+
+#: What each query reads, how the table is prepared, and the operator.
+_QUERIES = {
+    "cut_summary": ("conversations", None, trace.cut_summary),
+    "trace_steps": ("conversations", None, lambda d: trace.steps(d).select("conv_id", "turn", "step", "is_task", "tail_lo")),
+    "chunk_other": ("conversations", None, lambda d: trace.chunks(d).select("conv_id", "gi", "turn", "step", "kind", "win", "tokens", F.sha2("text", 256).alias("sha"))),
+    "chunk_checksum": ("conversations", trace.chunks, trace.checksum),
+    "stub_score": ("conversations", None, conversation_scores),
+    "budget_cut": ("conversations", None, lambda d: trace.threshold_cut(d, 700_000).select("conv_id", "gi", "score_q", "tokens", "run_tokens")),
+    "internal_mass": ("conversations", None, trace.mass),
+    "struct_features": ("conversations", trace.chunks, trace.struct_features),
+    "struct_causal": ("conversations", trace.chunks, trace.causal_features),
+    "budget_cum_tok": ("conversations", None, trace.budget),
+    "cut_by_role": ("conversations", None, trace.role_cuts),
+    "prefix_len": ("conversations", None, trace.prefix_lengths),
+    "dup_range": ("lineitem", ranges.derived_ranges, ranges.range_duplicates),
+    "supersession_edges": ("lineitem", ranges.derived_ranges, lambda d: ranges.supersession(d).groupBy("conv").agg(F.count("*").alias("edges"), F.sum("src").alias("src"), F.sum("dst").alias("dst"))),
+    "rereq_base": ("lineitem", ranges.derived_ranges, ranges.rerequests),
+    "rereq_events": ("lineitem", ranges.derived_ranges, ranges.rerequest_counts),
+    "merge_ranges": ("lineitem", ranges.derived_ranges, ranges.merge_ranges),
+    "neighbour_chains": ("lineitem", ranges.derived_ranges, ranges.chains),
+    "tool_prune": ("lineitem", ranges.derived_ranges, ranges.prune),
+    "ledger_totals": ("events", ledger.derived_ledger, ledger.totals),
+    "ledger_by_model": ("events", ledger.derived_ledger, ledger.by_model),
+    "ledger_by_tool": ("events", ledger.derived_ledger, ledger.by_tool),
+    "session_saved": ("events", ledger.derived_ledger, ledger.by_session),
+    "savings_report": ("events", ledger.derived_ledger, ledger.report),
+    "billed_so_far": ("events", ledger.derived_ledger, ledger.billed_so_far),
+    "inspector_ring": ("events", ledger.derived_ledger, ledger.latest_per_session),
+    "evict_ttl": ("events", ledger.derived_ledger, ledger.evict),
+    "loop_feats": ("events", commands.derived_commands, commands.loop_shares),
+    "loop_breaker": ("events", commands.derived_commands, commands.loop_breaker),
+    "governor_latch": ("events", commands.derived_commands, commands.latches),
+    "rule_fires": ("events", commands.derived_commands, commands.first_fires),
+    "neighbors_topk": ("embeddings", None, lambda d: vectors.nearest(d).select("query", "rank", "neighbour", "score")),
+    "cost_median": ("embeddings", None, vectors.cost_median),
+    "splitlines": ("documents", None, documents.line_counts),
+    "window_rare": ("documents", None, documents.rare_tokens),
+    "dup_exact": ("documents", None, documents.exact_copies),
+    "url_paths": ("pages", None, documents.path_depths),
+}
+
+
+def _tau_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    d = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "lang", "n_chars")
+    y = spark.read.parquet(f"{sf_dir}/labels.parquet")
+    return d.join(y, "doc_id").select(F.col("lang").alias("kind"), F.col("doc_id").alias("id"), (F.col("doc_id") * 7919 % 1_000_000).alias("score"), F.col("quality").alias("needed"), F.floor(F.col("n_chars") / 4).cast("long").alias("tokens"))
+
+
+def _query(name: str) -> Callable[[SparkSession, str], DataFrame]:
+    table, prepare, operator = _QUERIES[name]
+
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        d = spark.read.parquet(f"{sf_dir}/{table}.parquet")
+        return operator(prepare(d) if prepare else d)
+
+    return run
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {}
+    out = {name: _query(name) for name in _QUERIES}
+    out["tau_quantile"] = lambda spark, sf_dir: ledger.tau_for_coverage(_tau_rows(spark, sf_dir), 0.9)
+    out["tau_report"] = lambda spark, sf_dir: ledger.tau_report(_tau_rows(spark, sf_dir), 500_000)
+    return out
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return dict(SQL)
