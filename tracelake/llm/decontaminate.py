@@ -140,7 +140,12 @@ def _find_hits_joined(docs: DataFrame, benchmark: DataFrame, width: int) -> Data
     b = b.select("_item", "_n", F.concat_ws(" ", F.slice("_w", F.col("_p"), F.col("_n"))).alias("_win"))
     sizes = b.select("_n").distinct().groupBy().agg(F.collect_set("_n")).first()[0]  # at most `width` values
     d = keyed.select("_row", _words_column(F.col("text")).alias("_w"))
-    parts = [d.filter(F.size("_w") >= n).select("_row", F.lit(n).alias("_n"), F.posexplode(F.transform(F.sequence(F.lit(1), F.size("_w") - n + 1), lambda p, n=n: F.concat_ws(" ", F.slice("_w", p, n)))).alias("_p", "_win")) for n in sizes]
+
+    def windows(n: int) -> DataFrame:
+        at = F.sequence(F.lit(1), F.size("_w") - n + 1)
+        return d.filter(F.size("_w") >= n).select("_row", F.lit(n).alias("_n"), F.posexplode(F.transform(at, lambda p: F.concat_ws(" ", F.slice("_w", p, n)))).alias("_p", "_win"))
+
+    parts = [windows(n) for n in sizes]
     if not parts:
         return keyed.select("*", F.size(_words_column(F.col("text"))).cast("long").alias("n_words"), F.lit(0).cast("long").alias("n_hit"), F.array().cast("array<string>").alias("item_ids"), F.array().cast("array<struct<start:int,end:int>>").alias("hit_runs")).drop("_row")
     wins = parts[0]
