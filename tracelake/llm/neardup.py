@@ -8,8 +8,10 @@ full sets of both texts, and links are joined to components.
 
 Two documents at similarity 0.8 miss each other in all trees with probability (1 - 0.8^3)^TREES. In a dense region a node sees
 `REACH` neighbours on each side in every tree (`FIRST_REACH` in the first round); groups of close copies are connected through these. Between rounds components
-are known, and a further round takes as neighbours the nearest nodes of other components instead, until nothing new is linked,
-so a crowd of copies does not hide a neighbour behind it.
+are known, and a further round takes as neighbours the nearest nodes of other components instead, until nothing new is linked
+or `ROUNDS` rounds are over, so a crowd of copies does not hide a neighbour behind it. Two limits of this search remain: links
+that only a later round would find are missed, and a partition's first node does not see the end of the partition before it, so
+neighbours parted there must meet in another tree. The probability above holds where regions are smaller than the reach.
 
 Defined results: null, empty or wordless text has an empty set, is linked with nothing and kept; a text with fewer words than
 a shingle is one shingle; rows of equal doc_id are one document as a name, null doc_ids name no component (component null
