@@ -133,6 +133,31 @@ def test_neardup(docs, size):
         assert (r.n_shingles, r.component_id, r.kept) == (len(sets[r.doc_id]), up[r.doc_id], up[r.doc_id] == r.doc_id)
 
 
+@pytest.mark.parametrize("reach", [1, neardup.REACH])
+def test_neardup_crowd(spark, reach):
+    """One family of texts whose similarities lie around the threshold, and a crowd of close copies: nothing hides behind the reach."""
+    rng = random.Random(11)
+    rows = []
+    for family, most in ((0, 2), (1, 9), (2, 14)):
+        base = [rng.choice(WORDS) for _ in range(110)]
+        for _ in range(50):
+            w = list(base)
+            for _ in range(rng.randrange(1, most)):
+                w[rng.randrange(len(w))] = f"n{rng.randrange(10**6)}"
+            rows.append((len(rows), " ".join(w)))
+    sets = [set(zip(t.split(), t.split()[1:])) for _, t in rows]
+    root = list(range(len(rows)))
+    find = lambda i: i if root[i] == i else find(root[i])
+    for i, j in itertools.combinations(range(len(rows)), 2):
+        common = len(sets[i] & sets[j])
+        if 100 * common >= 80 * (len(sets[i]) + len(sets[j]) - common):
+            a, b = sorted((find(i), find(j)))
+            root[b] = a
+    assert len({find(i) for i in root}) > 20
+    got = neardup.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"), shingle=2, reach=reach)
+    assert {r.doc_id: r.component_id for r in got.collect()} == {i: find(i) for i in range(len(rows))}
+
+
 def test_neardup_edges(spark, docs, empty):
     assert neardup.near_duplicates(empty).count() == 0
     left = neardup.keep_one(docs)

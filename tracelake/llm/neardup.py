@@ -6,12 +6,13 @@ neighbours with at least `MIN_DEPTH` leading min-hashes in common: where a regio
 region, where it is dense the longest common prefixes win, so the depth adapts to the region. Candidates are confirmed on the
 full sets of both texts, and links are joined to components.
 
-Two documents at similarity 0.8 miss each other in all trees with probability (1 - 0.8^3)^TREES. In a dense region a node sees
-`REACH` neighbours on each side in every tree (`FIRST_REACH` in the first round); groups of close copies are connected through these. Between rounds components
-are known, and a further round takes as neighbours the nearest nodes of other components instead, until nothing new is linked
-or `ROUNDS` rounds are over, so a crowd of copies does not hide a neighbour behind it. Two limits of this search remain: links
-that only a later round would find are missed, and a partition's first node does not see the end of the partition before it, so
-neighbours parted there must meet in another tree. The probability above holds where regions are smaller than the reach.
+Two documents at similarity 0.8 share a region in no tree with probability (1 - 0.8^MIN_DEPTH)^TREES. What shares a region is
+not lost in a crowd: the first sweep sees every pair of a region of up to FIRST_REACH + 2 nodes and the nearest neighbours in
+larger ones, the second sweep the nearest nodes of other components. Nodes of larger regions that still hold several components
+then meet in an exact search, a join on each set's rarest shingles (a set of n shingles can only be similar to one that shares
+one of its n - ceil(0.8 n) + 1 rarest), for pairs of different components alone. So the two sweeps have a reach but the search
+as a whole has none. A partition's first node does not see the end of the partition before it: a pair parted there in one tree
+meets in the others.
 
 Defined results: null, empty or wordless text has an empty set, is linked with nothing and kept; a text with fewer words than
 a shingle is one shingle; rows of equal doc_id are one document as a name, null doc_ids name no component (component null
@@ -25,7 +26,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .common import stored, table
@@ -35,9 +36,8 @@ TREES = 24
 DEPTH = 6
 MIN_DEPTH = 3
 REACH = 8
-#: Neighbours in the first round, which only has to bring close copies together; later rounds look past them.
+#: Neighbours in the first sweep, which has to bring close copies together; the second looks past them.
 FIRST_REACH = 2
-ROUNDS = 4
 MEMO_WORDS = 500_000
 _MULTIPLIERS = np.random.default_rng(20240229).integers(1, 2**63, TREES * DEPTH, np.int64).astype(np.uint64) * np.uint64(2) + np.uint64(1)
 
@@ -159,29 +159,63 @@ def confirmed(pairs: DataFrame, docs: DataFrame, shingle: int, percent: int) ->
     return both.mapInArrow(run, "a long, b long")
 
 
-def near_duplicates(docs: DataFrame, shingle: int = 5, percent: int = 80, reach: int = REACH, rounds: int = ROUNDS) -> DataFrame:
+def crowded_pairs(nodes: DataFrame, docs: DataFrame, shingle: int, percent: int, size: int) -> DataFrame:
+    """Pairs (a, b), a < b, of different components that can reach the similarity, among the nodes of regions of over `size` nodes.
+
+    Only regions with several components count. Sets are held against each other by their rarest shingles; lists of one
+    component are dropped before the join.
+    """
+    width, lead = DEPTH * 4, MIN_DEPTH * 4
+    rows = nodes.select("id", "component", "set_key", F.posexplode(F.array(*[F.substring("sig", t * width + 1, lead) for t in range(TREES)])).alias("tree", "region"))
+    mixed = F.min("component") < F.max("component")
+    dense = rows.groupBy("tree", "region").agg(F.count("*").alias("size"), mixed.alias("mixed")).filter((F.col("size") > size) & F.col("mixed"))
+    crowd = stored(rows.join(dense.select("tree", "region"), ["tree", "region"], "left_semi").select("id", "component", "set_key").distinct(), "crowd")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        shingler = Shingler(shingle)
+        for batch in batches:
+            for i, component, key, text in zip(*(batch.column(c).to_pylist() for c in ("id", "component", "set_key", "text"))):
+                found = shingler.set_of(text)
+                if hashlib.blake2b(found.tobytes(), digest_size=16).digest() != key:
+                    continue  # another text of the same doc_id
+                same = (int.from_bytes(key[:8], "big", signed=True), i, component, len(found))
+                yield pa.RecordBatch.from_arrays([*(pa.array(np.full(len(found), x, np.int64)) for x in same), pa.array(found.view(np.int64))], names=["node", "id", "component", "n", "h"])
+
+    texts = docs.filter("doc_id IS NOT NULL").select(F.col("doc_id").cast("long").alias("id"), F.col("text").cast("binary").alias("text"))
+    sets = stored(crowd.join(texts, "id").mapInArrow(run, "node long, id long, component long, n long, h long"), "crowd-sets")
+    # a shingle of one component alone sorts before the others by its count and is of no use for the join
+    lists = sets.groupBy("h").agg(F.count("*").alias("f"), mixed.alias("mixed"))
+    rank = F.dense_rank().over(Window.partitionBy("node").orderBy("f", "h"))  # dense: repeated rows count once
+    rarest = sets.join(lists, "h").withColumn("rank", rank).filter((F.col("rank") <= F.col("n") - F.ceil(F.col("n") * percent / 100) + 1) & F.col("mixed"))
+    rarest = stored(rarest.select("h", "id", "n", "component"), "rarest")
+    other = rarest.select("h", F.col("id").alias("b"), F.col("n").alias("m"), F.col("component").alias("other"))
+    near = (F.col("id") < F.col("b")) & (F.col("component") != F.col("other")) & (100 * F.least("n", "m") >= percent * F.greatest("n", "m"))
+    return rarest.join(other, "h").filter(near).select(F.col("id").alias("a"), "b").distinct()
+
+
+def joined(nodes: DataFrame, links: DataFrame) -> DataFrame:
+    """`nodes` with the components that `links` join made one; what is joined is components, so a group known already is one node."""
+    of = nodes.select("id", "component")
+    ends = links.join(of.withColumnsRenamed({"id": "a", "component": "ca"}), "a").join(of.withColumnsRenamed({"id": "b", "component": "cb"}), "b")
+    comps = connected_components(ends.select(F.col("ca").alias("a"), F.col("cb").alias("b")))
+    merged = comps.select(F.col("id").alias("component"), F.col("component").alias("merged"))
+    return stored(nodes.join(merged, "component", "left").withColumn("component", F.coalesce("merged", "component")).drop("merged"), "labels")
+
+
+def near_duplicates(docs: DataFrame, shingle: int = 5, percent: int = 80, reach: int = REACH) -> DataFrame:
     """(doc_id, n_shingles, component_id, kept) of each row of `docs`."""
     sigs = stored(signatures(docs, shingle), "signatures")
-    nodes = stored(sigs.filter("set_key IS NOT NULL AND doc_id IS NOT NULL").groupBy("set_key").agg(F.min("doc_id").alias("id"), F.first("n_shingles").alias("n"), F.first("sig").alias("sig")), "nodes")
-    label = nodes.withColumn("component", F.col("id"))
-    links = tried = None
-    for k in range(rounds):
-        pairs = tree_neighbours(label, percent, reach if k else min(FIRST_REACH, reach))
-        if tried is not None:
-            pairs = pairs.join(tried, ["a", "b"], "left_anti")
-        pairs = stored(pairs, "pairs")
-        new = stored(confirmed(pairs, docs, shingle, percent), "links")
-        found = new.count()
-        links = new if links is None else links.unionByName(new)
-        tried = pairs if tried is None else tried.unionByName(pairs)
-        if not found and k:
-            break
-        if not found:
-            continue
-        comps = stored(connected_components(links), "components")
-        label = nodes.join(comps, "id", "left").withColumn("component", F.coalesce("component", "id"))
-    names = label.select("set_key", "component")
-    out = sigs.select("doc_id", "n_shingles", "set_key").join(names, "set_key", "left")
+    nodes = sigs.filter("set_key IS NOT NULL AND doc_id IS NOT NULL").groupBy("set_key").agg(F.min("doc_id").alias("id"), F.first("n_shingles").alias("n"), F.first("sig").alias("sig"))
+    nodes = stored(nodes.withColumn("component", F.col("id")), "nodes")
+    first = min(FIRST_REACH, reach)
+    tried = stored(tree_neighbours(nodes, percent, first), "pairs")
+    nodes = joined(nodes, stored(confirmed(tried, docs, shingle, percent), "links"))
+    more = stored(tree_neighbours(nodes, percent, reach).join(tried, ["a", "b"], "left_anti"), "pairs")
+    nodes = joined(nodes, stored(confirmed(more, docs, shingle, percent), "links"))
+    tried = tried.unionByName(more)
+    rest = stored(crowded_pairs(nodes, docs, shingle, percent, first + 2).join(tried, ["a", "b"], "left_anti"), "pairs")
+    nodes = joined(nodes, stored(confirmed(rest, docs, shingle, percent), "links"))
+    out = sigs.select("doc_id", "n_shingles", "set_key").join(nodes.select("set_key", "component"), "set_key", "left")
     component = F.when(F.col("n_shingles") == 0, F.col("doc_id")).otherwise(F.col("component"))
     return out.select("doc_id", "n_shingles", component.alias("component_id")).withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)))
 
