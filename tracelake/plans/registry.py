@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.text import conversation_scores
-from ..operators import commands, documents, ledger, ranges, trace, vectors
+from ..operators import commands, documents, ledger, ranges, sessions, trace, vectors
 from .sql import SQL
 
 #: What each query reads, how the table is prepared, and the operator.
@@ -49,6 +49,18 @@ _QUERIES = {
     "splitlines": ("documents", None, documents.line_counts),
     "window_rare": ("documents", None, documents.rare_tokens),
     "dup_exact": ("documents", None, documents.exact_copies),
+    "message_diff": ("conversations", None, sessions.message_diff),
+    "last_views": ("conversations", None, sessions.last_views),
+    "step_nodes": ("conversations", trace.chunks, sessions.step_nodes),
+    "step_edges": ("conversations", trace.chunks, sessions.step_edges),
+    "edited_files": ("lineitem", ranges.derived_ranges, sessions.edited_files),
+    "file_hubs": ("lineitem", ranges.derived_ranges, sessions.file_hubs),
+    "first_seen": ("events", commands.derived_commands, sessions.first_seen),
+    "stop_blocks": ("events", commands.derived_commands, sessions.stop_blocks),
+    "reads_by_epoch": ("events", commands.derived_commands, sessions.reads_by_epoch),
+    "held_high": ("events", None, sessions.held_high),
+    "keep_sets": ("events", None, sessions.keep_sets),
+    "value_stats": ("events", None, sessions.value_stats),
     "url_paths": ("pages", None, documents.path_depths),
 }
 

@@ -89,4 +89,16 @@ SELECT conv_id, gi, round(ln(1 + CAST(obs AS DOUBLE)) / 8, 9) AS log_obs, round(
     "url_paths": "WITH s AS (SELECT page_id, list_filter(string_split(regexp_extract(url, '^[a-z]+://[^/]+(/[^?#]*)', 1), '/'), lambda x: x <> '') AS s FROM pages) SELECT page_id, CAST(len(s) AS BIGINT) AS depth, coalesce(s[len(s)], '') AS leaf FROM s",
     "tau_quantile": f"WITH {_TAU}, c AS (SELECT kind, score, row_number() OVER w AS rank, sum(tokens) OVER w AS cum, sum(tokens) OVER (PARTITION BY kind) AS total FROM t WHERE needed = 1 WINDOW w AS (PARTITION BY kind ORDER BY score DESC, id)), f AS (SELECT kind, coalesce(min(CASE WHEN cum >= CAST(0.9 AS DOUBLE) * total THEN rank END), max(rank)) AS rank, count(*) AS n FROM c GROUP BY 1) SELECT f.kind, c.score AS tau, f.n FROM f JOIN c ON c.kind = f.kind AND c.rank = f.rank",
     "tau_report": f"WITH {_TAU} SELECT CASE WHEN grouping(kind) = 1 THEN '(overall)' ELSE kind END AS kind, round(sum(CASE WHEN score < 500000 THEN tokens ELSE 0 END) / CAST(sum(tokens) AS DOUBLE), 9) AS cut, round(sum(CASE WHEN needed = 1 AND score >= 500000 THEN tokens ELSE 0 END) / CAST(nullif(sum(CASE WHEN needed = 1 THEN tokens ELSE 0 END), 0) AS DOUBLE), 9) AS needed_cov, count(*) AS n FROM t GROUP BY GROUPING SETS ((kind), ())",
+    "message_diff": "WITH m AS (SELECT conv_id, turn, role, coalesce(text, '') AS text FROM conversations), d AS (SELECT a.*, b.turn IS NULL OR a.role <> b.role OR a.text <> b.text AS changed, length(coalesce(b.text, '')) - length(a.text) AS g FROM m a LEFT JOIN m b ON b.conv_id = a.conv_id + 1 AND b.turn = a.turn) SELECT conv_id, count(*) AS messages, count(*) FILTER (changed) AS changed, CAST(sum(g) AS BIGINT) AS chars_gained, CAST(greatest(0, -sum(g)) AS BIGINT) AS chars_saved FROM d GROUP BY 1",
+    "last_views": "SELECT conv_id, turn, CAST(back AS INTEGER) AS back, sha256(substr(coalesce(text, ''), 1, 160)) AS view_sha FROM (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn DESC) AS back FROM conversations WHERE role = 'assistant') WHERE back <= 14",
+    "step_nodes": f"WITH {_CHUNKS} SELECT conv_id, step, count(*) AS n_chunks, CAST(sum(tokens) AS BIGINT) AS tokens, CAST(row_number() OVER (PARTITION BY conv_id ORDER BY step) - 1 AS BIGINT) AS node FROM chunks GROUP BY 1, 2",
+    "step_edges": f"WITH {_CHUNKS} SELECT conv_id, count(*) AS task_edges, count(DISTINCT step) - 1 AS step_edges FROM chunks GROUP BY 1",
+    "edited_files": f"WITH {_RANGES} SELECT conv, n_files, file AS top_file, n AS top_rows FROM (SELECT *, count(*) OVER (PARTITION BY conv) AS n_files, row_number() OVER (PARTITION BY conv ORDER BY n DESC, file DESC) AS k FROM (SELECT conv, file, count(*) AS n FROM r GROUP BY 1, 2)) WHERE k = 1",
+    "file_hubs": f"WITH {_RANGES} SELECT file, count(DISTINCT conv) AS n_conv, count(*) AS n_rows, CAST(sum(tokens) AS BIGINT) AS tokens FROM r GROUP BY 1",
+    "first_seen": f"WITH {_COMMANDS} SELECT session, cmd, min(seq) AS first_seq, CAST(row_number() OVER (PARTITION BY session ORDER BY min(seq)) AS BIGINT) AS pos FROM c GROUP BY 1, 2",
+    "stop_blocks": f"WITH {_COMMANDS} SELECT session, seq, CAST(nth AS INTEGER) AS nth FROM (SELECT *, row_number() OVER (PARTITION BY session ORDER BY seq) AS nth FROM c WHERE edit) WHERE nth <= 2",
+    "reads_by_epoch": f"WITH {_COMMANDS} SELECT session, epoch, count(*) AS n, count(DISTINCT cmd) AS n_cmd FROM (SELECT *, CAST(sum(CASE WHEN edit THEN 1 ELSE 0 END) OVER (PARTITION BY session ORDER BY seq) AS BIGINT) AS epoch FROM c) GROUP BY 1, 2",
+    "held_high": "SELECT user_id, event_id FROM (SELECT *, count(value) OVER w AS n, min(value) OVER w AS low FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts, event_id ROWS BETWEEN 2 PRECEDING AND CURRENT ROW)) WHERE n >= 3 AND low >= 50",
+    "keep_sets": "SELECT user_id, CAST(len(list_intersect(a, b)) AS BIGINT) AS both, CAST(len(list_distinct(list_concat(a, b))) AS BIGINT) AS either FROM (SELECT user_id, coalesce(list(DISTINCT event_type) FILTER (event_id % 2 = 1), []) AS a, coalesce(list(DISTINCT event_type) FILTER (event_id % 2 <> 1), []) AS b FROM events GROUP BY 1)",
+    "value_stats": "SELECT event_type, count(value) AS n, min(value) AS least, max(value) AS greatest FROM events GROUP BY 1",
 }
