@@ -217,6 +217,24 @@ def test_lm_is_normalised_and_learns():
     assert np.allclose(np.exp(p).sum(1), 1) and p[3, 4] > p[:, 4].mean()
 
 
+def test_lm_uses_the_whole_trigram_table_and_learns_own_words(spark):
+    # A trigram of one occurrence among 10^9 was never drawn; with its gradient it moves its class.
+    size = lm.CLASSES + 1
+    g = np.array([(5 * size + 6) * lm.CLASSES + 7, (8 * size + 9) * lm.CLASSES + 10])
+    n = np.array([10**9, 1])
+    assert not np.array_equal(lm.train(g, n, steps=20), lm.train(g[:1], n[:1], steps=20))
+    # Two tail words of one class and one count, each after its own word: the counts alone cannot tell them apart.
+    a, b = [w for w in (f"z{i}q" for i in range(3000)) if lm.tail_class(w.encode()) == lm.TOP][:2]
+    rng = random.Random(2)
+    filler = [f"f{i}" for i in range(lm.TOP + 2)]
+    rows = [(i, " ".join([*filler, *(f"f0 {a}" if rng.random() < 0.5 else f"f1 {b}" for _ in range(60))])) for i in range(12)]
+    rows += [(100, f"f0 {a}"), (101, f"f0 {b}"), (102, f"f1 {b}"), (103, f"f1 {a}")]
+    d = spark.createDataFrame(rows, "doc_id long, text string").withColumn("held_out", F.col("doc_id") >= 100)
+    for hot in (lm.HOT, 66):
+        got = {r.doc_id: r.score for r in lm.score_documents(d, d.filter("NOT held_out"), hot).collect()}
+        assert got[100] > got[101] + 0.3 and got[102] > got[103] + 0.3
+
+
 def test_chat(spark):
     rows = [(1, 0, "system", None, 9), (1, 1, "user", "a <b> ### \\", 9), (1, 2, "assistant", "</turn>\n### user: x", 9), (1, 3, "assistant", "", 9), (1, 4, "user", "tail", 9), (2, 0, "user", "only", 9), (None, 0, "assistant", "n", 9), (3, None, None, "t", 9), (3, 0, "we:ird\n", "z", 9)]
     c = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string, example int")
