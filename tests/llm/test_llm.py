@@ -306,6 +306,14 @@ def test_html(page, want):
     assert html_text.main_text(page) == want
 
 
+def test_html_stretches_cross_containers():
+    prose = [f"{c} " + "running words of the article " * 5 + c for c in "abcd"]
+    parts = "".join(f"<div><p>{x}</p></div>" for x in prose[:2]) + "<div>short</div>" + "".join(f"<section><p>{x}</p></section>" for x in prose[2:])
+    links = "<div>" + "".join(f"<p><a href=/{i}>a long headline of another page number {i} to click</a></p>" for i in range(40)) + "</div>"
+    assert html_text.main_text(f"<body>{links}{parts}{links}") == "\n\n".join([*prose[:2], "short", *prose[2:]])
+    assert html_text.main_text("<main>one</main><p>x</p><article>two</article>") == "one\n\ntwo"
+
+
 def test_html_table(spark):
     p = spark.createDataFrame([(1, "u", "<p>x</p>", 5), (2, None, None, 5)], "page_id long, url string, html string, text int")
     assert [(r.text, r.n_chars) for r in html_text.extract(p).orderBy("page_id").collect()] == [("x", 1), ("", 0)]

@@ -1,10 +1,11 @@
 """Main text of web pages by line-block distribution.
 
 Markup is stripped to lines, one per block element, each with the part of the page that it stands in: the outermost article or
-main element, else the topmost container below body. Boilerplate elements (by tag, role, or a word of class or id) leave
-nothing. Parts are set apart by as many empty lines as the window is long. Over the lines a sliding window sums text lengths; a
-stretch begins where the sum surges above nothing and ends where it dives to nothing. The stretch with most text is the main
-text, among those of article or main elements if any has text; further stretches of the same part belong to it.
+main element, else the topmost container below body. Boilerplate elements (by tag, role, or a word of class or id)
+leave nothing. If article or main elements have text, all of it is the main text. Else a sliding window sums text lengths without
+links over the lines of the whole page, with empty lines between parts so that no window holds lines of two. A stretch begins where
+the sums surge to the threshold (`DENSE` characters, at most half of the largest sum) and ends where they dive below it, in
+whatever parts; a dive of no more lines than the window is bridged. The stretch with most text is the main text.
 
 Defined results: null or empty html gives empty text and 0; unclosed elements end with their parents or the page; ties go to the
 earlier stretch; repeated rows give equal results; other columns pass.
@@ -23,6 +24,7 @@ from pyspark.sql import DataFrame, SparkSession
 from .common import table, widened
 
 WINDOW = 3
+DENSE = 80
 # Fixed values of HTML: elements without content, blocks, and elements that hold no article text.
 _VOID = set("area base br col embed hr img input link meta param source track wbr".split())
 _BLOCK = set("address article aside blockquote body center dd details dialog div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hr html li main nav ol p pre section summary table tbody td tfoot th thead title tr ul".split())
@@ -66,20 +68,22 @@ def _boilerplate(tag: str, attrs: str, in_article: bool) -> bool:
     return False
 
 
-def lines_of(page: str) -> list[tuple[str, int, bool]]:
-    """(text, part, whether the part is an article or main element) for each block with text."""
-    out: list[tuple[str, int, bool]] = []
+def lines_of(page: str) -> list[tuple[str, int, bool, int]]:
+    """(text, part, whether the part is an article or main element, characters in links) for each block with text."""
+    out: list[tuple[str, int, bool, int]] = []
     stack: list[str] = []
     held: list[str] = []
     skip = None  # depth of the outermost boilerplate element that is open
-    part, part_depth, parts, article = 0, None, 0, False
+    part, part_depth, parts, article, linked = 0, None, 0, False, 0
 
     def flush() -> None:
+        nonlocal linked
         if held:
             text = _SPACE.sub(" ", html.unescape("".join(held))).strip()
             held.clear()
             if text:
-                out.append((text, part, article))
+                out.append((text, part, article, min(linked, len(text))))
+        linked = 0
 
     def close(depth: int) -> None:
         nonlocal skip, part, part_depth, article, parts
@@ -96,6 +100,8 @@ def lines_of(page: str) -> list[tuple[str, int, bool]]:
     for m in _TOKEN.finditer(page):
         if skip is None and m.start() > at:
             held.append(page[at : m.start()])
+            if "a" in stack:
+                linked += m.start() - at
         at = m.end()
         tag = (m[3] or "").lower()
         if not tag:
@@ -143,22 +149,27 @@ def main_text(page: str | None, window: int = WINDOW) -> str:
     lines = lines_of(page or "")
     if not lines:
         return ""
-    if any(a for _, _, a in lines):
-        lines = [x for x in lines if x[2]]
-    lengths: list[int] = []
-    owner: list[int] = []  # line number, -1 for the empty lines between parts
-    for i, (text, part, _) in enumerate(lines):
-        if i and lines[i - 1][1] != part:
-            lengths += [0] * window
-            owner += [-1] * window
-        lengths.append(len(text))
-        owner.append(i)
-    sums = np.convolve([*lengths, *[0] * (window - 1)], np.ones(window, int), "valid")
-    live = np.concatenate([[False], (sums > 0) & (np.array(owner) >= 0), [False]])
-    surges, dives = np.flatnonzero(live[1:] & ~live[:-1]), np.flatnonzero(~live[1:] & live[:-1])
-    best = max(zip(surges, dives), key=lambda s: (sum(lengths[s[0] : s[1]]), -s[0]))
-    part = lines[owner[best[0]]][1]
-    return "\n\n".join(text for text, p, _ in lines if p == part)
+    if any(article for _, _, article, _ in lines):
+        return "\n\n".join(text for text, _, article, _ in lines if article)
+    own = [len(text) - linked for text, _, _, linked in lines]
+    if not any(own):
+        own = [len(text) for text, *_ in lines]
+    values: list[int] = []
+    place: list[int] = []
+    for i, n in enumerate(own):
+        if i and lines[i - 1][1] != lines[i][1]:
+            values += [0] * (window - 1)
+        place.append(len(values))
+        values.append(n)
+    sums = np.convolve(values, np.ones(window, int))
+    high = np.concatenate([[0], np.cumsum(sums >= min(DENSE, sums.max() / 2))])
+    # a position is live if one of the windows over it is
+    live = (high[window:] > high[:-window])[place]
+    at = np.flatnonzero(live)
+    stretches = np.split(at, np.flatnonzero(np.diff(at) > window + 1) + 1)
+    size = np.concatenate([[0], np.cumsum([len(text) for text, *_ in lines])])
+    best = max(stretches, key=lambda x: (size[x[-1] + 1] - size[x[0]], -x[0]))
+    return "\n\n".join(text for text, *_ in lines[best[0] : best[-1] + 1])
 
 
 def extract(pages: DataFrame, window: int = WINDOW) -> DataFrame:
