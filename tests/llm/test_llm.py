@@ -314,6 +314,15 @@ def test_html_stretches_cross_containers():
     assert html_text.main_text("<main>one</main><p>x</p><article>two</article>") == "one\n\ntwo"
 
 
+@pytest.mark.parametrize(
+    "inner",
+    ['<div style="overflow:hidden">words</div>', "<p>see <a href='/hidden/x'>words</a> here</p>", '<p title="a hidden gem">words</p>', '<div data-id="notice">words</div>', '<h2 id="related-work">words</h2>', "<p class=share>words</p>", "<div data-note='id=menu'>words</div>"],
+)
+def test_html_attribute_values_hide_nothing(inner):
+    assert "words" in html_text.main_text(f"<article><p>a</p>{inner}<div hidden>gone</div><div CLASS='x related'>gone</div><p aria-hidden=true>gone</p></article>")
+    assert "gone" not in html_text.main_text(f"<article><p>a</p>{inner}<div hidden>gone</div><div CLASS='x related'>gone</div><p aria-hidden=true>gone</p></article>")
+
+
 def test_html_table(spark):
     p = spark.createDataFrame([(1, "u", "<p>x</p>", 5), (2, None, None, 5)], "page_id long, url string, html string, text int")
     assert [(r.text, r.n_chars) for r in html_text.extract(p).orderBy("page_id").collect()] == [("x", 1), ("", 0)]

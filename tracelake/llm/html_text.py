@@ -1,7 +1,7 @@
 """Main text of web pages by line-block distribution.
 
 Markup is stripped to lines, one per block element, each with the part of the page that it stands in: the outermost article or
-main element, else the topmost container below body. Boilerplate elements (by tag, role, or a word of class or id)
+main element, else the topmost container below body. Boilerplate elements (by tag, role, or, for containers, a word of class or id)
 leave nothing. If article or main elements have text, all of it is the main text. Else a sliding window sums text lengths without
 links over the lines of the whole page, with empty lines between parts so that no window holds lines of two. A stretch begins where
 the sums surge to the threshold (`DENSE` characters, at most half of the largest sum) and ends where they dive below it, in
@@ -40,11 +40,15 @@ _MARKS = set(
     "footer gdpr masthead menu modal nav navbar navigation navi newsletter notice notices notification overlay pager pagination popup promo promoted promotion related replies "
     "respond rss share sharing sidebar signup skip social sponsor sponsored subscribe subscription toolbar topbar widget widgets".split()
 )
+_COMMENTS = {"comment", "comments", "commentlist"}
 _TOKEN = re.compile(
     rf"<!--.*?(?:-->|$)|<({_RAW})\b(?:\"[^\"]*\"|'[^']*'|[^>\"'])*>.*?(?:</\1\s*>|$)|<(/?)([a-zA-Z][^\s/>]*)((?:\"[^\"]*\"|'[^']*'|[^>\"'])*)>|<[!?/][^>]*>",
     re.S | re.I,
 )
-_ATTR = re.compile(r"\b(class|id|role|hidden|aria-hidden)\s*(?:=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?", re.I)
+# Names with their values in order, so that no value is read as a name.
+_ATTR = re.compile(r"([^\s\"'<>/=]+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?")
+#: Elements that the words of class and id can mark; a heading, paragraph or inline element is text of what holds it.
+_CONTAINERS = set("address center dd details div dl dt fieldset figure header li ol section table tbody td tfoot th thead tr ul".split())
 _WORD = re.compile(r"[A-Z]?[a-z]+|[A-Z]+")
 _SPACE = re.compile(r"\s+")
 
@@ -52,18 +56,22 @@ _SPACE = re.compile(r"\s+")
 def _boilerplate(tag: str, attrs: str, in_article: bool) -> bool:
     if tag in _DROPPED or (tag == "header" and not in_article):
         return True
-    if not attrs or tag in ("html", "body", "article", "main") and "comment" not in attrs.lower():
+    if not attrs:
         return False
+    top = tag in ("html", "body", "article", "main")
     for name, *values in _ATTR.findall(attrs):
         value = next((v for v in values if v), "")
         name = name.lower()
-        if name == "role":
-            if value.lower() in _ROLES:
+        if name in ("class", "id"):
+            words = {w.lower() for w in _WORD.findall(value)}
+            if top and words & _COMMENTS or tag in _CONTAINERS and words & _MARKS:
                 return True
-        elif name in ("class", "id"):
-            if any(w.lower() in _MARKS for w in _WORD.findall(value)):
+        elif top:
+            continue
+        elif name == "role":
+            if value.lower() in _ROLES:
                 return True
-        elif name == "hidden" or value.lower() == "true":
+        elif name == "hidden" or name == "aria-hidden" and value.lower() == "true":
             return True
     return False
 
