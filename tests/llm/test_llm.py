@@ -282,6 +282,16 @@ def test_langid(spark, docs, empty):
     assert {r.lang_pred for r in langid.predict(d, langid.labelled_sample(empty), path).collect()} == {"und"}
 
 
+def test_langid_sample_counts_copies_once(spark):
+    few = [(f"l{k}", f"text {i % 3} of l{k}") for k in range(8) for i in range(900)]
+    many = [("en", f"own text {i}") for i in range(400)] + [("en", "hot")] * 3000
+    d = spark.createDataFrame(few + many, "lang string, text string")
+    got = langid.labelled_sample(d, docs_per_lang=20)
+    assert {k: set(v) for k, v in got.items() if k != "en"} == {f"l{k}": {f"text {i} of l{k}" for i in range(3)} for k in range(8)}
+    assert len(got["en"]) == len(set(got["en"])) == 20 and all(len(v) == 3 for k, v in got.items() if k != "en")
+    assert got == langid.labelled_sample(d.repartition(3), docs_per_lang=20)
+
+
 def test_forward_sums_all_segmentations():
     pieces = langid.Pieces([b"ab", b"abc", b"bc"])
     prob = np.random.default_rng(0).random((len(pieces.index) + 1, 2))

@@ -3,7 +3,7 @@
 A language is a distribution over the pieces of a fixed public vocabulary. A word's probability sums over all ways to cut it into
 pieces, by a forward pass over its bytes; a text's is the product over its words (runs of letters, lower-cased, at most 24 letters
 each; a longer run counts as several). Piece probabilities come from expectation maximisation over a bounded sample of labelled
-documents per language (`docs_per_lang`, by lowest hash of text, at most `max_langs` languages, the most frequent ones), smoothed
+distinct texts per language (`docs_per_lang`, by lowest hash of text, at most `max_langs` languages, the most frequent ones), smoothed
 towards the mean of the languages. Prediction uses the text alone, all of it.
 
 Defined results: null text or text without a letter is `und` with score 0; with no labelled rows every text is `und`;
@@ -18,7 +18,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .bpe import load_ranks, public_vocabulary, slices
@@ -146,21 +146,20 @@ class Scorer:
 
 
 def labelled_sample(docs: DataFrame, docs_per_lang: int = DOCS_PER_LANG, max_langs: int = MAX_LANGS) -> dict[str, list[str]]:
-    """At most about 2 x `docs_per_lang` texts for each of the `max_langs` most frequent languages.
+    """The `docs_per_lang` distinct texts of lowest hash, or all where there are fewer, for each of the `max_langs` most frequent languages.
 
-    Rows are taken by a hash threshold set from each language's count, so no language meets in one task.
+    Copies count once, so no language is left out for having few texts. The window's group limit keeps that many hashes of a language
+    in each task before any of them meet.
     """
-    labelled = docs.filter("lang IS NOT NULL AND text IS NOT NULL")
-    counts = labelled.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(max_langs).collect()
-    if not counts:
+    labelled = docs.filter("lang IS NOT NULL AND text IS NOT NULL").select("lang", "text", F.xxhash64("text").alias("h"))
+    langs = [r["lang"] for r in labelled.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(max_langs).collect()]
+    if not langs:
         return {}
-    share = F.create_map(*[x for r in counts for x in (F.lit(r["lang"]), F.lit(docs_per_lang / r["count"]))])
-    point = F.pmod(F.xxhash64("text"), F.lit(1 << 40)) / float(1 << 40)
-    rows = labelled.filter(F.coalesce(point < F.try_element_at(share, F.col("lang")), F.lit(False)))
+    hashes = labelled.filter(F.col("lang").isin(langs)).select("lang", "h").distinct()
+    lowest = hashes.withColumn("r", F.row_number().over(Window.partitionBy("lang").orderBy("h"))).filter(F.col("r") <= docs_per_lang).drop("r")
     out: dict[str, list[str]] = {}
-    for r in rows.select("lang", "text").limit(2 * docs_per_lang * len(counts)).collect():
-        if len(own := out.setdefault(r["lang"], [])) < 2 * docs_per_lang:
-            own.append(r["text"])
+    for r in labelled.join(F.broadcast(lowest), ["lang", "h"]).dropDuplicates(["lang", "h"]).orderBy("lang", "h").collect():
+        out.setdefault(r["lang"], []).append(r["text"])
     return out
 
 
