@@ -273,6 +273,35 @@ def test_bpe_random_bytes():
     assert bpe.Encoder(tokens, pattern).encode(words) == [np.array(want.encode_ordinary(w), "<u4").tobytes() for w in words]
 
 
+def test_bpe_waves_equal_one_pair_at_a_time():
+    """A vocabulary whose later merges have lower ranks than earlier ones, overlapping pairs, and words in the odd case."""
+    import tiktoken
+
+    rng = random.Random(8)
+    for _ in range(60):
+        made = {bytes([b]) for b in range(256)}
+        longer = set()
+        while len(longer) < 40:
+            longer.add(bytes(rng.choice(b"ab") for _ in range(rng.randrange(2, 6))))
+        ranks = [*sorted(made), *rng.sample(sorted(longer), 40)]
+        want = tiktoken.Encoding("own", pat_str=r"\S+", mergeable_ranks={t: i for i, t in enumerate(ranks)}, special_tokens={})
+        words = list({bytes(rng.choice(b"abab c"[:5]) for _ in range(rng.randrange(1, 40))).replace(b" ", b"a") for _ in range(200)})
+        assert bpe.MergeReplay(ranks).encode(words) == [np.array(want.encode_ordinary(w.decode()), "<u4").tobytes() for w in words]
+
+
+def test_bpe_long_pieces_and_a_small_memo(monkeypatch):
+    import tiktoken
+
+    path, pattern = bpe.public_vocabulary()
+    tokens = bpe.load_ranks(path)
+    want = tiktoken.Encoding("own", pat_str=pattern, mergeable_ranks={t: i for i, t in enumerate(tokens)}, special_tokens={})
+    monkeypatch.setattr(bpe, "MEMO_WORDS", 3)
+    encoder = bpe.Encoder(tokens, pattern)
+    rng = random.Random(4)
+    for text in ("ab" * 4000, "".join(rng.choice("etaoin") for _ in range(30_000)), "a b c d e f g h i j", "", "a b c d e f g h i j"):
+        assert encoder.encode([text]) == [np.array(want.encode_ordinary(text), "<u4").tobytes()]
+
+
 def test_langid(spark, docs, empty):
     path, _ = bpe.public_vocabulary()
     sample = {"en": ["the cat sat on the mat with the hat", "this is the house"], "de": ["der hund und die katze", "das ist ein haus und ein garten"]}
