@@ -41,7 +41,9 @@ HOT = 300_000
 DIM = 24
 NOISE = 10
 STEPS = 700
-FLUSH_WORDS = 400_000
+#: Words that a task holds before it passes their counts on, and tokens that it counts by class at once.
+FLUSH_WORDS = 100_000
+FLUSH_TOKENS = 500_000
 FLUSH_ROWS = 30_000
 #: A word seen less often has no vector of its own, only its count.
 OWN = 5
@@ -74,8 +76,8 @@ def word_counts(training: DataFrame) -> DataFrame:
             return b
 
         for batch in batches:
-            for text in batch.column("text").to_pylist():
-                held.update(tokens(text))
+            for text in batch.column("text"):
+                held.update(tokens(text.as_py()))
                 if len(held) > FLUSH_WORDS:
                     yield out()
         yield out()
@@ -128,11 +130,17 @@ def class_counts(training: DataFrame, hot) -> DataFrame:
             rare.clear()
             return pa.RecordBatch.from_arrays([pa.nulls(len(h), pa.int64()), pa.array(words, pa.binary()), pa.array(h), pa.array(n)], names=["g", "word", "h", "n"])
 
+        seen: list[np.ndarray] = []
         size = 0
+
+        def counted() -> None:
+            g, n = np.unique(np.concatenate([*seen, np.zeros(0, np.int64)]), return_counts=True)
+            total[g] += n
+            seen.clear()
+
         for batch in batches:
-            seen = []
-            for text in batch.column("text").to_pylist():
-                words = tokens(text)
+            for text in batch.column("text"):
+                words = tokens(text.as_py())
                 ids, cls = table_.classes(words)
                 ctx = contexts(cls)
                 seen.append(ctx * CLASSES + cls)
@@ -142,12 +150,11 @@ def class_counts(training: DataFrame, hot) -> DataFrame:
                 size += len(words)
                 at = np.flatnonzero(ids < 0)
                 rare.update(zip([words[i] for i in at.tolist()], h[at].tolist()))
-                if len(rare) > FLUSH_WORDS or size > 4 * FLUSH_WORDS:
+                if len(rare) > FLUSH_WORDS or size > FLUSH_TOKENS:
+                    counted()
                     yield out()
                     size = 0
-            if seen:
-                g, n = np.unique(np.concatenate(seen), return_counts=True)
-                total[g] += n
+        counted()
         yield out()
         at = np.flatnonzero(total)
         yield pa.RecordBatch.from_arrays([pa.array(at), pa.nulls(len(at), pa.binary()), pa.nulls(len(at), pa.int64()), pa.array(total[at])], names=["g", "word", "h", "n"])
@@ -267,20 +274,33 @@ def word_vectors(parts: DataFrame, shared) -> DataFrame:
     return d.mapInArrow(run, "word binary, c long, theta binary")
 
 
+def most_frequent(counts: DataFrame, most: int) -> list[tuple[bytes, int]]:
+    """The end token and at most `most` words: all from the lowest count step that leaves no more than that. Steps are 1/16 of a power of two."""
+    step = F.floor(F.log2("c") * 16)
+    least, held = None, 0
+    for r in counts.groupBy(step.alias("step")).agg(F.count("*").alias("n")).orderBy(F.desc("step")).collect():  # 1024 steps at most
+        held += r.n
+        if held > most:
+            break
+        least = r.step
+    top = counts.filter((F.col("word") == F.lit(END)) | (F.lit(False) if least is None else step >= F.lit(least))).toArrow()
+    return list(zip(top.column("word").to_pylist(), top.column("c").to_pylist()))
+
+
 def score_documents(docs: DataFrame, training: DataFrame, hot_words: int = HOT) -> DataFrame:
     """(doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score) of each row of `docs` (doc_id, held_out, text)."""
     sc = docs.sparkSession.sparkContext
     counts = stored(word_counts(training), "word-counts")
     n_all, v_all = counts.agg(F.coalesce(F.sum("c"), F.lit(0)), F.count("*")).first()
-    top = counts.orderBy((F.col("word") != F.lit(END)).asc(), F.desc("c"), "word").limit(hot_words).toArrow()
-    hot_rows = list(zip(top.column("word").to_pylist(), top.column("c").to_pylist()))
+    hot_rows = most_frequent(counts, hot_words)
     hot = sc.broadcast(Hot(hot_rows))
     cls = (F.crc32(F.substring("word", -3, 3)) % TAILS).alias("t")
     mass = {r.t: (r.n, r.v) for r in counts.groupBy(cls).agg(F.sum("c").alias("n"), F.count("*").alias("v")).collect()}
     within = np.zeros(CLASSES)
+    first = [(bytes(w), c) for w, c in hot_rows if hot.value.number[bytes(w)] < TOP]
     for t in range(TAILS):
         n, v = mass.get(t, (0, 0))
-        own = [c for w, c in hot_rows if (i := hot.value.number[bytes(w)]) < TOP and zlib.crc32(bytes(w)[-3:]) % TAILS == t and i >= 0]
+        own = [c for w, c in first if tail_class(w) == TOP + t]
         within[TOP + t] = np.log10(n - sum(own) + v - len(own) + 1)
     parts = stored(class_counts(training, hot), "class-counts")
     grams = parts.filter("word IS NULL").groupBy("g").agg(F.sum("n").alias("n")).toArrow()
@@ -315,8 +335,8 @@ def score_documents(docs: DataFrame, training: DataFrame, hot_words: int = HOT)
         for batch in batches:
             head: list[tuple] = []
             rare: list[tuple] = []
-            for doc, held, text in zip(*(batch.column(c).to_pylist() for c in ("doc_id", "held_out", "text"))):
-                words = tokens(text)
+            for doc, held, text in zip(batch.column("doc_id").to_pylist(), batch.column("held_out").to_pylist(), batch.column("text")):
+                words = tokens(text.as_py())
                 ids, cls = table_.classes(words)
                 known = ids >= 0
                 base = float(log_c[ids[known]].sum())
