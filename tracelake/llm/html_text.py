@@ -2,19 +2,23 @@
 
 Markup is stripped to lines, one per block element, each with the part of the page that it stands in: the outermost article or
 main element, else the topmost container below body. Boilerplate elements (by tag, role, or, for containers, a word of class or id)
-leave nothing. If article or main elements have text, all of it is the main text. Else a sliding window sums text lengths without
-links over the lines of the whole page, with empty lines between parts so that no window holds lines of two. A stretch begins where
-the sums surge to the threshold (`DENSE` characters, at most half of the largest sum) and ends where they dive below it, in
-whatever parts; a dive of no more lines than the window is bridged. The stretch with most text is the main text.
+leave nothing. A sliding window sums text lengths without links over the lines of the whole page, with empty lines between parts so
+that no window holds lines of two; lines of article and main elements count `HINT` times. A stretch begins where the sums surge to
+the threshold (`DENSE` characters, at most half of the largest sum) and ends where they dive below it, in whatever parts; a dive of
+no more lines than the window is bridged. The stretch with the largest sum of counts is the main text. If it lies in article or main
+elements, the main text is all text of those of them that any stretch touches, so their own borders sharpen surge and dive.
 
 Defined results: null or empty html gives empty text and 0; unclosed elements end with their parents or the page; ties go to the
-earlier stretch; repeated rows give equal results; other columns pass.
+earlier stretch; repeated rows give equal results; other columns pass. A quote opens after an equals sign only; from the first tag
+that never closes because of its quotes, quotes no longer hide `>`, and a tag without any `>` ends the page. Elements nested deeper than
+`DEPTH` open no level of their own. So the time is linear in the page, however broken it is.
 """
 
 from __future__ import annotations
 
 import html
 import re
+from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
@@ -25,12 +29,15 @@ from .common import table, widened
 
 WINDOW = 3
 DENSE = 80
+#: How often a character in an article or main element counts.
+HINT = 3
+DEPTH = 512
 # Fixed values of HTML: elements without content, blocks, and elements that hold no article text.
 _VOID = set("area base br col embed hr img input link meta param source track wbr".split())
 _BLOCK = set("address article aside blockquote body center dd details dialog div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hr html li main nav ol p pre section summary table tbody td tfoot th thead title tr ul".split())
 _CLOSES_P = _BLOCK - {"body", "html", "td", "th", "tr", "tbody", "thead", "tfoot", "title", "summary"}
 _DROPPED = set("aside audio button canvas datalist dialog footer form head iframe map menu nav noscript object option select svg template textarea title video".split())
-_RAW = "script|style|textarea|title|noscript|template|iframe|xmp"
+_RAW = {t: re.compile(rf"</{t}\s*>", re.I) for t in "script style textarea title noscript template iframe xmp".split()}
 _PEERS = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}}
 _SCOPES = set("article aside body div dl footer header main nav ol section table ul".split())
 _ROLES = {"navigation", "banner", "contentinfo", "complementary", "search", "form", "alert", "dialog", "alertdialog", "menu", "menubar", "toolbar"}
@@ -41,10 +48,8 @@ _MARKS = set(
     "respond rss share sharing sidebar signup skip social sponsor sponsored subscribe subscription toolbar topbar widget widgets".split()
 )
 _COMMENTS = {"comment", "comments", "commentlist"}
-_TOKEN = re.compile(
-    rf"<!--.*?(?:-->|$)|<({_RAW})\b(?:\"[^\"]*\"|'[^']*'|[^>\"'])*>.*?(?:</\1\s*>|$)|<(/?)([a-zA-Z][^\s/>]*)((?:\"[^\"]*\"|'[^']*'|[^>\"'])*)>|<[!?/][^>]*>",
-    re.S | re.I,
-)
+_OPEN = re.compile(r"<(?:(!--)|(/?)([a-zA-Z][^\s/>]*)|[!?/])")
+_REST = re.compile(r"(?>=\s*(?:\"[^\"]*\"|'[^']*')|[^>])*+>")
 # Names with their values in order, so that no value is read as a name.
 _ATTR = re.compile(r"([^\s\"'<>/=]+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?")
 #: Elements that the words of class and id can mark; a heading, paragraph or inline element is text of what holds it.
@@ -76,10 +81,37 @@ def _boilerplate(tag: str, attrs: str, in_article: bool) -> bool:
     return False
 
 
+def tags_of(page: str) -> Iterator[tuple[int, int, bool, str, str]]:
+    """(start, end, closing, name, attributes) of each piece of markup; the name is empty where nothing opens or closes."""
+    at, strict = 0, True
+    while m := _OPEN.search(page, at):
+        name = ""
+        attrs = (m.end(), m.end())
+        if m[1]:
+            end = page.find("-->", m.end())
+            at = len(page) if end < 0 else end + 3
+        else:
+            rest = _REST.match(page, m.end()) if strict and m[3] else None
+            if rest:
+                at = rest.end()
+            else:
+                strict = strict and not m[3]
+                end = page.find(">", m.end())
+                at = len(page) if end < 0 else end + 1
+            if m[3]:
+                name, attrs = m[3].lower(), (m.end(), at - 1)
+                if name in _RAW and not m[2]:
+                    end = _RAW[name].search(page, at)
+                    name, at = "", end.end() if end else len(page)
+        yield m.start(), at, bool(m[2]), name, page[attrs[0] : attrs[1]] if name else ""
+
+
 def lines_of(page: str) -> list[tuple[str, int, bool, int]]:
     """(text, part, whether the part is an article or main element, characters in links) for each block with text."""
     out: list[tuple[str, int, bool, int]] = []
     stack: list[str] = []
+    opened: Counter = Counter()  # elements on the stack by name
+    deep: Counter = Counter()  # open elements beyond DEPTH by name
     held: list[str] = []
     skip = None  # depth of the outermost boilerplate element that is open
     part, part_depth, parts, article, linked = 0, None, 0, False, 0
@@ -97,6 +129,7 @@ def lines_of(page: str) -> list[tuple[str, int, bool, int]]:
         nonlocal skip, part, part_depth, article, parts
         if any(t in _BLOCK for t in stack[depth:]):
             flush()
+        opened.subtract(stack[depth:])
         del stack[depth:]
         if skip is not None and depth <= skip:
             skip = None
@@ -105,17 +138,20 @@ def lines_of(page: str) -> list[tuple[str, int, bool, int]]:
             part, part_depth, article = parts, None, False
 
     at = 0
-    for m in _TOKEN.finditer(page):
-        if skip is None and m.start() > at:
-            held.append(page[at : m.start()])
-            if "a" in stack:
-                linked += m.start() - at
-        at = m.end()
-        tag = (m[3] or "").lower()
+    for start, end, closing, tag, attrs in tags_of(page):
+        if skip is None and start > at:
+            held.append(page[at:start])
+            if opened["a"]:
+                linked += start - at
+        at = end
         if not tag:
             continue
-        if m[2]:
-            if tag in stack:
+        if closing:
+            if deep[tag]:
+                deep[tag] -= 1
+                if tag in _BLOCK and skip is None:
+                    flush()
+            elif opened[tag]:
                 close(len(stack) - 1 - stack[::-1].index(tag))
             elif tag in ("p", "br") and skip is None:
                 flush() if tag == "p" else held.append(" ")
@@ -125,7 +161,7 @@ def lines_of(page: str) -> list[tuple[str, int, bool, int]]:
                 held.append(" ")
             continue
         if tag in _BLOCK:
-            if tag in _CLOSES_P and "p" in stack:
+            if tag in _CLOSES_P and opened["p"]:
                 depth = len(stack) - 1 - stack[::-1].index("p")
                 if not _SCOPES.intersection(stack[depth + 1 :]):
                     close(depth)
@@ -138,46 +174,54 @@ def lines_of(page: str) -> list[tuple[str, int, bool, int]]:
                         break
             if skip is None:
                 flush()
-        if tag in _VOID or m[4].rstrip().endswith("/") and tag in ("svg", "path", "use"):
+        if tag in _VOID or attrs.rstrip().endswith("/") and tag in ("svg", "path", "use"):
+            continue
+        if len(stack) >= DEPTH:
+            deep[tag] += 1
             continue
         stack.append(tag)
+        opened[tag] += 1
         if skip is None:
-            if _boilerplate(tag, m[4], article):
+            if _boilerplate(tag, attrs, article):
                 skip = len(stack) - 1
             elif tag in ("article", "main") and not article or part_depth is None and tag in ("div", "section", "table", "ul", "ol"):
                 parts += 1
                 part, part_depth, article = parts, len(stack) - 1, tag in ("article", "main")
     if skip is None and at < len(page):
-        held.append(re.sub(r"<[a-zA-Z/!?][^>]*$", "", page[at:]))
+        held.append(page[at:])
     flush()
     return out
 
 
-def main_text(page: str | None, window: int = WINDOW) -> str:
-    lines = lines_of(page or "")
-    if not lines:
-        return ""
-    if any(article for _, _, article, _ in lines):
-        return "\n\n".join(text for text, _, article, _ in lines if article)
-    own = [len(text) - linked for text, _, _, linked in lines]
-    if not any(own):
-        own = [len(text) for text, *_ in lines]
+def main_lines(lines: list[tuple[str, int, bool, int]], window: int = WINDOW) -> list[int]:
+    """Numbers of the lines of the main text."""
+    counts = [(len(text) - linked) * (HINT if article else 1) for text, _, article, linked in lines]
+    if not any(counts):
+        counts = [len(text) for text, *_ in lines]
     values: list[int] = []
     place: list[int] = []
-    for i, n in enumerate(own):
+    for i, n in enumerate(counts):
         if i and lines[i - 1][1] != lines[i][1]:
             values += [0] * (window - 1)
         place.append(len(values))
         values.append(n)
     sums = np.convolve(values, np.ones(window, int))
     high = np.concatenate([[0], np.cumsum(sums >= min(DENSE, sums.max() / 2))])
-    # a position is live if one of the windows over it is
-    live = (high[window:] > high[:-window])[place]
-    at = np.flatnonzero(live)
+    # a line is live if one of the windows over it is
+    at = np.flatnonzero((high[window:] > high[:-window])[place])
     stretches = np.split(at, np.flatnonzero(np.diff(at) > window + 1) + 1)
-    size = np.concatenate([[0], np.cumsum([len(text) for text, *_ in lines])])
+    size = np.concatenate([[0], np.cumsum(counts)])
     best = max(stretches, key=lambda x: (size[x[-1] + 1] - size[x[0]], -x[0]))
-    return "\n\n".join(text for text, *_ in lines[best[0] : best[-1] + 1])
+    kept = range(best[0], best[-1] + 1)
+    if any(lines[i][2] for i in kept):
+        touched = {lines[i][1] for i in at.tolist() if lines[i][2]}
+        return [i for i, (_, part, *_) in enumerate(lines) if part in touched]
+    return list(kept)
+
+
+def main_text(page: str | None, window: int = WINDOW) -> str:
+    lines = lines_of(page or "")
+    return "\n\n".join(lines[i][0] for i in main_lines(lines, window)) if lines else ""
 
 
 def extract(pages: DataFrame, window: int = WINDOW) -> DataFrame:
