@@ -389,3 +389,39 @@ def test_remainder(spark):
 
     assert spark.range(50).select("id", remainder(F.col("id"), 7).alias("r")).filter("r < 0").count() == 0
     assert all(r.r == zlib.crc32(str(r.id).encode()) % 7 for r in spark.range(50).select("id", remainder(F.col("id"), 7).alias("r")).collect())
+
+
+CLASHES = "lost _lost _kept _kept_text _n_lines _n_dropped k1 k2 removed n_hit item_ids hit_runs _row _h _words ratio n lo hi h m r s component set_key".split()
+
+
+def test_own_columns_come_back_as_they_were(spark, docs, labels, empty):
+    """Extra columns with the names that operators use inside: every operator that returns documents leaves them alone."""
+    d = docs.withColumns({c: F.lit(f"own-{c}") for c in CLASHES})
+    b = spark.createDataFrame([(1, " ".join(TEXTS[9].split()[500:512]))], "item_id long, text string")
+    gone = {"repeats": repeats.remove_repeats(d), "lines": lines.dedup_lines(d), "near": neardup.keep_one(d), "bench": decontaminate.decontaminate(d, b), "joined": decontaminate.decontaminate(d, b, max_windows=1), "good": quality.keep_good(d, labels)}
+    for name, out in gone.items():
+        assert set(d.columns) <= set(out.columns) and len(set(out.columns)) == len(out.columns), name
+        rows = out.select("doc_id", "kept", "n_words", *CLASHES).collect()
+        assert rows and all(r.kept == "kept-col" and r.n_words == 1 and all(r[c] == f"own-{c}" for c in CLASHES) for r in rows), name
+
+
+def test_chat_memory_is_linear(spark):
+    """2,000 turns of 500 characters: the examples are 500 MB together, a task holds one of them."""
+    rows = [(1, i, "assistant" if i % 2 else "user", "x" * 500) for i in range(2000)]
+    r = chat.read_back(chat.expand(spark.createDataFrame(rows, "conv_id long, turn long, role string, text string"))).first()
+    assert (r.n_turns, r.loss_chars) == (2000, 500_000)
+
+
+def test_repeats_of_passages_in_another_order(spark):
+    rng = random.Random(6)
+    prose = lambda n: "".join(rng.choice("abcdefgh ") for _ in range(n))
+    passages = [prose(300 + 37 * i) for i in range(8)]
+    data = [(1, prose(150).join(passages)), (2, prose(90).join(reversed(passages))), (3, passages[2] + prose(500) + passages[5])]
+    raw = {i: t.encode() for i, t in data}
+    k = repeats.LENGTH
+    seen = collections.Counter(x[p : p + k] for x in raw.values() for p in range(len(x) - k + 1))
+    d = spark.createDataFrame(data, "doc_id long, text string")
+    for r in repeats.remove_repeats(d).collect():
+        x = raw[r.doc_id]
+        gone = {q for p in range(len(x) - k + 1) if seen[x[p : p + k]] > 1 for q in range(p, p + k)}
+        assert r.kept_bytes == bytes(c for q, c in enumerate(x) if q not in gone)

@@ -7,7 +7,8 @@ Template: a turn is `### ROLE: TEXT</turn>` and a line feed. In roles and texts
 Defined results: null text or role counts as empty; turns are ordered by turn (null first), ties by role, then text; repeated
 rows are repeated turns. Turns after the last assistant turn, or conversations without one, give one more example with
 nothing trainable, so no turn is lost. A null conv_id is a conversation like any other. Other columns are ignored.
-An example holds its whole context, so memory is bounded by the longest conversation, not by the table.
+A task holds one conversation's turns and one example at a time, so memory is bounded by the longest conversation, not by the table
+nor by the sum of its examples.
 """
 
 from __future__ import annotations
@@ -110,15 +111,31 @@ def read_back(examples: DataFrame) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         out: list[tuple] = []
-        for conv, rows in _grouped(batches, "conv_id", "formatted", "loss_start", "loss_end"):
-            turns = parse(rows[-1][0])
+        key, last, loss, chars, total = None, None, None, 0, 0
+
+        def close() -> None:
+            turns = parse(last)
             whole = "".join(f"{role}\n{text}\n" for role, text in turns)
-            loss = [unescape(text[a:b]) for text, a, b in rows if a is not None]
-            out.append((conv, len(turns), _hex(whole), sum(map(len, loss)), _hex("".join(loss)), sum(len(r[0]) for r in rows)))
-            if len(out) >= 1000:
+            out.append((key, len(turns), _hex(whole), chars, loss.hexdigest(), total))
+
+        for batch in batches:
+            for i in range(batch.num_rows):
+                conv, text, a, b = (batch.column(c)[i].as_py() for c in ("conv_id", "formatted", "loss_start", "loss_end"))
+                if last is None or conv != key:
+                    if last is not None:
+                        close()
+                    key, loss, chars, total = conv, hashlib.sha256(), 0, 0
+                last = text
+                total += len(text)
+                if a is not None:
+                    own = unescape(text[a:b])
+                    chars += len(own)
+                    loss.update(own.encode("utf-8", "surrogatepass"))
+            if out:
                 yield _digests(out)
-                out = []
-        if out:
+                out.clear()
+        if last is not None:
+            close()
             yield _digests(out)
 
     return examples.mapInArrow(run, "conv_id long, n_turns long, turns_sha256 string, loss_chars long, loss_sha256 string, formatted_chars long")

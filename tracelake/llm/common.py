@@ -67,6 +67,11 @@ def remainder(doc_id: Column, modulus: int) -> Column:
     return F.crc32(F.coalesce(doc_id.cast("string"), F.lit("")).cast("binary")) % modulus
 
 
+def packed(docs: DataFrame, *names: str) -> DataFrame:
+    """Each row as one column, _whole, beside the columns that an operator reads: no name of the row's own can then clash with a computed one."""
+    return docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_whole"), *names)
+
+
 def text_or_empty(text: Column) -> Column:
     return F.coalesce(text, F.lit(""))
 

@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import table, widened
+from .common import packed, table, widened
 
 #: Word characters are 0-9, a-z after lower-casing A-Z, and everything outside ASCII.
 _FOLD = bytes(b + 32 if 65 <= b <= 90 else b if 48 <= b <= 57 or 97 <= b <= 122 or b >= 128 else 32 for b in range(256))
@@ -176,8 +176,8 @@ def _find_hits_joined(docs: DataFrame, benchmark: DataFrame, width: int) -> Data
 
 def decontaminate(docs: DataFrame, benchmark: DataFrame, max_hit_share: float = 0.0, **how) -> DataFrame:
     """`docs` without the documents whose hit words exceed `max_hit_share` of their words; all else unchanged."""
-    hits = find_hits(docs, benchmark, **how)
-    return hits.filter(~(F.col("n_hit") > F.col("n_words") * F.lit(max_hit_share))).select(*docs.columns)
+    hits = find_hits(packed(docs, "text"), benchmark, **how)
+    return hits.filter(~(F.col("n_hit") > F.col("n_words") * F.lit(max_hit_share))).select("_whole.*")
 
 
 def op8_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -17,7 +17,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import let, stored, table, text_or_empty
+from .common import drop_stored, let, packed, stored, table, text_or_empty
 
 MIN_CHARS = 20
 MIN_DOCS = 3
@@ -105,28 +105,36 @@ def lost_lines(docs: DataFrame, batches: int = BATCHES, min_chars: int = MIN_CHA
 
 
 def with_kept_text(docs: DataFrame, **how) -> DataFrame:
-    """`docs` with _kept_text, _n_lines and _n_dropped."""
+    """`docs` with _kept_text, _n_lines and _n_dropped; its own columns of those names give way."""
     min_chars = how.get("min_chars", MIN_CHARS)
-    lost = lost_lines(docs.select("doc_id", "text"), **how).withColumnRenamed("doc_id", "_lost_id")
+    lost = lost_lines(docs.select("doc_id", "text"), **how).select(F.col("doc_id").alias("_lost_id"), F.col("lost").alias("_lost"))
+    docs = docs.drop("_kept_text", "_n_lines", "_n_dropped", "_lost_id", "_lost", "_kept")
     d = docs.join(lost, F.col("doc_id").eqNullSafe(F.col("_lost_id")), "left").drop("_lost_id")
     lines = split_lines(F.col("text"))
 
     def stays(line: Column) -> Column:
-        return ~let(line_key(line), lambda k: (F.length(k) >= min_chars) & F.array_contains(F.col("lost"), _hash(k)))
+        return ~let(line_key(line), lambda k: (F.length(k) >= min_chars) & F.array_contains(F.col("_lost"), _hash(k)))
 
-    kept = F.when(F.col("lost").isNull(), F.struct(text_or_empty(F.col("text")).alias("t"), F.lit(0).alias("n"))).otherwise(
+    kept = F.when(F.col("_lost").isNull(), F.struct(text_or_empty(F.col("text")).alias("t"), F.lit(0).alias("n"))).otherwise(
         let(lines, lambda x: let(F.filter(x, stays), lambda y: F.struct(F.array_join(y, "\n").alias("t"), (F.size(x) - F.size(y)).alias("n"))))
     )
     d = d.withColumn("_kept", kept).withColumn("_n_lines", F.size(lines).cast("long"))
-    return d.withColumns({"_kept_text": F.col("_kept.t"), "_n_dropped": F.col("_kept.n").cast("long")}).drop("_kept", "lost")
+    return d.withColumns({"_kept_text": F.col("_kept.t"), "_n_dropped": F.col("_kept.n").cast("long")}).drop("_kept", "_lost")
 
 
 def dedup_lines(docs: DataFrame, **how) -> DataFrame:
     """`docs` with the lines dropped from text; n_chars, where there is one, follows. Null text stays null."""
-    d = with_kept_text(docs, **how)
-    text = F.when(F.col("text").isNotNull(), F.col("_kept_text"))
-    cols = [text.alias("text") if c == "text" else F.when(F.col("text").isNotNull(), F.length("_kept_text").cast(docs.schema[c].dataType)).otherwise(F.col(c)).alias(c) if c == "n_chars" else F.col(f"`{c}`") for c in docs.columns]
-    return d.select(*cols)
+    d = with_kept_text(packed(docs, "doc_id", "text"), **how)
+
+    def column(c: str) -> Column:
+        own = F.col("_whole")[c]
+        if c == "text":
+            own = F.when(F.col("text").isNotNull(), F.col("_kept_text"))
+        elif c == "n_chars":
+            own = F.when(F.col("text").isNotNull(), F.length("_kept_text").cast(docs.schema[c].dataType)).otherwise(own)
+        return own.alias(c)
+
+    return d.select(*[column(c) for c in docs.columns])
 
 
 def op7_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

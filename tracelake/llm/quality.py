@@ -15,7 +15,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import SPACE, let, stored, table, text_or_empty
+from .common import SPACE, let, packed, stored, table, text_or_empty
 
 BUCKETS = 65536
 TRUSTED_DOCS = 20_000
@@ -126,8 +126,7 @@ def judge(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD, buck
 
 def keep_good(docs: DataFrame, labels: DataFrame, **how) -> DataFrame:
     """The documents that pass the base rules and the ratio, with their own columns only."""
-    packed = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_row"), "doc_id", "text")
-    return judge(packed, labels, **how).filter("kept").select("_row.*")
+    return judge(packed(docs, "doc_id", "text"), labels, **how).filter("kept").select("_whole.*")
 
 
 def op9_quality(spark: SparkSession, sf_dir: str) -> DataFrame:

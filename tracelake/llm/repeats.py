@@ -27,8 +27,9 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
-from .common import drop_stored, stored, table, widened
+from .common import drop_stored, packed, stored, table
 
 LENGTH = 200
 STARTS = 128  # grams in a window
@@ -216,8 +217,8 @@ def repeated_spans(keyed: DataFrame) -> DataFrame:
     is_open = (F.col("n") == 1) & ~F.col("settled")
     groups = level.groupBy("h", "d", "c").agg(F.count("*").alias("k"), F.max(is_open).alias("open")).filter("k > 1 AND open").select("h", "d", "c")
     left = level.join(groups, ["h", "d", "c"], "left_semi").select("h", "d", "r", "s", "one.k1", "one.k2", "one.m", (~is_open).alias("done"))
-    bytes_of = ranges.select("k1", "k2", "m", "d", "bytes").dropDuplicates(["k1", "k2", "m", "d"])
-    single = _windows(left.join(bytes_of, ["k1", "k2", "m", "d"]).withColumn("settled", F.col("done")))
+    bytes_of = ranges.select("k1", "k2", "m", "d", "r", "bytes").dropDuplicates(["k1", "k2", "m", "d", "r"])
+    single = _windows(left.join(bytes_of, ["k1", "k2", "m", "d", "r"]).withColumn("settled", F.col("done")))
     single = stored(single, "windows")
     twice = single.groupBy("h", "o", "w").agg(F.count("*").alias("n")).filter("n > 1").select("h", "o", "w")
     last = single.filter(~F.col("settled")).join(twice, ["h", "o", "w"], "left_semi")
@@ -255,18 +256,18 @@ def _cut(text: bytes | None, removed: list[dict] | None) -> tuple[list[tuple[int
 
 
 def remove_repeats(docs: DataFrame) -> DataFrame:
-    """`docs` with kept_bytes (binary, what is left of the UTF-8 text; spans may cut a character) and removed_spans."""
+    """`docs` with kept_bytes (binary, what is left of the UTF-8 text; spans may cut a character) and removed_spans; own columns of those names give way."""
     docs = docs.drop("kept_bytes", "removed_spans")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             cut = [_cut(t, r) for t, r in zip(batch.column("_bytes").to_pylist(), batch.column("removed").to_pylist())]
-            own = batch.select([n for n in batch.schema.names if n not in ("_bytes", "removed")])
             spans = pa.array([[{"lo": a, "hi": b} for a, b in r] for r, _ in cut], pa.list_(pa.struct([("lo", pa.int64()), ("hi", pa.int64())])))
-            yield pa.RecordBatch.from_arrays([*own.columns, pa.array([k for _, k in cut], pa.binary()), spans], names=[*own.schema.names, "kept_bytes", "removed_spans"])
+            yield pa.RecordBatch.from_arrays([batch.column("_whole"), pa.array([k for _, k in cut], pa.binary()), spans], names=["_whole", "kept_bytes", "removed_spans"])
 
-    d = with_spans(docs).withColumn("_bytes", F.col("text").cast("binary")).select(*docs.columns, "_bytes", "removed")
-    return d.mapInArrow(run, widened(docs.schema, "kept_bytes binary, removed_spans array<struct<lo:long,hi:long>>"))
+    d = with_spans(packed(docs, "doc_id", "text")).select("_whole", F.col("text").cast("binary").alias("_bytes"), "removed")
+    schema = StructType([d.schema["_whole"], *StructType.fromDDL("kept_bytes binary, removed_spans array<struct<lo:long,hi:long>>").fields])
+    return d.mapInArrow(run, schema).select("_whole.*", "kept_bytes", "removed_spans")
 
 
 def op4_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
