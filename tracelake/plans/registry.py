@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions.text import conversation_scores
 from ..operators import commands, documents, ledger, ranges, sessions, trace, vectors
+from . import shell as shell_plans
 from .sql import SQL
 
 #: What each query reads, how the table is prepared, and the operator.
@@ -64,6 +65,8 @@ _QUERIES = {
     "url_paths": ("pages", None, documents.path_depths),
 }
 
+_QUERIES |= shell_plans.QUERIES
+
 
 def _tau_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     d = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "lang", "n_chars")
@@ -89,4 +92,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return dict(SQL)
+    return SQL | shell_plans.SQL
