@@ -31,3 +31,8 @@ def exact_copies(docs: DataFrame) -> DataFrame:
 def path_depths(pages: DataFrame) -> DataFrame:
     s = url_path_segments(F.col("url"))
     return pages.select("page_id", F.size(s).cast("long").alias("depth"), F.coalesce(F.try_element_at(s, F.lit(-1)), F.lit("")).alias("leaf"))
+
+
+def page_paths(pages: DataFrame) -> DataFrame:
+    """The path part of each page's url."""
+    return pages.select(F.regexp_extract("url", "^[a-z]+://[^/]+(/[^?#]*)", 1).alias("path"))

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions.text import conversation_scores
 from ..operators import commands, documents, ledger, ranges, sessions, trace, vectors
+from . import decisions as decision_plans
 from . import shell as shell_plans
 from .sql import SQL
 
@@ -65,7 +66,7 @@ _QUERIES = {
     "url_paths": ("pages", None, documents.path_depths),
 }
 
-_QUERIES |= shell_plans.QUERIES
+_QUERIES |= shell_plans.QUERIES | decision_plans.QUERIES
 
 
 def _tau_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -92,4 +93,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return SQL | shell_plans.SQL
+    return SQL | shell_plans.SQL | decision_plans.SQL
