@@ -44,3 +44,16 @@ def test_unmeasured_is_not_zero(spark):
 def test_breaker_starts_anew_after_an_edit(spark):
     d = spark.createDataFrame([("s", i, c, c == "e") for i, c in enumerate("aaaeaa", 1)], "session string, seq long, cmd string, edit boolean")
     assert [r.blocked for r in commands.loop_breaker(d).orderBy("seq").collect()] == [False, False, True, False, False, False]
+
+
+def test_whole_file_ranges_meet_without_being_dealt(spark):
+    rows = [("c", 0, 1, "f", None, None, 5), ("c", 1, 2, "f", 10, 12, 5), ("c", 2, 3, "f", 1, 1_000_000_000, 6), ("c", 3, 4, "f", 5000, 9000, 5), ("c", 4, 5, "g", 1, 3, 5)]
+    d = spark.createDataFrame(rows, "conv string, gi long, step long, file string, lo long, hi long, tokens long")
+    got = {r.gi: (r.prior, r.last_gi) for r in ranges.rerequests(d).collect()}
+    assert got == {0: (0, None), 1: (1, 0), 2: (2, 1), 3: (2, 2), 4: (0, None)}
+    assert {r.gi: (r.event, r.same_file, r.last_cut) for r in ranges.rerequest_columns(d).collect()} == {0: (0, 0, 0), 1: (1, 0, 0), 2: (1, 1, 0), 3: (1, 2, 1), 4: (0, 0, 0)}
+
+
+def test_null_text_is_not_a_role(spark):
+    m = spark.createDataFrame([(1, 0, "user", None), (2, 0, None, "user")], "conv_id long, turn long, role string, text string")
+    assert [r.prefix_len for r in trace.prefix_lengths(m).collect()] == [0]

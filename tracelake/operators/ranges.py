@@ -5,9 +5,13 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.commands import WHOLE
+
 OVERLAP = 0.6
 #: Lines per bucket of the range join: two ranges that meet share a bucket.
 BUCKET = 64
+#: Buckets over which a range is dealt at most.
+SPREAD = 32
 
 
 def derived_ranges(lineitem: DataFrame) -> DataFrame:
@@ -19,16 +23,27 @@ def derived_ranges(lineitem: DataFrame) -> DataFrame:
     return d.withColumn("gi", F.row_number().over(Window.partitionBy("conv").orderBy("step", "ln", "lo", "file")).cast("long") - 1).drop("ln")
 
 
+def whole_files(ranges: DataFrame) -> DataFrame:
+    """`ranges` with a missing first line as 1 and a missing last line as the end of any file."""
+    return ranges.withColumns({"lo": F.coalesce("lo", F.lit(1)).cast("long"), "hi": F.coalesce("hi", F.lit(WHOLE)).cast("long")})
+
+
 def _met(ranges: DataFrame) -> DataFrame:
-    """Pairs (i, j) of one conversation and file with common lines and different steps or positions; both sides' columns, the second with suffix 2.
+    """Pairs (i, j) of one conversation and file with common lines and different positions; both sides' columns, the second with suffix 2.
 
-    Ranges are dealt to fixed buckets of lines, so the join is by equality; a pair counts in the first bucket it shares.
+    Ranges are dealt to buckets of lines, so the join is by equality; a pair counts in the first bucket it shares. A range over more
+    than `SPREAD` buckets, a whole file above all, is not dealt: such a row meets its file's others by conversation and file alone.
     """
-    b = F.explode(F.sequence(F.floor(F.col("lo") / BUCKET), F.floor(F.col("hi") / BUCKET))).alias("b")
-    one = ranges.select("*", b)
-    two = ranges.select("conv", "file", F.col("gi").alias("gi2"), F.col("step").alias("step2"), F.col("lo").alias("lo2"), F.col("hi").alias("hi2"), F.col("tokens").alias("tokens2")).withColumn("b", F.explode(F.sequence(F.floor(F.col("lo2") / BUCKET), F.floor(F.col("hi2") / BUCKET))))
-    d = one.join(two, ["conv", "file", "b"]).filter("gi <> gi2 AND lo <= hi2 AND lo2 <= hi")
-    return d.filter(F.col("b") == F.floor(F.greatest("lo", "lo2") / BUCKET))
+    ranges = whole_files(ranges).withColumn("wide", F.col("hi") - F.col("lo") > SPREAD * BUCKET)
+    two = ranges.select("conv", "file", *[F.col(c).alias(f"{c}2") for c in ("gi", "step", "lo", "hi", "tokens", "wide")])
+
+    def dealt(d: DataFrame, lo: str, hi: str) -> DataFrame:
+        return d.withColumn("b", F.explode(F.sequence(F.floor(F.col(lo) / BUCKET), F.floor(F.col(hi) / BUCKET))))
+
+    near = dealt(ranges.filter("NOT wide"), "lo", "hi").join(dealt(two.filter("NOT wide2"), "lo2", "hi2"), ["conv", "file", "b"])
+    near = near.filter(F.col("b") == F.floor(F.greatest("lo", "lo2") / BUCKET)).drop("b")
+    far = ranges.filter("wide").join(two, ["conv", "file"]).unionByName(ranges.filter("NOT wide").join(two.filter("wide2"), ["conv", "file"]))
+    return near.unionByName(far).filter("gi <> gi2 AND lo <= hi2 AND lo2 <= hi").drop("wide", "wide2")
 
 
 def _common():
@@ -54,10 +69,16 @@ def rerequests(ranges: DataFrame) -> DataFrame:
     return ranges.join(d, ["conv", "gi"], "left").select("conv", "gi", F.coalesce("prior", F.lit(0)).cast("long").alias("prior"), F.col("last.step2").alias("last_step"), (-F.col("last.g")).alias("last_gi"))
 
 
-def rerequest_counts(ranges: DataFrame) -> DataFrame:
-    """Events at earlier steps, in the conversation and on the same file."""
+def rerequest_columns(ranges: DataFrame) -> DataFrame:
+    """(conv, gi, prior, event, same_file, all_events, last_cut): earlier serves of any of a range's lines and whether there is one; such
+    events at earlier steps, on the same file and (as ln(1 + n)) at all; and whether the most recent serve was cut (`tokens` a third
+    of the time: its cut flag, 0 without an earlier serve)."""
     before = lambda *k: Window.partitionBy(*k).orderBy("step").rangeBetween(Window.unboundedPreceding, -1)
-    return ranges.select("conv", "gi", F.count("*").over(before("conv")).alias("earlier"), F.count("*").over(before("conv", "file")).alias("earlier_same_file"), (F.col("step") - F.max("step").over(before("conv", "file"))).alias("file_recency"))
+    d = ranges.join(rerequests(ranges), ["conv", "gi"]).withColumn("event", F.when(F.col("prior") > 0, 1).otherwise(0))
+    count = lambda *k: F.coalesce(F.sum("event").over(before(*k)), F.lit(0))
+    cut = ranges.select("conv", F.col("gi").alias("last_gi"), F.when(F.col("tokens") % 3 == 0, 1).otherwise(0).alias("cut"))
+    d = d.withColumns({"same_file": count("conv", "file"), "all_events": F.round(F.log1p(count("conv").cast("double")), 9)})
+    return d.join(cut, ["conv", "last_gi"], "left").select("conv", "gi", "prior", "event", "same_file", "all_events", F.coalesce("cut", F.lit(0)).alias("last_cut"))
 
 
 def merge_ranges(ranges: DataFrame) -> DataFrame:

@@ -23,9 +23,10 @@ def steps(messages: DataFrame) -> DataFrame:
 def chunks(messages: DataFrame, window: int = WINDOW_LINES) -> DataFrame:
     """Windows of lines of every message but system text and the task; blank windows go. gi numbers them by (step, turn, window)."""
     d = steps(messages).filter("role <> 'system' AND NOT is_task").withColumn("kind", F.when(F.col("role") == "assistant", "asst").otherwise("other"))
-    d = d.select("conv_id", "turn", "step", "tail_lo", "kind", F.posexplode(splitlines(F.col("text"))).alias("line_no", "line"))
-    d = d.groupBy("conv_id", "turn", "step", "tail_lo", "kind", F.floor(F.col("line_no") / window).cast("long").alias("win")).agg(F.sort_array(F.collect_list(F.struct("line_no", "line"))).alias("ls"))
-    d = d.withColumn("text", F.array_join(F.transform("ls", lambda x: x["line"]), "\n")).drop("ls").filter(F.trim("text") != "")
+    lines = splitlines(F.col("text"))
+    d = d.select("conv_id", "turn", "step", "tail_lo", "kind", lines.alias("ls")).filter(F.size("ls") > 0)
+    parts = F.transform(F.sequence(F.lit(0), F.floor((F.size("ls") - 1) / window).cast("int")), lambda k: F.array_join(F.slice("ls", k * window + 1, F.lit(window)), "\n"))
+    d = d.select("conv_id", "turn", "step", "tail_lo", "kind", F.posexplode(parts).alias("win", "text")).withColumn("win", F.col("win").cast("long")).filter(F.trim("text") != "")
     d = d.withColumn("tokens", token_estimate(F.col("text")))
     return d.withColumn("gi", F.row_number().over(Window.partitionBy("conv_id").orderBy("step", "turn", "win")).cast("long") - 1)
 
@@ -52,7 +53,7 @@ def long_runs(marked: DataFrame, min_tokens: int = MIN_RUN_TOKENS) -> DataFrame:
 def threshold_cut(messages: DataFrame, tau_q: int) -> DataFrame:
     """Chunks below the threshold in steps before the current turn's tail, in long runs only; equal chunks of one message fall together."""
     d = scored(messages).withColumn("cut", (F.col("score_q") < tau_q) & (F.col("step") < F.coalesce(F.col("tail_lo"), F.lit(0))))
-    d = d.withColumn("cut", F.max("cut").over(Window.partitionBy("conv_id", "turn", "kind", "text")))
+    d = d.withColumn("cut", F.max("cut").over(Window.partitionBy("conv_id", "turn", "kind", F.sha2("text", 256))))
     return long_runs(d)
 
 
@@ -71,8 +72,8 @@ def struct_features(chunked: DataFrame) -> DataFrame:
     all_ = Window.partitionBy("conv_id")
     obs = F.sum("tokens").over(Window.partitionBy("conv_id", "step"))
     total, last = F.sum("tokens").over(all_), F.max("step").over(all_)
-    copies = F.count("*").over(Window.partitionBy("conv_id", "text").orderBy("step").rangeBetween(Window.unboundedPreceding, -1))
-    newer = F.max("step").over(Window.partitionBy("conv_id", "text")) > F.col("step")
+    copies = F.count("*").over(Window.partitionBy("conv_id", F.sha2("text", 256)).orderBy("step").rangeBetween(Window.unboundedPreceding, -1))
+    newer = F.max("step").over(Window.partitionBy("conv_id", F.sha2("text", 256))) > F.col("step")
     return chunked.select(
         "conv_id", "gi",
         F.round(F.log1p(obs.cast("double")) / 8, 9).alias("log_obs"), F.round(F.col("tokens") / obs, 9).alias("obs_share"), (last - F.col("step")).alias("age"),
@@ -85,7 +86,7 @@ def struct_features(chunked: DataFrame) -> DataFrame:
 def causal_features(chunked: DataFrame) -> DataFrame:
     """The same shares as each step saw them: prefix sums by step, no replay."""
     before = Window.partitionBy("conv_id").orderBy("step").rangeBetween(Window.unboundedPreceding, 0)
-    copies = F.count("*").over(Window.partitionBy("conv_id", "text").orderBy("step").rangeBetween(Window.unboundedPreceding, -1))
+    copies = F.count("*").over(Window.partitionBy("conv_id", F.sha2("text", 256)).orderBy("step").rangeBetween(Window.unboundedPreceding, -1))
     return chunked.select("conv_id", "gi", F.round(F.col("tokens") / F.sum("tokens").over(before), 9).alias("prefix_share"), F.count("*").over(before).alias("prefix_chunks"), copies.alias("earlier_copies"), F.when(F.col("step") > 0, 1).otherwise(0).alias("step_pos"))
 
 
@@ -108,7 +109,7 @@ def role_cuts(messages: DataFrame, tau_q: int = 700_000) -> DataFrame:
 
 def prefix_lengths(messages: DataFrame) -> DataFrame:
     """For each conversation and the next one by id: how many leading messages have equal role and text."""
-    a = messages.select("conv_id", "turn", F.sha2(F.concat_ws(":", "role", "text"), 256).alias("fp"))
+    a = messages.select("conv_id", "turn", F.sha2(F.to_json(F.struct("role", "text")), 256).alias("fp"))
     ids = messages.select("conv_id").distinct()
     nxt = ids.withColumn("nxt", F.col("conv_id") + 1).join(ids.withColumnRenamed("conv_id", "nxt"), "nxt", "left_semi")
     left = a.join(nxt, "conv_id")

@@ -65,7 +65,7 @@ SELECT conv_id, gi, round(ln(1 + CAST(obs AS DOUBLE)) / 8, 9) AS log_obs, round(
     "dup_range": f"WITH {_RANGES} SELECT conv, gi, round(coalesce(s, 0), 9) AS sup, CAST(coalesce(d, 0) AS BIGINT) AS dup FROM r LEFT JOIN (SELECT conv, gi, max(CASE WHEN step2 > step THEN share END) AS s, sum(CASE WHEN step2 < step AND share >= 0.6 THEN 1 ELSE 0 END) AS d FROM met GROUP BY 1, 2) USING (conv, gi)",
     "supersession_edges": f"WITH {_RANGES} SELECT conv, count(*) AS edges, CAST(sum(gi) AS BIGINT) AS src, CAST(sum(gi2) AS BIGINT) AS dst FROM met WHERE step2 > step AND share >= 0.6 GROUP BY 1",
     "rereq_base": f"WITH {_RANGES}, e AS (SELECT *, row_number() OVER (PARTITION BY conv, gi ORDER BY step2 DESC, gi2) AS rn, count(*) OVER (PARTITION BY conv, gi) AS n FROM met WHERE step2 < step) SELECT r.conv, r.gi, CAST(coalesce(n, 0) AS BIGINT) AS prior, e.step2 AS last_step, e.gi2 AS last_gi FROM r LEFT JOIN e ON e.conv = r.conv AND e.gi = r.gi AND e.rn = 1",
-    "rereq_events": f"WITH {_RANGES} SELECT conv, gi, count(*) OVER a AS earlier, count(*) OVER b AS earlier_same_file, step - max(step) OVER b AS file_recency FROM r WINDOW a AS (PARTITION BY conv ORDER BY step RANGE BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), b AS (PARTITION BY conv, file ORDER BY step RANGE BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)",
+    "rereq_events": f"WITH {_RANGES}, e AS (SELECT *, row_number() OVER (PARTITION BY conv, gi ORDER BY step2 DESC, gi2) AS rn, count(*) OVER (PARTITION BY conv, gi) AS n FROM met WHERE step2 < step), p AS (SELECT r.*, coalesce(e.n, 0) AS prior, e.gi2 AS last_gi FROM r LEFT JOIN e ON e.conv = r.conv AND e.gi = r.gi AND e.rn = 1), v AS (SELECT *, CASE WHEN prior > 0 THEN 1 ELSE 0 END AS event FROM p) SELECT v.conv, v.gi, CAST(prior AS BIGINT) AS prior, event, CAST(coalesce(sum(event) OVER f, 0) AS BIGINT) AS same_file, round(ln(1 + CAST(coalesce(sum(event) OVER a, 0) AS DOUBLE)), 9) AS all_events, CASE WHEN c.tokens % 3 = 0 THEN 1 ELSE 0 END AS last_cut FROM v LEFT JOIN r c ON c.conv = v.conv AND c.gi = v.last_gi WINDOW a AS (PARTITION BY v.conv ORDER BY v.step RANGE BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), f AS (PARTITION BY v.conv, v.file ORDER BY v.step RANGE BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)",
     "merge_ranges": f"WITH {_RANGES}, n AS (SELECT *, CASE WHEN lo <= max(hi) OVER (PARTITION BY conv, file ORDER BY lo, hi {_PRE} 1 PRECEDING) + 1 THEN 0 ELSE 1 END AS new FROM r), i AS (SELECT *, sum(new) OVER (PARTITION BY conv, file ORDER BY lo, hi {_PRE} CURRENT ROW) AS island FROM n) SELECT conv, file, min(lo) AS lo, max(hi) AS hi, count(*) AS n FROM i GROUP BY conv, file, island",
     "neighbour_chains": f"WITH {_RANGES} SELECT conv, gi, lead(gi) OVER (PARTITION BY conv, file ORDER BY lo, gi) AS next_in_file, lead(gi) OVER (PARTITION BY conv ORDER BY gi) AS next_in_time FROM r",
     "tool_prune": f"WITH {_RANGES}, p AS (SELECT conv, tokens, coalesce(sum(tokens) OVER (PARTITION BY conv ORDER BY lo, gi {_PRE} 1 PRECEDING), 0) < CAST(0.7 AS DOUBLE) * sum(tokens) OVER (PARTITION BY conv) AS cut FROM r) SELECT conv, CAST(sum(CASE WHEN cut THEN 1 ELSE 0 END) AS BIGINT) AS pruned, CAST(sum(CASE WHEN cut THEN tokens ELSE 0 END) AS BIGINT) AS pruned_tokens FROM p GROUP BY 1",
