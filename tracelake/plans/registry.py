@@ -11,6 +11,7 @@ from ..functions.text import conversation_scores
 from ..operators import commands, documents, ledger, ranges, sessions, trace, vectors
 from . import decisions as decision_plans
 from . import shell as shell_plans
+from . import sources as source_plans
 from .sql import SQL
 
 #: What each query reads, how the table is prepared, and the operator.
@@ -66,7 +67,7 @@ _QUERIES = {
     "url_paths": ("pages", None, documents.path_depths),
 }
 
-_QUERIES |= shell_plans.QUERIES | decision_plans.QUERIES
+_QUERIES |= shell_plans.QUERIES | decision_plans.QUERIES | source_plans.QUERIES
 
 
 def _tau_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -93,4 +94,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return SQL | shell_plans.SQL | decision_plans.SQL
+    return SQL | shell_plans.SQL | decision_plans.SQL | source_plans.SQL
