@@ -8,7 +8,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.text import conversation_scores
-from ..operators import commands, documents, ledger, ranges, sessions, trace, vectors
+from ..operators import commands, documents, graph, ledger, ranges, sessions, trace, vectors
+from ..streaming import gates, keyed
 from . import decisions as decision_plans
 from . import shell as shell_plans
 from . import sources as source_plans
@@ -65,6 +66,12 @@ _QUERIES = {
     "keep_sets": ("events", None, sessions.keep_sets),
     "value_stats": ("events", None, sessions.value_stats),
     "url_paths": ("pages", None, documents.path_depths),
+    "hourly_ledger": ("events", ledger.derived_ledger, gates.hourly_ledger),
+}
+#: Folds without SQL; tests hold them against brute force, and streams against tables.
+_FOLDS = {
+    "reread_gate": ("lineitem", ranges.derived_ranges, lambda d: keyed.over_table(gates.derived_gate_rows(d), "session", "seq", gates.gate_step, gates.GATE)),
+    "pagerank": ("lineitem", graph.derived_edges, graph.pagerank),
 }
 
 _QUERIES |= shell_plans.QUERIES | decision_plans.QUERIES | source_plans.QUERIES
@@ -77,7 +84,7 @@ def _tau_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _query(name: str) -> Callable[[SparkSession, str], DataFrame]:
-    table, prepare, operator = _QUERIES[name]
+    table, prepare, operator = (_QUERIES | _FOLDS)[name]
 
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
         d = spark.read.parquet(f"{sf_dir}/{table}.parquet")
@@ -87,7 +94,7 @@ def _query(name: str) -> Callable[[SparkSession, str], DataFrame]:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    out = {name: _query(name) for name in _QUERIES}
+    out = {name: _query(name) for name in _QUERIES | _FOLDS}
     out["tau_quantile"] = lambda spark, sf_dir: ledger.tau_for_coverage(_tau_rows(spark, sf_dir), 0.9)
     out["tau_report"] = lambda spark, sf_dir: ledger.tau_report(_tau_rows(spark, sf_dir), 500_000)
     return out

@@ -49,6 +49,7 @@ _TAU = """t AS (SELECT lang AS kind, doc_id AS id, doc_id * 7919 % 1000000 AS sc
 _PRE = "ROWS BETWEEN UNBOUNDED PRECEDING AND"
 
 SQL: dict[str, str] = {
+    "hourly_ledger": f"WITH {_LEDGER} SELECT CAST(date_trunc('hour', ts) AS TIMESTAMP) AS hour, count(*) AS n, CAST(sum(cf) AS BIGINT) AS cf, CAST(sum(billed) AS BIGINT) AS billed FROM led GROUP BY 1",
     "cut_summary": f"WITH {_CUT} SELECT m.conv_id, m.n_messages, m.mass, CAST(coalesce(t, 0) AS BIGINT) AS cut_tokens, CAST(coalesce(k, 0) AS BIGINT) AS cut_chunks FROM (SELECT conv_id, count(*) AS n_messages, CAST(sum(length(text) // 4) AS BIGINT) AS mass FROM conversations GROUP BY 1) m LEFT JOIN (SELECT conv_id, sum(tokens) AS t, count(*) AS k FROM cuts GROUP BY 1) USING (conv_id)",
     "trace_steps": f"WITH {_STEPS} SELECT conv_id, turn, step, is_task, tail_lo FROM steps",
     "chunk_other": f"WITH {_CHUNKS} SELECT conv_id, gi, turn, step, kind, win, tokens, sha256(text) AS sha FROM chunks",

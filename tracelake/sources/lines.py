@@ -13,9 +13,9 @@ LEDGER_VERSION = "savings-ledger/v0"
 
 
 def text_lines(spark: SparkSession, path: str) -> DataFrame:
-    """(conv, line_no, line) of text files, one conversation a file; line numbers follow the order in the file."""
-    d = spark.read.option("wholetext", True).text(path).select(F.col("_metadata.file_name").alias("conv"), F.split("value", "\r?\n").alias("lines"))
-    return d.select("conv", F.posexplode("lines").alias("line_no", "line")).filter("line <> ''")
+    """(conv, line_no, line) of text files, one conversation a file; lines are read in splits and numbered by their place in the file."""
+    d = spark.read.text(path).select(F.col("_metadata.file_name").alias("conv"), F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("id"), F.col("value").alias("line"))
+    return d.withColumn("line_no", F.row_number().over(Window.partitionBy("conv").orderBy("block", "id")).cast("long") - 1).filter("line <> ''").select("conv", "line_no", "line")
 
 
 def _get(v: Column, path: str, kind: str = "string") -> Column:
