@@ -30,7 +30,7 @@ from .common import table, widened
 WINDOW = 3
 DENSE = 80
 #: How often a character in an article or main element counts.
-HINT = 3
+HINT = 25
 DEPTH = 512
 # Fixed values of HTML: elements without content, blocks, and elements that hold no article text.
 _VOID = set("area base br col embed hr img input link meta param source track wbr".split())
