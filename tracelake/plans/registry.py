@@ -11,6 +11,7 @@ from ..functions.text import conversation_scores
 from ..operators import commands, documents, graph, ledger, ranges, sessions, trace, vectors
 from ..streaming import gates, keyed
 from . import decisions as decision_plans
+from . import fields as field_plans
 from . import shell as shell_plans
 from . import sources as source_plans
 from .sql import SQL
@@ -74,7 +75,7 @@ _FOLDS = {
     "pagerank": ("lineitem", graph.derived_edges, graph.pagerank),
 }
 
-_QUERIES |= shell_plans.QUERIES | decision_plans.QUERIES | source_plans.QUERIES
+_QUERIES |= shell_plans.QUERIES | decision_plans.QUERIES | source_plans.QUERIES | field_plans.QUERIES
 
 
 def _tau_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -101,4 +102,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return SQL | shell_plans.SQL | decision_plans.SQL | source_plans.SQL
+    return SQL | shell_plans.SQL | decision_plans.SQL | source_plans.SQL | field_plans.SQL
