@@ -142,3 +142,63 @@ def test_op2_hostile_pages_take_linear_time():
     deep = "<div>" * 2000 + "<p>inner</p>" + "</div>" * 2000 + "<p>outer</p>"
     assert html_text.main_text(deep) == "inner\n\nouter"
     assert html_text.main_text("<p title=don't>it's<p>two") == "it's\n\ntwo"
+
+
+def test_pipeline_stage_by_stage(spark, folder, tmp_path):
+    """Every stage of run() against brute force on what its predecessor kept: nulls, empty, long and repeated texts, an own column `lost`."""
+    import itertools
+
+    import tiktoken
+
+    import corpus_pipeline
+    from tests.llm.test_llm import brute_hits
+
+    items = [(1, " ".join(TEXTS[9].split()[500:512])), (2, "w1 w2 w3"), (3, None)]
+    spark.createDataFrame(items, "item_id long, text string").write.parquet(f"{folder}/benchmark.parquet")
+    docs = spark.read.parquet(f"{folder}/documents.parquet")
+    columns, texts, seen = docs.columns, dict(TEXTS), {}
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        docs = stage(spark, docs, folder)
+        assert sorted(docs.columns) == sorted(columns)
+        rows = docs.collect()
+        assert all(r.lost == 7 for r in rows) and len({r.doc_id for r in rows}) == len(rows)
+        seen[name] = {r.doc_id: r.text for r in rows}
+        docs = spark.createDataFrame(rows, docs.schema)
+    good = {r.doc_id for r in quality.judge(spark.read.parquet(f"{folder}/documents.parquet"), spark.read.parquet(f"{folder}/labels.parquet")).filter("kept").collect()}
+    assert seen["quality"] == {i: texts[i] for i in good} and 5 < len(good) < len(texts)
+
+    key = lambda s: s.strip(" \t\n\x0b\x0c\r").translate({c: c + 32 for c in range(65, 91)})
+    held = collections.defaultdict(set)
+    for i, t in seen["quality"].items():
+        for x in (t or "").split("\n"):
+            if len(key(x)) >= 20:
+                held[key(x)].add(i)
+    want = {i: t and "\n".join(x for x in t.split("\n") if len(held[key(x)]) < 3 or max(held[key(x)]) == i) for i, t in seen["quality"].items()}
+    assert seen["lines"] == want
+
+    sets = {i: {tuple(w[k : k + 5]) for k in range(len(w) - 4)} if len(w := t.encode().lower().split()) >= 5 else {tuple(w)} if w else set() for i, t in want.items()}
+    up = {i: i for i in sets}
+    for a, b in itertools.combinations(sorted(sets), 2):
+        if sets[a] and 100 * len(sets[a] & sets[b]) >= 80 * len(sets[a] | sets[b]):
+            lo, hi = sorted((up[a], up[b]))
+            up = {k: lo if v == hi else v for k, v in up.items()}
+    one = {i: t for i, t in want.items() if up[i] == i}
+    assert seen["near_duplicates"] == one and len(one) < len(want)
+    clean = {i: t for i, t in one.items() if not brute_hits(t, items)[1]}
+    assert seen["decontamination"] == clean and len(clean) < len(one)
+
+    path, pattern = bpe.public_vocabulary()
+    ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, open(path, "rb"))}
+    encoding = tiktoken.Encoding("own", pat_str=pattern, mergeable_ranks=ranks, special_tokens={})
+    got = {r.doc_id: (r.n_tokens, r.ids_sha256, r.decoded_sha256) for r in corpus_pipeline.run(spark, folder).collect()}
+    ids = {i: encoding.encode_ordinary(t) for i, t in clean.items()}
+    assert got == {i: (len(x), sha(np.array(x, "<u4").tobytes()), sha(clean[i].encode())) for i, x in ids.items()}
+
+
+def test_pipeline_of_empty_tables(spark, folder, tmp_path):
+    import corpus_pipeline
+
+    for name in ("documents", "labels"):
+        spark.read.parquet(f"{folder}/{name}.parquet").limit(0).write.parquet(f"{tmp_path}/{name}.parquet")
+    spark.createDataFrame([], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    assert corpus_pipeline.run(spark, str(tmp_path)).count() == 0
