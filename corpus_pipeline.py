@@ -1,6 +1,9 @@
 """The corpus pipeline: quality rules, line dedup, near-dedup, benchmark decontamination, tokenisation.
 
 Every stage takes (spark, docs, sf_dir) and gives a DataFrame with the columns of documents; the last gives token digests.
+
+Defined results for all stages: an empty table gives an empty one; extra columns, whatever their names, come back as they were; rows
+literally repeated are treated alike, so all of them stay or go.
 """
 
 from __future__ import annotations
@@ -12,27 +15,27 @@ from tracelake.llm.common import stored, table
 
 
 def good_documents(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Operator 9: documents that the quality rules reject go."""
+    """Operator 9: documents that the quality rules reject go, null and empty texts with them (they have no words)."""
     return quality.keep_good(docs, table(spark, sf_dir, "labels"))
 
 
 def without_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Operator 7: lines found in three documents or more stay in one of them."""
+    """Operator 7: lines found in three documents or more stay in the one with the largest id; null text stays null, n_chars follows text."""
     return lines.dedup_lines(docs)
 
 
 def one_of_each_group(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Operator 3, five words and 0.8: one document of each group of near duplicates stays."""
+    """Operator 3, five words and 0.8: of each group of near duplicates the smallest id stays; wordless texts and null ids always do."""
     return neardup.keep_one(docs)
 
 
 def without_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Operator 8: documents with a benchmark window go."""
+    """Operator 8: documents with a benchmark window go; null and wordless texts have none."""
     return decontaminate.decontaminate(docs, table(spark, sf_dir, "benchmark"))
 
 
 def tokenised(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Operator 10: token ids, as digests."""
+    """Operator 10: token ids, as digests; null text has none."""
     return bpe.token_digests(docs, *bpe.public_vocabulary())
 
 
