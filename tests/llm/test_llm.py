@@ -319,6 +319,19 @@ def test_langid_sample_counts_copies_once(spark):
     assert {k: set(v) for k, v in got.items() if k != "en"} == {f"l{k}": {f"text {i} of l{k}" for i in range(3)} for k in range(8)}
     assert len(got["en"]) == len(set(got["en"])) == 20 and all(len(v) == 3 for k, v in got.items() if k != "en")
     assert got == langid.labelled_sample(d.repartition(3), docs_per_lang=20)
+    shared = langid.labelled_sample(d, docs_per_lang=20, sample_texts=18)
+    assert len(shared) == 9 and all(len(v) == 2 for v in shared.values())
+    assert all(len(v) == 1 for v in langid.labelled_sample(d, sample_texts=3).values())
+
+
+def test_langid_learns_every_label_and_long_pieces():
+    pieces = langid.Pieces([b"th", b"internationalisation"])
+    langs, prob = langid.train({f"l{k:03d}": [f"word{chr(97 + k % 26)}{chr(97 + k // 26)} internationalisation"] for k in range(250)}, pieces, rounds=1)
+    assert len(langs) == 250 and pieces.widest == 20
+    scorer = langid.Scorer(pieces, prob)
+    scorer.most = 1
+    a, b = scorer.score(["internationalisation"])[0], scorer.score(["th", "internationalisation"])[1]
+    assert np.allclose(a, b) and np.isfinite(a).all()
 
 
 def test_forward_sums_all_segmentations():
