@@ -28,22 +28,28 @@ def whole_files(ranges: DataFrame) -> DataFrame:
     return ranges.withColumns({"lo": F.coalesce("lo", F.lit(1)).cast("long"), "hi": F.coalesce("hi", F.lit(WHOLE)).cast("long")})
 
 
-def _met(ranges: DataFrame) -> DataFrame:
-    """Pairs (i, j) of one conversation and file with common lines and different positions; both sides' columns, the second with suffix 2.
+def overlaps(left: DataFrame, right: DataFrame) -> DataFrame:
+    """Pairs of one conversation and file with common lines; all columns, the right's with suffix 2.
 
     Ranges are dealt to buckets of lines, so the join is by equality; a pair counts in the first bucket it shares. A range over more
     than `SPREAD` buckets, a whole file above all, is not dealt: such a row meets its file's others by conversation and file alone.
     """
-    ranges = whole_files(ranges).withColumn("wide", F.col("hi") - F.col("lo") > SPREAD * BUCKET)
-    two = ranges.select("conv", "file", *[F.col(c).alias(f"{c}2") for c in ("gi", "step", "lo", "hi", "tokens", "wide")])
+    one = whole_files(left).withColumn("wide", F.col("hi") - F.col("lo") > SPREAD * BUCKET)
+    two = whole_files(right).withColumn("wide", F.col("hi") - F.col("lo") > SPREAD * BUCKET)
+    two = two.select("conv", "file", *[F.col(c).alias(f"{c}2") for c in two.columns if c not in ("conv", "file")])
 
     def dealt(d: DataFrame, lo: str, hi: str) -> DataFrame:
         return d.withColumn("b", F.explode(F.sequence(F.floor(F.col(lo) / BUCKET), F.floor(F.col(hi) / BUCKET))))
 
-    near = dealt(ranges.filter("NOT wide"), "lo", "hi").join(dealt(two.filter("NOT wide2"), "lo2", "hi2"), ["conv", "file", "b"])
+    near = dealt(one.filter("NOT wide"), "lo", "hi").join(dealt(two.filter("NOT wide2"), "lo2", "hi2"), ["conv", "file", "b"])
     near = near.filter(F.col("b") == F.floor(F.greatest("lo", "lo2") / BUCKET)).drop("b")
-    far = ranges.filter("wide").join(two, ["conv", "file"]).unionByName(ranges.filter("NOT wide").join(two.filter("wide2"), ["conv", "file"]))
-    return near.unionByName(far).filter("gi <> gi2 AND lo <= hi2 AND lo2 <= hi").drop("wide", "wide2")
+    far = one.filter("wide").join(two, ["conv", "file"]).unionByName(one.filter("NOT wide").join(two.filter("wide2"), ["conv", "file"]))
+    return near.unionByName(far).filter("lo <= hi2 AND lo2 <= hi").drop("wide", "wide2")
+
+
+def _met(ranges: DataFrame) -> DataFrame:
+    """Pairs of one table's rows at different positions."""
+    return overlaps(ranges, ranges).filter("gi <> gi2")
 
 
 def _common():
