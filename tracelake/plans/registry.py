@@ -16,6 +16,7 @@ from . import needed as needed_plans
 from . import serving as serving_plans
 from . import shell as shell_plans
 from . import sources as source_plans
+from . import wire as wire_plans
 from .sql import SQL
 
 #: What each query reads, how the table is prepared, and the operator.
@@ -77,7 +78,7 @@ _FOLDS = {
     "pagerank": ("lineitem", graph.derived_edges, graph.pagerank),
 }
 
-_QUERIES |= shell_plans.QUERIES | decision_plans.QUERIES | source_plans.QUERIES | field_plans.QUERIES | serving_plans.QUERIES | needed_plans.QUERIES
+_QUERIES |= shell_plans.QUERIES | decision_plans.QUERIES | source_plans.QUERIES | field_plans.QUERIES | serving_plans.QUERIES | needed_plans.QUERIES | wire_plans.QUERIES
 
 
 def _tau_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -104,4 +105,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return SQL | shell_plans.SQL | decision_plans.SQL | source_plans.SQL | field_plans.SQL | serving_plans.SQL | needed_plans.SQL
+    return SQL | shell_plans.SQL | decision_plans.SQL | source_plans.SQL | field_plans.SQL | serving_plans.SQL | needed_plans.SQL | wire_plans.SQL
