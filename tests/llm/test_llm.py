@@ -84,7 +84,7 @@ def test_lines(docs, empty):
         for x in (t or "").split("\n"):
             if len(key(x)) >= 20:
                 held[key(x)].add(i)
-    for r in lines.with_kept_text(docs).collect():
+    for r in lines.with_kept_text(docs).unionByName(lines.with_kept_text(docs, hot_share=1)).unionByName(lines.with_kept_text(docs, hot_share=20)).collect():
         own = (TEXTS[r.doc_id] or "").split("\n")
         kept = [x for x in own if len(held[key(x)]) < 3 or max(held[key(x)]) == r.doc_id]
         assert (r._kept_text, r._n_lines, r._n_dropped) == ("\n".join(kept), len(own), len(own) - len(kept))

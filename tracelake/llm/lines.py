@@ -5,8 +5,9 @@ largest doc_id); a merge anti-join drops the keys that the runs have settled alr
 largest holder is known), and the rest becomes the batch's own sorted run on level 0. As soon as a level has `fanout` runs
 they are merged into one run of the next level. At the end the runs tell which keys lose their lines, and where.
 
-Only DataFrame functions are used. One key may be in any number of documents: counts are summed in the map tasks first, and the
-join of lines with settled keys has one row per key on one side, so adaptive execution splits a hot key's partition.
+Only DataFrame functions are used. One key may be in any number of documents: counts are summed in the map tasks first, and settled
+keys that hold more than one in `HOT_SHARE` of all rows, fewer than `HOT_SHARE` keys therefore, are broadcast to the lines, so no task
+gets all rows of a frequent key. All other settled keys meet their lines in a shuffled join.
 
 Defined results: null or empty text is one empty line; equal doc_ids count as one holder id but as several documents; a null
 doc_id is below all others and never the one that keeps a line found elsewhere; other columns pass.
@@ -23,6 +24,8 @@ MIN_CHARS = 20
 MIN_DOCS = 3
 BATCHES = 4
 FANOUT = 2
+#: A settled key with more than one in so many of all rows is broadcast; there are fewer such keys than this number.
+HOT_SHARE = 10_000
 _BLANKS = " \t\n\x0b\x0c\r"
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
@@ -87,20 +90,25 @@ class LineRuns:
         return rows.groupBy("h1", "h2").agg(F.sum("n").alias("n"), F.max("top").alias("top"))
 
     def settled(self) -> DataFrame:
-        """(h1, h2, top) of the keys found in `min_docs` documents or more."""
-        return self._merge(self._all()).filter(F.col("n") >= self.min_docs).select("h1", "h2", "top")
+        """(h1, h2, n, top) of the keys found in `min_docs` documents or more; n is a key's documents up to the batch that settled it."""
+        return self._merge(self._all()).filter(F.col("n") >= self.min_docs)
 
 
-def lost_lines(docs: DataFrame, batches: int = BATCHES, min_chars: int = MIN_CHARS, min_docs: int = MIN_DOCS, fanout: int = FANOUT) -> DataFrame:
+def lost_lines(docs: DataFrame, batches: int = BATCHES, min_chars: int = MIN_CHARS, min_docs: int = MIN_DOCS, fanout: int = FANOUT, hot_share: int = HOT_SHARE) -> DataFrame:
     """(doc_id, lost): the h1 hashes of the lines that each document loses; only documents that lose some."""
     keys = stored(document_keys(docs, min_chars), "line-keys")
-    low, high = keys.agg(F.min("doc_id").cast("long"), F.max("doc_id").cast("long")).first()
+    low, high, total = keys.agg(F.min("doc_id").cast("long"), F.max("doc_id").cast("long"), F.count("*")).first()
     width = ((high - low) // batches + 1) if low is not None else 1
     number = F.coalesce(F.floor((F.lit(high) - F.col("doc_id")) / F.lit(width)), F.lit(batches - 1))
     runs = LineRuns(min_docs, fanout)
     for b in range(batches):
         runs.add(keys.filter(number == b))
-    lost = keys.join(runs.settled(), ["h1", "h2"]).filter(F.coalesce(F.col("doc_id") < F.col("top"), F.col("top").isNotNull()))
+    settled = stored(runs.settled(), "line-settled")
+    hot = F.col("n") > total // hot_share
+    d = keys.join(F.broadcast(settled.filter(hot).select("h1", "h2", F.struct("top").alias("hot"))), ["h1", "h2"], "left")
+    met = d.filter("hot IS NOT NULL").select("doc_id", "h1", "hot.top")
+    met = met.unionByName(d.filter("hot IS NULL").join(settled.filter(~hot), ["h1", "h2"]).select("doc_id", "h1", "top"))
+    lost = met.filter(F.coalesce(F.col("doc_id") < F.col("top"), F.col("top").isNotNull()))
     return lost.groupBy("doc_id").agg(F.collect_set("h1").alias("lost"))
 
 
