@@ -77,7 +77,7 @@ def test_decontaminate(spark, docs, empty):
     assert decontaminate.find_hits(docs, b.limit(0)).filter("n_hit > 0").count() == 0
 
 
-def test_lines(docs, empty):
+def test_lines(spark, docs, empty):
     key = lambda s: s.strip(" \t\n\x0b\x0c\r").translate({c: c + 32 for c in range(65, 91)})
     held = collections.defaultdict(set)
     for i, t in TEXTS.items():
@@ -88,6 +88,9 @@ def test_lines(docs, empty):
         own = (TEXTS[r.doc_id] or "").split("\n")
         kept = [x for x in own if len(held[key(x)]) < 3 or max(held[key(x)]) == r.doc_id]
         assert (r._kept_text, r._n_lines, r._n_dropped) == ("\n".join(kept), len(own), len(own) - len(kept))
+    # An id far from all others is the last holder of its line.
+    far = spark.createDataFrame([(i, "a line of twenty characters and more") for i in (1, 2, 3, 4, 5, 6, 10**15, None)], "doc_id long, text string")
+    assert {r.doc_id: r._n_dropped for r in lines.with_kept_text(far).collect()} == {None: 1, 10**15: 0} | {i: 1 for i in range(1, 7)}
     assert lines.dedup_lines(docs).columns == docs.columns
     assert lines.dedup_lines(empty).count() == 0
     again = lines.dedup_lines(docs.unionByName(docs)).count()
