@@ -63,3 +63,40 @@ found AS (SELECT doc_id, count(*) AS n_items, string_agg(item, ',' ORDER BY item
 SELECT d.doc_id, len(w) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items, sha256(coalesce(items, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated
 FROM d LEFT JOIN hit ON hit.doc_id = d.doc_id LEFT JOIN found ON found.doc_id = d.doc_id
 """
+
+_BITS = "flatten(list_transform(range(1, length(s) + 1), lambda i: list_transform(range(0, 8), lambda k: ((ascii(s[i]) >> k) & 1)::BIGINT)))"
+
+PREFIX_TRIE = f"""
+WITH c AS (
+  SELECT conv_id::BIGINT AS conv_id, coalesce(role, '') AS role, coalesce(text, '') AS text,
+    row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text) - 1 AS pos
+  FROM conversations WHERE conv_id IS NOT NULL
+),
+ids AS (SELECT conv_id, conv_id::VARCHAR AS s, conv_id - ((conv_id % 5) + 5) % 5 AS base, count(*) AS n FROM c GROUP BY conv_id),
+hs AS (
+  SELECT conv_id, base, n, xor(4294967295, list_reduce([4294967295] || {_BITS}, lambda a, b: xor(a >> 1, CASE WHEN xor(a, b) & 1 = 1 THEN 3988292384 ELSE 0 END))) % 9 AS h FROM ids
+),
+plan AS (SELECT a.*, least(a.h, coalesce(b.n, 0)) AS taken FROM hs a LEFT JOIN ids b ON b.conv_id = a.base),
+r AS (
+  SELECT c.conv_id, pos - h + taken + 1 AS d, role, text FROM c JOIN plan ON plan.conv_id = c.conv_id WHERE pos >= h
+  UNION ALL SELECT plan.conv_id, pos + 1, role, text FROM c JOIN plan ON plan.base = c.conv_id WHERE pos < taken
+),
+p AS (
+  SELECT conv_id, d, text, string_agg(length(role) || ':' || role || length(text) || ':' || text, '' ORDER BY d) OVER (PARTITION BY conv_id ORDER BY d ROWS UNBOUNDED PRECEDING) AS key FROM r
+  UNION ALL SELECT conv_id, 0, '', '' FROM ids
+),
+q AS (SELECT *, d = max(d) OVER (PARTITION BY conv_id) AS ends, lag(key) OVER (PARTITION BY conv_id ORDER BY d) AS up FROM p),
+nodes AS (
+  SELECT d, key, min(conv_id) AS conv_id, count(*) AS n_convs, any_value(up) AS up, (count(*) - 1) * strlen(any_value(text)) AS saved,
+    sha256(coalesce(string_agg(conv_id::VARCHAR, ',' ORDER BY conv_id) FILTER (ends), '')) AS ends_sha256
+  FROM q GROUP BY d, key
+),
+kids AS (SELECT d - 1 AS d, up AS key, count(*) AS n FROM nodes WHERE d > 0 GROUP BY ALL),
+own AS (SELECT nodes.*, coalesce(kids.n, 0) AS n_children FROM nodes LEFT JOIN kids ON kids.d = nodes.d AND kids.key = nodes.key),
+sums AS (
+  SELECT q.d, q.key, sum((n_children = 0)::BIGINT)::BIGINT AS n_leaves, sum(saved)::BIGINT AS saved_tokens
+  FROM own JOIN q ON q.conv_id = own.conv_id AND q.d <= own.d GROUP BY ALL
+)
+SELECT o.conv_id, o.d::BIGINT AS depth, u.conv_id AS parent_conv_id, o.n_convs, o.n_children, n_leaves, saved_tokens, o.ends_sha256
+FROM own o JOIN sums ON sums.d = o.d AND sums.key = o.key LEFT JOIN nodes u ON u.d = o.d - 1 AND u.key = o.up
+"""
