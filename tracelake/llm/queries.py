@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, chat, decontaminate, html_text, langid, lines, lm, neardup, quality, repeats, sql
+from . import bpe, chat, decontaminate, html_text, langid, lines, lm, neardup, quality, repeats, runs, shards, sql, trie
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -21,9 +21,12 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_decontaminate": decontaminate.op8_decontaminate,
         "op9_quality": quality.op9_quality,
         "op10_bpe": bpe.op10_bpe,
+        "op11_shards": shards.op11_shards,
+        "op12_trie": trie.op12_trie,
+        "op13_runs": runs.op13_runs,
     }
 
 
 def oracle_sql() -> dict[str, str]:
     """Language models, radix passes, byte merges, page structure and hashed ratios are beyond SQL; tests hold those against brute force."""
-    return {"op3_neardup": sql.NEAR_DUPLICATES, "op6_chat_format": sql.CHAT_FORMAT, "op7_line_dedup": sql.LINE_DEDUP, "op8_decontaminate": sql.DECONTAMINATE}
+    return {"op3_neardup": sql.NEAR_DUPLICATES, "op6_chat_format": sql.CHAT_FORMAT, "op7_line_dedup": sql.LINE_DEDUP, "op8_decontaminate": sql.DECONTAMINATE, "op12_trie": sql.PREFIX_TRIE}
