@@ -202,3 +202,37 @@ def test_pipeline_of_empty_tables(spark, folder, tmp_path):
         spark.read.parquet(f"{folder}/{name}.parquet").limit(0).write.parquet(f"{tmp_path}/{name}.parquet")
     spark.createDataFrame([], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
     assert corpus_pipeline.run(spark, str(tmp_path)).count() == 0
+
+
+PROSE = "Some words of an article that go on for a while and hold enough text to be a line of prose."
+BODY = f"<p>{PROSE} {PROSE}</p><p>{PROSE}</p>"
+MAIN = f"{PROSE} {PROSE}\n\n{PROSE}"
+
+
+@pytest.mark.parametrize(
+    "page, want",
+    [
+        (f"<body><form><div><article>{BODY}</article></div></form></body>", MAIN),
+        (f"<body><form><div>{BODY}</div></form></body>", MAIN),
+        (f"<body><div class='content has-sidebar'><article>{BODY}</article><div class=sidebar>{PROSE}</div></div></body>", MAIN),
+        (f"<body><div class='with-menu'>{BODY}</div></body>", MAIN),
+        (f"<body><div id='modal-root'><main>{BODY}</main></div></body>", MAIN),
+        (f"<article>{BODY}<div class='related-work'><p>{PROSE}</p></div><section id=notice-of-intent>{PROSE}</section></article>", f"{MAIN}\n\n{PROSE}\n\n{PROSE}"),
+        (f"<article>{BODY}<div class='related-posts'>{PROSE}</div><ul class=share-buttons><li>{PROSE}</ul></article>", MAIN),
+        (f"<div>{BODY * 6}</div><nav>x</nav><article>one line</article>", None),
+        (f"<main>{BODY}</main><section><article><a href=x>{PROSE}</a></article><article>{PROSE}</article></section>", MAIN),
+        (f"<article>{BODY}</article><ol class=discussion><li>{BODY * 3}</ol>", MAIN),
+        (f"<article>{BODY}</article><div id=comments>{BODY * 9}</div>", MAIN),
+        (f"<div><article>{BODY}</article></div><div class=comments><article>{BODY * 9}</article></div>", MAIN),
+    ],
+)
+def test_marked_wrappers_keep_the_article(page, want):
+    got = html_text.main_text(page)
+    assert got == want if want else got.startswith("\n\n".join([MAIN] * 6))
+
+
+def test_window_changes_results_on_given_pages(spark):
+    """Without article elements, on pages of the test tables, it is the window's width that joins an article's short lines."""
+    rows = spark.read.parquet("/root/testdata/sf0.001/pages.parquet").select("html").collect()
+    plain = [re.sub(r"</?(article|main)\b", lambda m: m[0].replace(m[1], "section"), r.html or "") for r in rows]
+    assert sum(html_text.main_text(x, 1) != html_text.main_text(x, 8) for x in plain) > 0
