@@ -63,6 +63,18 @@ def brute_hits(text, items):
     return len(w), len(hit), sorted(found)
 
 
+def test_a_line_rare_at_first_and_frequent_later_is_told(spark):
+    """It is settled by three documents of the first batch; its count of later batches still makes it one of the broadcast keys."""
+    line = "a line that nearly every document holds"
+    texts = {i: line if i > 996 or i < 700 and i % 2 else f"own line number {i} of this document" for i in range(1000)}
+    keys = lines.document_keys(spark.createDataFrame(list(texts.items()), "doc_id long, text string"))
+    runs = lines.LineRuns(often=50)
+    for b in range(4):
+        runs.add(keys.filter(f"doc_id >= {750 - 250 * b} AND doc_id < {1000 - 250 * b}"))
+    got = runs.settled().collect()
+    assert len(got) == 1 and got[0].n > 50 and got[0].top == 999
+
+
 def test_decontaminate(spark, docs, empty):
     items = [(1, " ".join(TEXTS[3].split()[10:30])), (2, "one"), (3, None), (4, "?!"), (5, " ".join(TEXTS[9].split()[500:512])), (11, "one")]
     b = spark.createDataFrame(items, "item_id long, text string")

@@ -5,9 +5,11 @@ largest doc_id); a merge anti-join drops the keys that the runs have settled alr
 largest holder is known), and the rest becomes the batch's own sorted run on level 0. As soon as a level has `fanout` runs
 they are merged into one run of the next level. At the end the runs tell which keys lose their lines, and where.
 
-Only DataFrame functions are used. One key may be in any number of documents: counts are summed in the map tasks first, and settled
-keys that hold more than one in `HOT_SHARE` of all rows, fewer than `HOT_SHARE` keys therefore, are broadcast to the lines, so no task
-gets all rows of a frequent key. All other settled keys meet their lines in a shuffled join.
+Only DataFrame functions are used. One key may be in any number of documents: counts are summed in the map tasks first. A key with
+more than one in `HOT_SHARE` of all rows has a `batches`-th of that in some batch; such a batch's count is kept in its run even where
+the key is settled already. So the runs tell every frequent key, fewer than `HOT_SHARE * batches` of them, however rare it was in the
+first batches; these are broadcast to the lines, and no task gets all rows of one. All other settled keys meet their lines in a
+shuffled join.
 
 Defined results: null or empty text is one empty line; equal doc_ids count as one holder id but as several documents; a null
 doc_id is below all others and never the one that keeps a line found elsewhere; other columns pass.
@@ -24,7 +26,7 @@ MIN_CHARS = 20
 MIN_DOCS = 3
 BATCHES = 4
 FANOUT = 2
-#: A settled key with more than one in so many of all rows is broadcast; there are fewer such keys than this number.
+#: A settled key with more than one in so many of all rows is broadcast, whatever batches it is in.
 HOT_SHARE = 10_000
 _BLANKS = " \t\n\x0b\x0c\r"
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
@@ -54,8 +56,9 @@ def document_keys(docs: DataFrame, min_chars: int = MIN_CHARS) -> DataFrame:
 class LineRuns:
     """The runs, by level; each is a stored table (h1, h2, n, top) sorted by hash within hash partitions."""
 
-    def __init__(self, min_docs: int = MIN_DOCS, fanout: int = FANOUT):
-        self.min_docs, self.fanout = min_docs, fanout
+    def __init__(self, min_docs: int = MIN_DOCS, fanout: int = FANOUT, often: int = 2**62):
+        """`often`: a key with more documents than this in one batch keeps that count, settled or not."""
+        self.min_docs, self.fanout, self.often = min_docs, fanout, often
         self.levels: list[list[DataFrame]] = []
 
     def _all(self) -> list[DataFrame]:
@@ -68,10 +71,11 @@ class LineRuns:
     def add(self, keys: DataFrame) -> None:
         """A batch of (doc_id, h1, h2), all of whose doc_ids are below those of earlier batches."""
         rows = keys.groupBy("h1", "h2").agg(F.count("*").alias("n"), F.max("doc_id").alias("top"))
+        new, often = rows.filter(F.col("n") <= self.often), rows.filter(F.col("n") > self.often)
         for run in self._all():
             settled = run.filter(F.col("n") >= self.min_docs).select("h1", "h2")
-            rows = rows.join(settled.hint("merge"), ["h1", "h2"], "left_anti")
-        self._put(self._sorted_run(rows, 0), 0)
+            new = new.join(settled.hint("merge"), ["h1", "h2"], "left_anti")
+        self._put(self._sorted_run(new.unionByName(often), 0), 0)
 
     def _put(self, run: DataFrame, level: int) -> None:
         while len(self.levels) <= level:
@@ -90,7 +94,7 @@ class LineRuns:
         return rows.groupBy("h1", "h2").agg(F.sum("n").alias("n"), F.max("top").alias("top"))
 
     def settled(self) -> DataFrame:
-        """(h1, h2, n, top) of the keys found in `min_docs` documents or more; n is a key's documents up to the batch that settled it."""
+        """(h1, h2, n, top) of the keys found in `min_docs` documents or more; n is a key's documents up to the batch that settled it, and of further batches that hold it often."""
         return self._merge(self._all()).filter(F.col("n") >= self.min_docs)
 
 
@@ -100,11 +104,12 @@ def lost_lines(docs: DataFrame, batches: int = BATCHES, min_chars: int = MIN_CHA
     low, high, total = keys.agg(F.min("doc_id").cast("long"), F.max("doc_id").cast("long"), F.count("*")).first()
     width = ((high - low) // batches + 1) if low is not None else 1
     number = F.coalesce(F.floor((F.lit(high) - F.col("doc_id")) / F.lit(width)), F.lit(batches - 1))
-    runs = LineRuns(min_docs, fanout)
+    often = max(min_docs, total // (hot_share * batches))
+    runs = LineRuns(min_docs, fanout, often)
     for b in range(batches):
         runs.add(keys.filter(number == b))
     settled = stored(runs.settled(), "line-settled")
-    hot = F.col("n") > total // hot_share
+    hot = F.col("n") > often
     d = keys.join(F.broadcast(settled.filter(hot).select("h1", "h2", F.struct("top").alias("hot"))), ["h1", "h2"], "left")
     met = d.filter("hot IS NOT NULL").select("doc_id", "h1", "hot.top")
     met = met.unionByName(d.filter("hot IS NULL").join(settled.filter(~hot), ["h1", "h2"]).select("doc_id", "h1", "top"))
