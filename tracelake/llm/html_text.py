@@ -288,8 +288,8 @@ def main_lines(lines: list[tuple[str, int, str, int]], window: int = WINDOW) ->
         prose[part] += len(text) - 2 * linked
     own = {lines[i][1] for i in at.tolist() if lines[i][2] == kind and (i in kept or prose[lines[i][1]] > 0)}
     # One element of the other kind beside them is part of the text; several are teasers of other pages.
-    other = {lines[i][1] for i in at.tolist() if lines[i][2] and lines[i][2] != kind and prose[lines[i][1]] > 0}
-    own |= other if len(other) == 1 else set()
+    other = {part for _, part, what, _ in lines if what and what != kind}
+    own |= other if len(other) == 1 and prose[min(other)] > 0 else set()
     return [i for i, (_, part, *_) in enumerate(lines) if part in own]
 
 
