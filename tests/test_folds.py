@@ -10,49 +10,6 @@ from tracelake.operators import decisions, graph, shell
 from tracelake.sources import lines
 from tracelake.streaming import gates, keyed
 
-ROW = {"session": 1, "seq": 0, "kind": "read", "file": "/r/a.py", "lo": 1, "hi": 9, "tokens": 200, "identity": 1, "cmd": ""}
-
-
-def run(*changes):
-    state = {}
-    return [gates.gate_step(state, ROW | {"seq": i} | c)[3] for i, c in enumerate(changes)]
-
-
-def test_gate_denies_once_and_grants():
-    assert run({}, {}, {}, {}) == [True, False, True, False]
-    assert run({}, {"lo": 10, "hi": 20}, {"tokens": 149}, {"identity": 2}, {"file": "/r/b.py"}) == [True] * 5
-    assert run({}, {"kind": "edit", "file": "/other/a.py"}, {}, {"kind": "reset"}, {}) == [True] * 5
-    make = {"kind": "run", "cmd": "make  t"}
-    assert run(make, make, make, make, make) == [True, True, False, True, False]
-    # the edit resets the count, not the turn: the next denial is due to the other turn
-    assert run(make, make, make, {"kind": "edit"}, make, make, make, make) == [True, True, False, True, True, True, True, False]
-
-
-def gate_rows(n):
-    rng = random.Random(2)
-    return [(rng.randrange(4), i, rng.choice(["read", "read", "read", "run", "edit", "reset"]), f"/r/f{rng.randrange(3)}.py", lo := rng.randrange(20), lo + 5, rng.choice([50, 400]), i // 60, f"make t{rng.randrange(2)}") for i in range(n)]
-
-
-GATE_IN = "session long, seq long, kind string, file string, lo long, hi long, tokens long, identity long, cmd string"
-
-
-def test_stream_equals_table(spark, tmp_path):
-    rows = gate_rows(240)
-    want = sorted(map(tuple, keyed.over_table(spark.createDataFrame(rows, GATE_IN), "session", "seq", gates.gate_step, gates.GATE).collect()))
-    brute, states = [], {}
-    for r in rows:
-        row = dict(zip([c.split()[0] for c in GATE_IN.split(", ")], r))
-        brute.append(gates.gate_step(states.setdefault(r[0], {}), row))
-    assert want == sorted(brute) and any(not r[3] for r in brute)
-    for k in range(3):
-        spark.createDataFrame(rows[k * 80 : k * 80 + 80], GATE_IN).coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
-    stream = spark.readStream.schema(GATE_IN).option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in"))
-    out = keyed.over_stream(stream, "session", "seq", gates.gate_step, gates.GATE)
-    q = out.writeStream.format("memory").queryName("gate").option("checkpointLocation", str(tmp_path / "state")).trigger(availableNow=True).start()
-    q.awaitTermination(120)
-    assert sorted(map(tuple, spark.table("gate").collect())) == want
-
-
 def test_fold_equals_replay(spark):
     rng = random.Random(5)
     rows = [(rng.randrange(3), g, g // 2, g, f"c{rng.randrange(2)}" if rng.random() < 0.9 else None, rng.choice([5, 30]), rng.randrange(1_000_000)) for g in range(300)]

@@ -41,9 +41,9 @@ def test_unmeasured_is_not_zero(spark):
     assert {r.session_id: r.saved for r in ledger.by_session(d).collect()} == {"s": None, "t": -2}
 
 
-def test_breaker_starts_anew_after_an_edit(spark):
-    d = spark.createDataFrame([("s", i, c, c == "e") for i, c in enumerate("aaaeaa", 1)], "session string, seq long, cmd string, edit boolean")
-    assert [r.blocked for r in commands.loop_breaker(d).orderBy("seq").collect()] == [False, False, True, False, False, False]
+def test_breaker_refuses_the_fourth_run_and_starts_anew_after_an_edit(spark):
+    d = spark.createDataFrame([("s", i, c, c == "e") for i, c in enumerate("aaaaaeaaaa", 1)], "session string, seq long, cmd string, edit boolean")
+    assert [r.blocked for r in commands.loop_breaker(d).orderBy("seq").collect()] == [False, False, False, True, False, False, False, False, False, True]
 
 
 def test_whole_file_ranges_meet_without_being_dealt(spark):

@@ -28,11 +28,17 @@ def loop_shares(commands: DataFrame) -> DataFrame:
 
 
 def loop_breaker(commands: DataFrame, limit: int = 3) -> DataFrame:
-    """Runs of each command since the last edit, and whether the breaker's count is reached."""
-    w = Window.partitionBy("session").orderBy("seq").rowsBetween(Window.unboundedPreceding, 0)
-    d = commands.withColumn("epoch", F.sum(F.when(F.col("edit"), 1).otherwise(0)).over(w))
-    n = F.row_number().over(Window.partitionBy("session", "epoch", "cmd").orderBy("seq")).cast("long")
-    return d.select("session", "seq", F.col("epoch").cast("long").alias("epoch"), n.alias("run"), (n >= limit).alias("blocked"))
+    """The breaker's decision on each attempt: once a command has completed `limit` times since the last edit, attempts are refused and
+    let pass in turn, refused first.
+
+    A refused attempt completes nothing, so from attempt `limit` + 1 of an epoch on all are in turn; whose turn it is goes on over
+    edits. An edit ends its epoch and leaves no count of its own.
+    """
+    before = Window.partitionBy("session").orderBy("seq").rowsBetween(Window.unboundedPreceding, -1)
+    d = commands.withColumn("epoch", F.coalesce(F.sum(F.when(F.col("edit"), 1).otherwise(0)).over(before), F.lit(0)).cast("long"))
+    d = d.withColumn("run", F.row_number().over(Window.partitionBy("session", "epoch", "cmd").orderBy("seq")).cast("long"))
+    turn = F.sum(F.when(F.col("run") > limit, 1).otherwise(0)).over(Window.partitionBy("session", "cmd").orderBy("seq").rowsBetween(Window.unboundedPreceding, 0))
+    return d.select("session", "seq", "epoch", "run", ((F.col("run") > limit) & (turn % 2 == 1)).alias("blocked"))
 
 
 def latches(commands: DataFrame) -> DataFrame:

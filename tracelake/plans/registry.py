@@ -8,12 +8,13 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.text import conversation_scores
-from ..operators import commands, documents, graph, ledger, ranges, sessions, trace, vectors
+from ..operators import commands, documents, graph, ledger, ranges, reads, sessions, trace, vectors
 from ..streaming import gates, keyed
 from . import content as content_plans
 from . import decisions as decision_plans
 from . import fields as field_plans
 from . import needed as needed_plans
+from . import reads as read_plans
 from . import serving as serving_plans
 from . import shell as shell_plans
 from . import sources as source_plans
@@ -75,11 +76,11 @@ _QUERIES = {
 }
 #: Folds without SQL; tests hold them against brute force, and streams against tables.
 _FOLDS = {
-    "reread_gate": ("lineitem", ranges.derived_ranges, lambda d: keyed.over_table(gates.derived_gate_rows(d), "session", "seq", gates.gate_step, gates.GATE)),
+    "reread_gate": ("lineitem", None, lambda d: keyed.over_table(reads.gate_rows(*reads.derived_session(d)), "session", "seq", gates.gate_step, gates.GATE)),
     "pagerank": ("lineitem", graph.derived_edges, graph.pagerank),
 }
 
-_QUERIES |= shell_plans.QUERIES | decision_plans.QUERIES | source_plans.QUERIES | field_plans.QUERIES | serving_plans.QUERIES | needed_plans.QUERIES | wire_plans.QUERIES | content_plans.QUERIES
+_QUERIES |= shell_plans.QUERIES | decision_plans.QUERIES | source_plans.QUERIES | field_plans.QUERIES | serving_plans.QUERIES | needed_plans.QUERIES | wire_plans.QUERIES | content_plans.QUERIES | read_plans.QUERIES
 
 
 def _tau_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -106,4 +107,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return SQL | shell_plans.SQL | decision_plans.SQL | source_plans.SQL | field_plans.SQL | serving_plans.SQL | needed_plans.SQL | wire_plans.SQL | content_plans.SQL
+    return SQL | shell_plans.SQL | decision_plans.SQL | source_plans.SQL | field_plans.SQL | serving_plans.SQL | needed_plans.SQL | wire_plans.SQL | content_plans.SQL | read_plans.SQL

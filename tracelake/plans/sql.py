@@ -79,7 +79,7 @@ SELECT conv_id, gi, round(ln(1 + CAST(obs AS DOUBLE)) / 8, 9) AS log_obs, round(
     "inspector_ring": f"WITH {_LEDGER} SELECT session_id, event_id FROM (SELECT *, row_number() OVER (PARTITION BY session_id ORDER BY ts DESC, event_id DESC) AS rn FROM led) WHERE rn = 1 ORDER BY ts DESC, event_id DESC LIMIT 20",
     "evict_ttl": f"WITH {_LEDGER}, s AS (SELECT session_id, max(ts) AS touched FROM led GROUP BY 1) SELECT session_id, CAST(floor(epoch(touched)) AS BIGINT) AS touched_s FROM s WHERE touched > (SELECT max(touched) FROM s) - INTERVAL 3600 SECOND ORDER BY touched DESC, session_id LIMIT 512",
     "loop_feats": f"WITH {_COMMANDS} SELECT session, seq, round(lf, 9) AS lf, round(mean3, 9) AS mean3, round(delta, 9) AS delta, round(low6, 9) AS low6, mech FROM f",
-    "loop_breaker": f"WITH {_COMMANDS}, e AS (SELECT *, CAST(sum(CASE WHEN edit THEN 1 ELSE 0 END) OVER (PARTITION BY session ORDER BY seq) AS BIGINT) AS epoch FROM c), n AS (SELECT *, row_number() OVER (PARTITION BY session, epoch, cmd ORDER BY seq) AS run FROM e) SELECT session, seq, epoch, CAST(run AS BIGINT) AS run, run >= 3 AS blocked FROM n",
+    "loop_breaker": f"WITH {_COMMANDS}, e AS (SELECT *, CAST(coalesce(sum(CASE WHEN edit THEN 1 ELSE 0 END) OVER (PARTITION BY session ORDER BY seq ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS BIGINT) AS epoch FROM c), n AS (SELECT *, row_number() OVER (PARTITION BY session, epoch, cmd ORDER BY seq) AS run FROM e), t AS (SELECT *, sum((run > 3)::INT) OVER (PARTITION BY session, cmd ORDER BY seq) AS turn FROM n) SELECT session, seq, epoch, CAST(run AS BIGINT) AS run, run > 3 AND turn % 2 = 1 AS blocked FROM t",
     "governor_latch": f"WITH {_COMMANDS}, g AS (SELECT *, sum(CASE WHEN mech THEN 1 ELSE 0 END) OVER (PARTITION BY session ORDER BY seq) AS n FROM f) SELECT session, seq, n > 0 AS stopped, mech AND n = 1 AS set_here FROM g",
     "rule_fires": f"WITH {_COMMANDS} SELECT session, cmd, min(seq) AS seq, count(*) AS n FROM c GROUP BY 1, 2",
     "neighbors_topk": f"WITH {_NEAR} SELECT query, rank, neighbour, score FROM k",
