@@ -12,23 +12,29 @@ MIN_RUN_TOKENS = 10
 
 
 def steps(messages: DataFrame) -> DataFrame:
-    """Messages with step (number of user turns so far), is_task (the first of them) and tail_lo (step of the last assistant turn)."""
-    w = Window.partitionBy("conv_id").orderBy("turn")
+    """Messages with step, is_task (the first observation), tail_lo (step of the last assistant turn) and n_obs.
+
+    User and tool messages are observations; a step is an assistant turn and the observation that answers it: the number of
+    observations before the message.
+    """
+    before = Window.partitionBy("conv_id").orderBy("turn").rowsBetween(Window.unboundedPreceding, -1)
     all_ = Window.partitionBy("conv_id")
-    d = messages.withColumn("step", F.sum(F.when(F.col("role") == "user", 1).otherwise(0)).over(w).cast("long"))
-    d = d.withColumn("is_task", (F.col("role") == "user") & (F.col("step") == 1))
+    obs = F.when(F.col("role").isin("user", "tool"), 1).otherwise(0)
+    d = messages.withColumns({"step": F.coalesce(F.sum(obs).over(before), F.lit(0)).cast("long"), "n_obs": F.sum(obs).over(all_).cast("long")})
+    d = d.withColumn("is_task", F.coalesce(F.col("role").isin("user", "tool") & (F.col("step") == 0), F.lit(False)))
     return d.withColumn("tail_lo", F.max(F.when(F.col("role") == "assistant", F.col("step"))).over(all_))
 
 
 def chunks(messages: DataFrame, window: int = WINDOW_LINES) -> DataFrame:
-    """Windows of lines of every message but system text and the task; blank windows go. gi numbers them by (step, turn, window)."""
-    d = steps(messages).filter("role <> 'system' AND NOT is_task").withColumn("kind", F.when(F.col("role") == "assistant", "asst").otherwise("other"))
+    """Windows of lines of every message but system text, the task and what no observation answers yet; blank windows go. gi numbers
+    them by step, observations before assistant text, then by turn and window."""
+    d = steps(messages).filter("role <> 'system' AND NOT is_task AND step < n_obs").withColumn("kind", F.when(F.col("role") == "assistant", "asst").otherwise("other"))
     lines = splitlines(F.col("text"))
     d = d.select("conv_id", "turn", "step", "tail_lo", "kind", lines.alias("ls")).filter(F.size("ls") > 0)
     parts = F.transform(F.sequence(F.lit(0), F.floor((F.size("ls") - 1) / window).cast("int")), lambda k: F.array_join(F.slice("ls", k * window + 1, F.lit(window)), "\n"))
     d = d.select("conv_id", "turn", "step", "tail_lo", "kind", F.posexplode(parts).alias("win", "text")).withColumn("win", F.col("win").cast("long")).filter(F.trim("text") != "")
     d = d.withColumn("tokens", token_estimate(F.col("text")))
-    return d.withColumn("gi", F.row_number().over(Window.partitionBy("conv_id").orderBy("step", "turn", "win")).cast("long") - 1)
+    return d.withColumn("gi", F.row_number().over(Window.partitionBy("conv_id").orderBy("step", F.col("kind") == "asst", "turn", "win")).cast("long") - 1)
 
 
 def scored(messages: DataFrame) -> DataFrame:

@@ -1,11 +1,11 @@
 """DuckDB SQL that gives the rows of the queries in registry.py."""
 
-_STEPS = """steps AS (SELECT conv_id, turn, role, text, step, role = 'user' AND step = 1 AS is_task, max(CASE WHEN role = 'assistant' THEN step END) OVER (PARTITION BY conv_id) AS tail_lo
-FROM (SELECT *, CAST(sum(CASE WHEN role = 'user' THEN 1 ELSE 0 END) OVER (PARTITION BY conv_id ORDER BY turn) AS BIGINT) AS step FROM conversations))"""
+_STEPS = """steps AS (SELECT conv_id, turn, role, text, step, n_obs, coalesce(role IN ('user', 'tool') AND step = 0, false) AS is_task, max(CASE WHEN role = 'assistant' THEN step END) OVER (PARTITION BY conv_id) AS tail_lo
+FROM (SELECT *, CAST(count(*) FILTER (role IN ('user', 'tool')) OVER (PARTITION BY conv_id ORDER BY turn ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS BIGINT) AS step, count(*) FILTER (role IN ('user', 'tool')) OVER (PARTITION BY conv_id) AS n_obs FROM conversations))"""
 
 _CHUNKS = _STEPS + """, lines AS (SELECT conv_id, turn, step, tail_lo, CASE WHEN role = 'assistant' THEN 'asst' ELSE 'other' END AS kind, unnest(ls) AS line, unnest(range(len(ls))) AS line_no
-FROM (SELECT *, CASE WHEN p[len(p)] = '' THEN p[1:len(p) - 1] ELSE p END AS ls FROM (SELECT *, string_split(text, chr(10)) AS p FROM steps WHERE role <> 'system' AND NOT is_task)))
-, chunks AS (SELECT *, CAST(row_number() OVER (PARTITION BY conv_id ORDER BY step, turn, win) - 1 AS BIGINT) AS gi, CAST(greatest(1, length(text) // 4) AS BIGINT) AS tokens
+FROM (SELECT *, CASE WHEN p[len(p)] = '' THEN p[1:len(p) - 1] ELSE p END AS ls FROM (SELECT *, string_split(text, chr(10)) AS p FROM steps WHERE role <> 'system' AND NOT is_task AND step < n_obs)))
+, chunks AS (SELECT *, CAST(row_number() OVER (PARTITION BY conv_id ORDER BY step, kind = 'asst', turn, win) - 1 AS BIGINT) AS gi, CAST(greatest(1, length(text) // 4) AS BIGINT) AS tokens
 FROM (SELECT conv_id, turn, step, tail_lo, kind, CAST(line_no // 40 AS BIGINT) AS win, string_agg(line, chr(10) ORDER BY line_no) AS text FROM lines GROUP BY ALL) WHERE trim(text) <> '')
 """
 
