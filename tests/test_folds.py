@@ -18,7 +18,7 @@ def test_fold_equals_replay(spark):
     held = {}
     for conv, gi, _, _, cmd, tokens, score in rows:
         would = score < 600_000 and tokens >= 10
-        insisted = cmd is not None and would and held.get((conv, cmd), False)
+        insisted = cmd is not None and held.get((conv, cmd), False)
         held[conv, cmd] = would and not insisted
         assert got[conv, gi] == (insisted, would and not insisted)
     would = d.withColumn("would", (F.col("score_q") < 600_000) & (F.col("tokens") >= 10)).filter("cmd IS NOT NULL").withColumn("seq", F.col("gi"))

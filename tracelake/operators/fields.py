@@ -83,12 +83,6 @@ def line_type_shares(lines: DataFrame) -> DataFrame:
     return d.groupBy("doc_id").agg(*[F.round(F.count_if(F.col("t") == k) / F.count("*"), 9).alias(k) for k in ("signature", "import", "comment", "body")])
 
 
-def live_newborns(chunked: DataFrame) -> DataFrame:
-    """Of each step's messages: chunks born, and chunks alive in the conversation up to the step."""
-    d = chunked.groupBy("conv_id", "step", "turn").agg(F.count("*").alias("newborns"))
-    return d.withColumn("live", F.sum("newborns").over(Window.partitionBy("conv_id").orderBy("step")))
-
-
 def keep_growth(events: DataFrame) -> DataFrame:
     """How many distinct types a user's keep set holds after each event: a type counts at its first event."""
     first = F.row_number().over(Window.partitionBy("user_id", "event_type").orderBy("ts", "event_id")) == 1

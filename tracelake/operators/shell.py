@@ -115,9 +115,9 @@ def fold(calls: DataFrame, tau_q: int, min_tokens: int = 10) -> DataFrame:
     """The decisions of the context fold, from chunks (conv, gi, step, owner, cmd, tokens, score_q) of observations; cmd null: no call.
 
     A chunk is a candidate if its score is below the threshold and its run of neighbouring candidates of one owner has
-    `min_tokens`. The override valve: a call whose output was cut is served in full when it comes again, and counts as never cut
-    from then on. So in each (conv, cmd) the steps that would be cut alternate, cut first, and a step that would not begins anew:
-    a position within a run of such steps, no replay.
+    `min_tokens`. The override valve: a call whose output was cut is served in full when it comes again, whatever its scores, and
+    counts as never cut from then on. So in each (conv, cmd) the steps that would be cut alternate, cut first, and a step that would
+    not begins anew: a position within a run of such steps, no replay; a step is insisted on if the one before it was cut.
     """
     below = calls.withColumn("cut", F.col("score_q") < tau_q)
     runs = below.filter("cut").withColumn("run", F.col("gi") - F.row_number().over(Window.partitionBy("conv", "owner").orderBy("gi")))
@@ -128,6 +128,7 @@ def fold(calls: DataFrame, tau_q: int, min_tokens: int = 10) -> DataFrame:
     by_step = Window.partitionBy("conv", "cmd").orderBy("step", "owner")
     s = s.withColumn("anew", F.sum(F.when(F.col("w"), 0).otherwise(1)).over(by_step))
     nth = F.row_number().over(Window.partitionBy("conv", "cmd", "anew", "w").orderBy("step", "owner"))
-    s = s.select("conv", "step", "owner", (F.col("cmd").isNotNull() & F.col("w") & (nth % 2 == 0)).alias("insisted"))
+    s = s.withColumn("was_cut", F.col("w") & (nth % 2 == 1))
+    s = s.select("conv", "step", "owner", (F.col("cmd").isNotNull() & F.coalesce(F.lag("was_cut").over(by_step), F.lit(False))).alias("insisted"))
     d = d.join(s, ["conv", "step", "owner"])
     return d.select("conv", "gi", "step", "insisted", (F.col("would") & ~F.col("insisted")).alias("cut"))

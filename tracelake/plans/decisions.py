@@ -75,7 +75,7 @@ SQL = {
 r AS (SELECT *, gi - row_number() OVER (PARTITION BY conv, owner ORDER BY gi) AS run FROM b WHERE below), w AS (SELECT conv, gi FROM (SELECT *, sum(tokens) OVER (PARTITION BY conv, owner, run) AS m FROM r) WHERE m >= 10),
 d AS (SELECT b.*, w.gi IS NOT NULL AS would FROM b LEFT JOIN w ON w.conv = b.conv AND w.gi = b.gi),
 s AS (SELECT *, row_number() OVER (PARTITION BY conv, cmd ORDER BY step, owner) AS n FROM (SELECT conv, cmd, step, owner, bool_or(would) AS w FROM d WHERE cmd IS NOT NULL GROUP BY ALL)),
-v AS (SELECT conv, cmd, step, owner, n, w AS held, false AS insisted FROM s WHERE n = 1 UNION ALL SELECT s.conv, s.cmd, s.step, s.owner, s.n, NOT v.held AND s.w, v.held AND s.w FROM v JOIN s ON s.conv = v.conv AND s.cmd = v.cmd AND s.n = v.n + 1)
+v AS (SELECT conv, cmd, step, owner, n, w AS held, false AS insisted FROM s WHERE n = 1 UNION ALL SELECT s.conv, s.cmd, s.step, s.owner, s.n, NOT v.held AND s.w, v.held FROM v JOIN s ON s.conv = v.conv AND s.cmd = v.cmd AND s.n = v.n + 1)
 SELECT d.conv, d.gi, d.step, coalesce(insisted, false) AS insisted, would AND NOT coalesce(insisted, false) AS cut FROM d LEFT JOIN v ON v.conv = d.conv AND v.step = d.step AND v.owner = d.owner AND v.cmd = d.cmd""",
     "purity_resets": "SELECT conv_id AS conv, turn AS seq, coalesce((turn % 5 = 4) <> (lag(turn % 5 = 4) OVER (PARTITION BY conv_id ORDER BY turn)), false) AS reset FROM conversations",
     "governor": f"WITH s AS (SELECT user_id AS session, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS seq, {_V} AS v FROM events), k AS (SELECT *, bool_or(v > 95) OVER (PARTITION BY session ORDER BY seq) AS killed FROM s), f AS (SELECT session, min(seq) FILTER (v % 7 = 3 AND NOT killed) AS c, min(seq) FILTER (v BETWEEN 20 AND 30 AND NOT killed) AS b, min(seq) FILTER (seq >= 8 AND NOT killed) AS h FROM k GROUP BY 1) SELECT k.session, seq, killed, coalesce(seq = c, false) AS coach_fires, coalesce(seq = b, false) AS bank_fires, coalesce(seq = h, false) AS horizon_fires FROM k JOIN f USING (session)",

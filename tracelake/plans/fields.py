@@ -2,15 +2,13 @@
 
 from __future__ import annotations
 
-from ..operators import fields, trace
-from .sql import _CHUNKS
+from ..operators import fields
 
 QUERIES = {
     "observation_fields": ("events", None, fields.observation_fields),
     "bash_twin": ("lineitem", fields.derived_tool_calls, fields.twin_commands),
     "argv_command": ("events", fields.derived_argv, fields.argv_commands),
     "line_types": ("documents", fields.derived_code, fields.line_type_shares),
-    "live_newborns": ("conversations", trace.chunks, fields.live_newborns),
     "keep_growth": ("events", None, fields.keep_growth),
     "top_sites": ("lineitem", fields.derived_tool_calls, fields.first_sites),
     "conv_identity": ("conversations", None, fields.identities),
@@ -24,7 +22,6 @@ SQL = {
     "bash_twin": "SELECT l_orderkey AS id, l_linenumber AS k, l_partkey AS p, CASE l_linenumber % 4 WHEN 0 THEN 'sed -n ''' || CAST(l_quantity AS BIGINT) || ',' || CAST(l_quantity AS BIGINT) + 1999 || 'p'' /r/f' || l_partkey || '.py' WHEN 1 THEN 'sed -n ''' || CAST(l_quantity AS BIGINT) || ',' || CAST(l_quantity AS BIGINT) + l_partkey % 90 || 'p'' /r/f' || l_partkey || '.py' WHEN 2 THEN 'edit f' || l_partkey || '.py' ELSE 'grep ''foo'' /r/f' || l_partkey || '.py' END AS cmd FROM lineitem",
     "argv_command": f"SELECT event_id, event_type || ' ' || {_V} AS cmd FROM events",
     "line_types": f"WITH {_LINES} SELECT doc_id, round(count(*) FILTER (i % 5 = 0) / CAST(count(*) AS DOUBLE), 9) AS signature, round(count(*) FILTER (i % 5 = 1) / CAST(count(*) AS DOUBLE), 9) AS import, round(count(*) FILTER (i % 5 = 2) / CAST(count(*) AS DOUBLE), 9) AS comment, round(count(*) FILTER (i % 5 = 4) / CAST(count(*) AS DOUBLE), 9) AS body FROM c WHERE trim(line) <> '' GROUP BY 1",
-    "live_newborns": f"WITH {_CHUNKS}, s AS (SELECT conv_id, step, turn, count(*) AS n FROM chunks GROUP BY 1, 2, 3) SELECT s.conv_id, s.step, s.turn, n AS newborns, (SELECT count(*) FROM chunks c WHERE c.conv_id = s.conv_id AND c.step <= s.step) AS live FROM s",
     "keep_growth": "SELECT user_id, event_id, (SELECT count(DISTINCT event_type) FROM events b WHERE b.user_id = a.user_id AND (b.ts < a.ts OR b.ts = a.ts AND b.event_id <= a.event_id)) AS kept FROM events a",
     "top_sites": "SELECT file, id FROM (SELECT DISTINCT 'f' || l_partkey || '.py' AS file, l_orderkey AS id FROM lineitem) QUALIFY row_number() OVER (PARTITION BY file ORDER BY id) <= 3",
     "conv_identity": "WITH f AS (SELECT conv_id, coalesce(min(text) FILTER (k = 1 AND role = 'user'), '') AS first FROM (SELECT *, row_number() OVER (PARTITION BY conv_id, role ORDER BY turn) AS k FROM conversations) GROUP BY 1) SELECT conv_id, substr(sha256('s' || chr(10) || first), 1, 24) AS ident FROM f",

@@ -13,6 +13,7 @@ from ..streaming import gates, keyed
 from . import content as content_plans
 from . import decisions as decision_plans
 from . import fields as field_plans
+from . import folds as fold_plans
 from . import needed as needed_plans
 from . import reads as read_plans
 from . import serving as serving_plans
@@ -80,7 +81,7 @@ _FOLDS = {
     "pagerank": ("lineitem", graph.derived_edges, graph.pagerank),
 }
 
-_QUERIES |= shell_plans.QUERIES | decision_plans.QUERIES | source_plans.QUERIES | field_plans.QUERIES | serving_plans.QUERIES | needed_plans.QUERIES | wire_plans.QUERIES | content_plans.QUERIES | read_plans.QUERIES
+_QUERIES |= shell_plans.QUERIES | decision_plans.QUERIES | source_plans.QUERIES | field_plans.QUERIES | serving_plans.QUERIES | needed_plans.QUERIES | wire_plans.QUERIES | content_plans.QUERIES | read_plans.QUERIES | fold_plans.QUERIES
 
 
 def _tau_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -107,4 +108,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return SQL | shell_plans.SQL | decision_plans.SQL | source_plans.SQL | field_plans.SQL | serving_plans.SQL | needed_plans.SQL | wire_plans.SQL | content_plans.SQL | read_plans.SQL
+    return SQL | shell_plans.SQL | decision_plans.SQL | source_plans.SQL | field_plans.SQL | serving_plans.SQL | needed_plans.SQL | wire_plans.SQL | content_plans.SQL | read_plans.SQL | fold_plans.SQL

@@ -112,7 +112,7 @@ def gate_step(state: dict, row: dict) -> tuple:
 def valve_step(state: dict, row: dict) -> tuple:
     """Rows (conv, seq, step, owner, cmd, would), one for each observation: a call that was cut before is served in full once."""
     cmd = row["cmd"]
-    insisted = bool(row["would"]) and state.get(cmd, False)
+    insisted = state.get(cmd, False)
     state[cmd] = bool(row["would"]) and not insisted
     return row["conv"], row["step"], row["owner"], insisted
 
