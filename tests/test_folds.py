@@ -57,7 +57,7 @@ def test_hourly_stream(spark, tmp_path):
 
 
 def test_readers_skip_what_they_cannot_read(spark, tmp_path):
-    (tmp_path / "a.jsonl").write_text('{"type":"user","message":{"role":"user","content":"hi"}}\nnot json\n\n{"type":"summary"}\n{"type":"assistant","message":{"content":[{"type":"thinking","thinking":"t"},{"type":"text","text":"x"}]}}\n{"type":"user","message":{"content":[]}}\n')
+    (tmp_path / "a.jsonl").write_text('{"type":"user","message":{"role":"user","content":"hi"}}\nnot json\n\n{"type":"summary"}\n{"type":"assistant","message":{"role":"assistant","content":[{"type":"thinking","thinking":"t"},{"type":"text","text":"x"}]}}\n{"type":"user","message":{"content":[]}}\n')
     d = lines.text_lines(spark, str(tmp_path))
     assert [(r.pos, r.role, r.text) for r in lines.transcript(d).orderBy("pos").collect()] == [(0, "user", "hi"), (4, "assistant", "t\nx")]
     assert [(r.role, r.text, r.reasoning) for r in lines.full_transcript(d).orderBy("pos").collect()] == [("user", "hi", ""), ("assistant", "x", "t")]

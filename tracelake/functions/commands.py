@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from .text import collapse_space
+
 #: The last line of a read without an end.
 WHOLE = 1_000_000_000
 # What counts as a search, as a read, and as a read whose output lines are not file lines.
@@ -28,7 +30,7 @@ def path_norm(path: Column) -> Column:
 
 
 def norm_cmd(cmd: Column) -> Column:
-    return F.trim(F.regexp_replace(cmd, r"\s+", " "))
+    return collapse_space(cmd)
 
 
 def _words(cmd: Column) -> Column:

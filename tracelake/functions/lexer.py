@@ -139,11 +139,16 @@ def shell_reads(cmd: Column, cwd: Column) -> Column:
     return F.array_sort(last)
 
 
+def is_source(path: Column) -> Column:
+    """Whether a path, lower case with forward slashes, is a source file that is no test and no scratch file."""
+    return path.rlike(_ends(SOURCE)) & ~is_test_path(path) & ~path.rlike(SCRATCH_EDIT)
+
+
 def shell_edits(cmd: Column) -> Column:
     """The base names, lower case, of the source files that a command edits: all it names if it has an editing word, and what it redirects to."""
     named = F.when(cmd.rlike(_wide(EDITS)), F.regexp_extract_all(cmd, F.lit(_wide(PATH)), 0)).otherwise(F.array())
     low = F.transform(F.concat(named, F.regexp_extract_all(cmd, F.lit(_wide(REDIRECT)), 1)), lambda p: F.translate(F.lower(p), "\\", "/"))
-    own = F.filter(low, lambda p: p.rlike(_ends(SOURCE)) & ~is_test_path(p) & ~p.rlike(SCRATCH_EDIT))
+    own = F.filter(low, is_source)
     return F.coalesce(F.array_distinct(F.transform(own, lambda p: F.substring_index(p, "/", -1))), F.array())
 
 

@@ -7,6 +7,8 @@ from pyspark.sql import functions as F
 
 #: Size of the integer grid on which scores and thresholds are compared.
 GRID = 1_000_000
+#: Python's white space, as a class without brackets.
+SPACE = r"\s\x1c-\x1f\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
 # The characters that end a line.
 LINE_BREAKS = "\\r\\n|[\\n\\r\\x0b\\x0c\\x1c\\x1d\\x1e\\x85\\u2028\\u2029]"
 
@@ -26,8 +28,12 @@ def floor_tokens(text: Column) -> Column:
     return F.floor(F.length(F.coalesce(text, F.lit(""))) / 4).cast("long")
 
 
+def strip(text: Column) -> Column:
+    return F.regexp_replace(text, f"^[{SPACE}]+|[{SPACE}]+$", "")
+
+
 def collapse_space(text: Column) -> Column:
-    return F.trim(F.regexp_replace(text, "[ \\t\\n\\r\\f\\x0b]+", " "))
+    return F.trim(F.regexp_replace(text, f"[{SPACE}]+", " "))
 
 
 def fingerprint(text: Column) -> Column:

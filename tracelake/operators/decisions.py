@@ -116,49 +116,6 @@ def derived_rules(events: DataFrame) -> DataFrame:
     return events.select(F.col("user_id").alias("conv"), F.col("event_type").alias("eid"), (F.floor(F.col("value")) % 6).cast("long").alias("fire_step"), F.col("event_id").alias("seq"), (F.floor(F.col("value") * 10_000) % 1_000_000).cast("long").alias("p_q"))
 
 
-def cache_guard(requests: DataFrame, limit: int) -> DataFrame:
-    """(session, seq, tripped): from the first request on that rewrites more than `limit` tokens of a lane that was warm (an earlier request read its cache)."""
-    w = Window.partitionBy("session").orderBy("seq")
-    warm = F.max(F.col("cache_read") > 0).over(w.rowsBetween(Window.unboundedPreceding, -1))
-    d = requests.withColumn("loss", F.coalesce(warm, F.lit(False)) & (F.col("cache_write") > limit))
-    return d.select("session", "seq", F.max("loss").over(w.rowsBetween(Window.unboundedPreceding, 0)).alias("tripped"))
-
-
-def derived_lanes(events: DataFrame) -> DataFrame:
-    v = F.floor(F.col("value") * 100).cast("long")
-    return events.select(F.col("user_id").alias("session"), F.col("event_id").alias("seq"), (v % 3).alias("cache_read"), (v % 5000).alias("cache_write"))
-
-
-def derived_diffs(messages: DataFrame) -> DataFrame:
-    """Messages with a diff at the end of every third one, and an action by assistants."""
-    text = F.coalesce("text", F.lit(""))
-    diff = F.concat(text, F.lit("\ndiff --git a/f b/f\n@@ -1 +1 @@\n"), text)
-    return messages.select("conv_id", "turn", "role", F.when(F.col("turn") % 3 == 2, diff).otherwise(text).alias("text"), F.when((F.col("role") == "assistant") & (F.col("turn") % 4 == 1), "git diff").alias("action"))
-
-
-def latest_diff(messages: DataFrame, chars: int = 3000) -> DataFrame:
-    """(conv_id, turn, diff): of each conversation the last message with a diff, from the diff's start."""
-    d = messages.withColumn("at", F.locate("diff --git ", F.col("text"))).filter("at > 0")
-    last = F.max_by(F.struct("turn", "text", "at"), F.col("turn"))
-    return d.groupBy("conv_id").agg(last.alias("m")).select("conv_id", "m.turn", F.col("m.text").substr(F.col("m.at"), F.lit(chars)).alias("diff"))
-
-
-def diff_on_disk(messages: DataFrame) -> DataFrame:
-    """(conv_id, turn, diff): the last `git diff` action, and the first diff among the three messages after it (null: none)."""
-    w = Window.partitionBy("conv_id").orderBy("turn").rowsBetween(1, 3)
-    found = F.first(F.when(F.col("text").contains("diff --git "), F.col("text")), ignorenulls=True).over(w)
-    d = messages.withColumn("found", found).filter("action = 'git diff'")
-    return d.groupBy("conv_id").agg(F.max_by(F.struct("turn", "found"), F.col("turn")).alias("m")).select("conv_id", "m.turn", F.col("m.found").alias("diff"))
-
-
-def verdicts(messages: DataFrame) -> DataFrame:
-    """SUBMIT for a conversation that shows a diff and whose last `git diff` has one too, REVERTED if only the first, else CONTINUE."""
-    seen, disk = latest_diff(messages).select("conv_id", F.lit(True).alias("seen")), diff_on_disk(messages).select("conv_id", F.lit(True).alias("asked"), F.col("diff").isNotNull().alias("there"))
-    d = messages.select("conv_id").distinct().join(seen, "conv_id", "left").join(disk, "conv_id", "left")
-    verdict = F.when(F.col("seen").isNull(), "CONTINUE").when(F.col("asked") & ~F.col("there"), "REVERTED").when(F.col("there"), "SUBMIT").otherwise("CONTINUE")
-    return d.select("conv_id", verdict.alias("verdict"))
-
-
 def recent_commands(commands: DataFrame, chars: int = 4000) -> DataFrame:
     """(session, step, text): the commands of a step and the one before it, in order, at most `chars` characters."""
     w = Window.partitionBy("session").orderBy("step").rangeBetween(-1, 0)

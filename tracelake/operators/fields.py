@@ -7,8 +7,6 @@ from pyspark.sql import functions as F
 
 from ..functions import commands as C
 
-#: Lines of a read that names no limit.
-DEFAULT_LINES = 2000
 
 
 def observation_fields(events: DataFrame) -> DataFrame:
@@ -21,29 +19,6 @@ def observation_fields(events: DataFrame) -> DataFrame:
     return events.select("event_id", C.obs_rc(obs).alias("rc"), C.covered(lo, lo + 9, seen, 0.6).alias("covered"))
 
 
-def twin_command(tool: Column, path: Column, offset: Column, limit: Column, pattern: Column) -> Column:
-    """The shell command that does what a structured tool call does: reads as line windows (2,000 lines where only the offset is given),
-    whole reads as cat, edits by base name, searches by pattern; null for other tools."""
-    last = offset + F.coalesce(limit, F.lit(DEFAULT_LINES)) - 1
-    window = F.concat(F.lit("sed -n '"), offset.cast("string"), F.lit(","), last.cast("string"), F.lit("p' "), path)
-    read = F.when(F.coalesce(offset, F.lit(0)) > 0, window).when(F.coalesce(limit, F.lit(0)) > 0, F.concat(F.lit("sed -n '1,"), limit.cast("string"), F.lit("p' "), path)).otherwise(F.concat(F.lit("cat "), path))
-    quoted = F.concat(F.lit("'"), F.regexp_replace(pattern, "'", "'\\\\\\\\''"), F.lit("'"))
-    return F.when(tool == "Read", read).when(tool.isin("Edit", "Write", "MultiEdit"), F.concat(F.lit("edit "), C.basename(path))).when(tool == "Grep", F.concat_ws(" ", F.lit("grep"), quoted, path))
-
-
-def derived_tool_calls(lineitem: DataFrame) -> DataFrame:
-    n = F.col("l_linenumber") % 4
-    q = F.col("l_quantity").cast("long")
-    return lineitem.select(
-        F.col("l_orderkey").alias("id"), F.col("l_linenumber").alias("k"), F.col("l_partkey").alias("p"), F.when(n <= 1, "Read").when(n == 2, "Edit").otherwise("Grep").alias("tool"),
-        F.concat(F.lit("/r/f"), F.col("l_partkey").cast("string"), F.lit(".py")).alias("path"), q.alias("offset"), F.when(n == 1, F.col("l_partkey") % 90 + 1).alias("limit"), F.lit("foo").alias("pattern"),
-    )
-
-
-def twin_commands(calls: DataFrame) -> DataFrame:
-    return calls.select("id", "k", "p", twin_command(*[F.col(c) for c in ("tool", "path", "offset", "limit", "pattern")]).alias("cmd"))
-
-
 def argv_command(argv: Column) -> Column:
     """A command array as text: what a shell is told to run where it is wrapped in one, else its words."""
     shell = (F.size(argv) >= 3) & F.get(argv, 0).rlike("(^|/)(ba|z|da)?sh$") & F.get(argv, 1).rlike("^-[a-z]*c$")

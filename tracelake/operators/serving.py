@@ -47,11 +47,3 @@ def override_commands(exports: DataFrame) -> DataFrame:
 def replaced_relation(edges: DataFrame, pairs: DataFrame, rel: int = 4) -> DataFrame:
     """(src, dst, rel): the edges of every other relation, and the client's pairs in place of those of `rel`."""
     return edges.filter(F.col("rel") != rel).select("src", "dst", "rel").unionByName(pairs.select("src", "dst", F.lit(rel).cast("long").alias("rel"))).distinct()
-
-
-def signals(spent: DataFrame, floor: int, ceil: int, runaway: float) -> DataFrame:
-    """From (session, seq, tokens): the tokens so far, whether they are in the bank's band, and whether they run away from the session's
-    mean so far (`runaway` times it, from six rows on)."""
-    w = Window.partitionBy("session").orderBy("seq").rowsBetween(Window.unboundedPreceding, 0)
-    d = spent.withColumns({"cum": F.sum("tokens").over(w), "mean": F.avg("tokens").over(w), "n": F.count("*").over(w)})
-    return d.select("session", "seq", "cum", ((F.col("cum") > floor) & (F.col("cum") <= ceil)).alias("bank"), ((F.col("n") >= 6) & (F.col("tokens") > runaway * F.col("mean"))).alias("runaway"))

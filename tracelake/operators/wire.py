@@ -5,12 +5,11 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.text import splitlines
+from ..functions.text import SPACE, splitlines, strip
 
-#: Python's white space, as a class without brackets.
-SPACE = r"\s\x1c-\x1f\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
 QUERY_KEYS = ("query", "pattern", "q", "search")
 DIGEST_CHARS = 300
+# What names code, files and edits in a task's text and a chunk.
 IDENTIFIER = r"[A-Za-z_][A-Za-z0-9_]{5,}(?:\.[A-Za-z_][A-Za-z0-9_]*)*"
 DEFINITION = r"(?:^|\n)\s*(?:def|class)\s+([A-Za-z_][A-Za-z0-9_]*)"
 FRAME = r'File "([^"]+)"'
@@ -18,10 +17,6 @@ EDITED = r"The file (\S+) has been updated"
 PATH = r"([\w./\-]+\.(?:py|rst|txt|cfg|ini|toml|md|json|yaml|yml|c|h|cpp|js|ts))"
 
 
-def strip(text: Column) -> Column:
-    return F.regexp_replace(text, f"^[{SPACE}]+|[{SPACE}]+$", "")
-
-
 def billed_usage(given: Column, cached: Column, out: Column) -> Column:
     """Usage whose input holds the cached part, as parts that add up: the cached part is clamped to 0 and the input; nulls count 0."""
     total = F.coalesce(given, F.lit(0))

@@ -26,10 +26,6 @@ QUERIES = {
     "purity_resets": ("conversations", decisions.derived_requests, decisions.purity_resets),
     "governor": ("events", decisions.derived_signals, decisions.governor),
     "rule_fires": ("events", decisions.derived_rules, lambda d: decisions.rule_fires(d, 250_000)),
-    "cache_guard": ("events", decisions.derived_lanes, lambda d: decisions.cache_guard(d, 4_500)),
-    "find_diff": ("conversations", decisions.derived_diffs, lambda d: decisions.latest_diff(d).select("conv_id", "turn", F.sha2("diff", 256).alias("sha"))),
-    "edit_on_disk": ("conversations", decisions.derived_diffs, lambda d: decisions.diff_on_disk(d).select("conv_id", "turn", F.sha2("diff", 256).alias("sha"))),
-    "adjudicate": ("conversations", decisions.derived_diffs, decisions.verdicts),
     "recent_commands": ("events", decisions.derived_phrases, lambda d: decisions.recent_commands(d).select("session", "step", F.sha2("text", 256).alias("sha"))),
     "repo_map": ("pages", page_paths, decisions.ranked_files),
     "group_spans": ("lineitem", ranges.derived_ranges, decisions.group_spans),
@@ -56,10 +52,6 @@ def _spans(text: str, least: int) -> str:
 _SIMILAR = f"""{_CHUNKS}, e AS (SELECT conv_id, gi, step, {_spans("text", 5)} AS s FROM chunks)
 , sim AS (SELECT a.conv_id, a.gi AS src, b.gi AS dst, a.step AS s1, b.step AS s2 FROM e a JOIN e b ON a.conv_id = b.conv_id AND b.step > a.step WHERE len(a.s) > 0 AND len(b.s) > 0 AND len(list_intersect(a.s, b.s)) >= CAST(0.6 AS DOUBLE) * (len(a.s) + len(b.s) - len(list_intersect(a.s, b.s))))"""
 _PHRASES = """c AS (SELECT user_id AS session, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS seq, concat_ws(' ', event_type, '-q', 'f' || CAST(floor(value) AS BIGINT) % 3, CASE WHEN CAST(floor(value) AS BIGINT) % 2 = 0 THEN '--all' END, CASE WHEN CAST(floor(value) AS BIGINT) % 5 = 0 THEN 'x' || CAST(floor(value) AS BIGINT) % 4 END) AS cmd FROM events)"""
-_DIFFS = """m AS (SELECT conv_id, turn, role, CASE WHEN turn % 3 = 2 THEN coalesce(text, '') || chr(10) || 'diff --git a/f b/f' || chr(10) || '@@ -1 +1 @@' || chr(10) || coalesce(text, '') ELSE coalesce(text, '') END AS text, CASE WHEN role = 'assistant' AND turn % 4 = 1 THEN 'git diff' END AS action FROM conversations)
-, seen AS (SELECT conv_id, max(turn) AS turn FROM m WHERE contains(text, 'diff --git ') GROUP BY 1)
-, disk AS (SELECT a.conv_id, a.turn, (SELECT arg_min(b.text, b.turn) FROM m b WHERE b.conv_id = a.conv_id AND b.turn > a.turn AND contains(b.text, 'diff --git ') AND (SELECT count(*) FROM m c WHERE c.conv_id = a.conv_id AND c.turn > a.turn AND c.turn <= b.turn) <= 3) AS diff
-FROM (SELECT conv_id, max(turn) AS turn FROM m WHERE action = 'git diff' GROUP BY 1) a)"""
 _VEC = """v AS (SELECT vec_id // 40 AS conv, vec_id AS step, label AS file, CAST(embedding AS DOUBLE[]) AS v FROM embeddings)
 , p AS (SELECT a.conv, a.step, b.step AS step2, round(list_cosine_similarity(a.v, b.v), 9) AS score FROM v a JOIN v b ON a.conv = b.conv AND b.step < a.step AND a.file <> b.file)
 , k AS (SELECT *, row_number() OVER (PARTITION BY conv, step ORDER BY score DESC, step2) AS rank FROM p)"""
@@ -80,10 +72,6 @@ SELECT d.conv, d.gi, d.step, coalesce(insisted, false) AS insisted, would AND NO
     "purity_resets": "SELECT conv_id AS conv, turn AS seq, coalesce((turn % 5 = 4) <> (lag(turn % 5 = 4) OVER (PARTITION BY conv_id ORDER BY turn)), false) AS reset FROM conversations",
     "governor": f"WITH s AS (SELECT user_id AS session, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS seq, {_V} AS v FROM events), k AS (SELECT *, bool_or(v > 95) OVER (PARTITION BY session ORDER BY seq) AS killed FROM s), f AS (SELECT session, min(seq) FILTER (v % 7 = 3 AND NOT killed) AS c, min(seq) FILTER (v BETWEEN 20 AND 30 AND NOT killed) AS b, min(seq) FILTER (seq >= 8 AND NOT killed) AS h FROM k GROUP BY 1) SELECT k.session, seq, killed, coalesce(seq = c, false) AS coach_fires, coalesce(seq = b, false) AS bank_fires, coalesce(seq = h, false) AS horizon_fires FROM k JOIN f USING (session)",
     "rule_fires": f"SELECT user_id AS conv, event_type AS eid, {_V} % 6 AS fire_step, min(event_id) AS at FROM events WHERE CAST(floor(value * 10000) AS BIGINT) % 1000000 >= 250000 GROUP BY 1, 2, 3",
-    "cache_guard": "WITH l AS (SELECT user_id AS session, event_id AS seq, CAST(floor(value * 100) AS BIGINT) AS v FROM events), x AS (SELECT *, v % 5000 > 4500 AND coalesce(max(v % 3) OVER (PARTITION BY session ORDER BY seq ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) > 0 AS loss FROM l) SELECT session, seq, bool_or(loss) OVER (PARTITION BY session ORDER BY seq) AS tripped FROM x",
-    "find_diff": f"WITH {_DIFFS} SELECT m.conv_id, m.turn, sha256(substr(text, instr(text, 'diff --git '), 3000)) AS sha FROM m JOIN seen ON seen.conv_id = m.conv_id AND seen.turn = m.turn",
-    "edit_on_disk": f"WITH {_DIFFS} SELECT conv_id, turn, sha256(diff) AS sha FROM disk",
-    "adjudicate": f"WITH {_DIFFS} SELECT c.conv_id, CASE WHEN seen.turn IS NULL THEN 'CONTINUE' WHEN disk.turn IS NOT NULL AND diff IS NULL THEN 'REVERTED' WHEN diff IS NOT NULL THEN 'SUBMIT' ELSE 'CONTINUE' END AS verdict FROM (SELECT DISTINCT conv_id FROM conversations) c LEFT JOIN seen ON seen.conv_id = c.conv_id LEFT JOIN disk ON disk.conv_id = c.conv_id",
     "recent_commands": f"WITH {_PHRASES}, s AS (SELECT *, (seq - 1) // 4 AS step FROM c) SELECT a.session, a.step, sha256(substr(string_agg(b.cmd, chr(10) ORDER BY b.seq), 1, 4000)) AS sha FROM (SELECT DISTINCT session, step FROM s) a JOIN s b ON b.session = a.session AND b.step BETWEEN a.step - 1 AND a.step GROUP BY 1, 2",
     "repo_map": "WITH p AS (SELECT DISTINCT regexp_extract(url, '^[a-z]+://[^/]+(/[^?#]*)', 1) AS path FROM pages) SELECT row_number() OVER (ORDER BY len(string_split(path, '/')), length(path), path) AS pos, path, greatest(0, count(*) OVER () - 20) AS more FROM p QUALIFY pos <= 20",
     "group_spans": f"WITH {_RANGES}, f AS (SELECT conv, step, arg_min(file, gi) AS file FROM r GROUP BY 1, 2) SELECT r.conv, r.step, r.file, min(lo) AS lo, max(hi) AS hi FROM r JOIN f ON f.conv = r.conv AND f.step = r.step AND f.file = r.file GROUP BY 1, 2, 3",

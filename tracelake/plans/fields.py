@@ -2,15 +2,16 @@
 
 from __future__ import annotations
 
+from pyspark.sql import functions as F
+
 from ..operators import fields
 
 QUERIES = {
     "observation_fields": ("events", None, fields.observation_fields),
-    "bash_twin": ("lineitem", fields.derived_tool_calls, fields.twin_commands),
     "argv_command": ("events", fields.derived_argv, fields.argv_commands),
     "line_types": ("documents", fields.derived_code, fields.line_type_shares),
     "keep_growth": ("events", None, fields.keep_growth),
-    "top_sites": ("lineitem", fields.derived_tool_calls, fields.first_sites),
+    "top_sites": ("lineitem", lambda d: d.select(F.col("l_orderkey").alias("id"), F.concat(F.lit("/r/f"), F.col("l_partkey").cast("string"), F.lit(".py")).alias("path")), fields.first_sites),
     "conv_identity": ("conversations", None, fields.identities),
     "protected_mask": ("conversations", None, fields.protected),
 }
@@ -19,7 +20,6 @@ _V = "CAST(floor(value) AS BIGINT)"
 _LINES = "l AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS x, generate_subscripts(string_split(text, chr(10)), 1) - 1 AS i FROM documents WHERE text IS NOT NULL), c AS (SELECT doc_id, CASE i % 5 WHEN 0 THEN 'def f(a):' WHEN 1 THEN 'from x import ' || substr(x, 1, 10) WHEN 2 THEN '# ' || x WHEN 3 THEN '' ELSE '    ' || x END AS line, i FROM l)"
 SQL = {
     "observation_fields": f"SELECT event_id, CASE event_id % 3 WHEN 0 THEN {_V} - 50 WHEN 1 THEN {_V} END AS rc, CASE WHEN {_V} % 10 < 6 THEN true ELSE false END AS covered FROM events",
-    "bash_twin": "SELECT l_orderkey AS id, l_linenumber AS k, l_partkey AS p, CASE l_linenumber % 4 WHEN 0 THEN 'sed -n ''' || CAST(l_quantity AS BIGINT) || ',' || CAST(l_quantity AS BIGINT) + 1999 || 'p'' /r/f' || l_partkey || '.py' WHEN 1 THEN 'sed -n ''' || CAST(l_quantity AS BIGINT) || ',' || CAST(l_quantity AS BIGINT) + l_partkey % 90 || 'p'' /r/f' || l_partkey || '.py' WHEN 2 THEN 'edit f' || l_partkey || '.py' ELSE 'grep ''foo'' /r/f' || l_partkey || '.py' END AS cmd FROM lineitem",
     "argv_command": f"SELECT event_id, event_type || ' ' || {_V} AS cmd FROM events",
     "line_types": f"WITH {_LINES} SELECT doc_id, round(count(*) FILTER (i % 5 = 0) / CAST(count(*) AS DOUBLE), 9) AS signature, round(count(*) FILTER (i % 5 = 1) / CAST(count(*) AS DOUBLE), 9) AS import, round(count(*) FILTER (i % 5 = 2) / CAST(count(*) AS DOUBLE), 9) AS comment, round(count(*) FILTER (i % 5 = 4) / CAST(count(*) AS DOUBLE), 9) AS body FROM c WHERE trim(line) <> '' GROUP BY 1",
     "keep_growth": "SELECT user_id, event_id, (SELECT count(DISTINCT event_type) FROM events b WHERE b.user_id = a.user_id AND (b.ts < a.ts OR b.ts = a.ts AND b.event_id <= a.event_id)) AS kept FROM events a",

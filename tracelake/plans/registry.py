@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from ..functions.text import conversation_scores
 from ..operators import commands, documents, graph, ledger, ranges, reads, sessions, trace, vectors
 from ..streaming import gates, keyed
+from . import adjudicate as adjudicate_plans
 from . import content as content_plans
 from . import decisions as decision_plans
 from . import fields as field_plans
@@ -81,7 +82,7 @@ _FOLDS = {
     "pagerank": ("lineitem", graph.derived_edges, graph.pagerank),
 }
 
-_QUERIES |= shell_plans.QUERIES | decision_plans.QUERIES | source_plans.QUERIES | field_plans.QUERIES | serving_plans.QUERIES | needed_plans.QUERIES | wire_plans.QUERIES | content_plans.QUERIES | read_plans.QUERIES | fold_plans.QUERIES
+_QUERIES |= shell_plans.QUERIES | decision_plans.QUERIES | source_plans.QUERIES | field_plans.QUERIES | serving_plans.QUERIES | needed_plans.QUERIES | wire_plans.QUERIES | content_plans.QUERIES | read_plans.QUERIES | fold_plans.QUERIES | adjudicate_plans.QUERIES
 
 
 def _tau_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -108,4 +109,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return SQL | shell_plans.SQL | decision_plans.SQL | source_plans.SQL | field_plans.SQL | serving_plans.SQL | needed_plans.SQL | wire_plans.SQL | content_plans.SQL | read_plans.SQL | fold_plans.SQL
+    return SQL | shell_plans.SQL | decision_plans.SQL | source_plans.SQL | field_plans.SQL | serving_plans.SQL | needed_plans.SQL | wire_plans.SQL | content_plans.SQL | read_plans.SQL | fold_plans.SQL | adjudicate_plans.SQL

@@ -28,7 +28,6 @@ QUERIES = {
     "unfrozen_tools": ("events", None, _tools),
     "override_cmds": ("events", lambda e: e.select(F.col("user_id").alias("session"), F.concat_ws(" ", "event_type", (_v() % 4).cast("string")).alias("cmd")), serving.override_commands),
     "replaced_relation": ("lineitem", None, _edges),
-    "budget_signals": ("events", lambda e: e.select(F.col("user_id").alias("session"), F.col("event_id").alias("seq"), _v().alias("tokens")), lambda d: serving.signals(d, 300, 900, 2.0)),
 }
 
 SQL = {
@@ -38,5 +37,4 @@ SQL = {
     "unfrozen_tools": "SELECT DISTINCT user_id AS conv, event_type AS tool FROM events EXCEPT SELECT user_id, event_type FROM events WHERE event_id % 3 = 0",
     "override_cmds": "SELECT user_id AS session, array_to_string(list_sort(list(DISTINCT event_type || ' ' || CAST(floor(value) AS BIGINT) % 4)), ',') AS cmds FROM events GROUP BY 1",
     "replaced_relation": "SELECT DISTINCT l_suppkey AS src, l_partkey AS dst, CAST(l_linenumber % 5 AS BIGINT) AS rel FROM lineitem WHERE l_linenumber % 5 <> 4 UNION SELECT l_partkey, l_suppkey, 4 FROM lineitem WHERE l_quantity > 45",
-    "budget_signals": "WITH e AS (SELECT user_id AS session, event_id AS seq, CAST(floor(value) AS BIGINT) AS tokens FROM events), c AS (SELECT *, sum(tokens) OVER w AS cum, avg(tokens) OVER w AS mean, count(*) OVER w AS n FROM e WINDOW w AS (PARTITION BY session ORDER BY seq ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)) SELECT session, seq, CAST(cum AS BIGINT) AS cum, cum > 300 AND cum <= 900 AS bank, n >= 6 AND tokens > 2 * mean AS runaway FROM c",
 }

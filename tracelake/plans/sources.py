@@ -8,8 +8,8 @@ from ..operators import ranges
 from ..sources import derived, lines
 
 QUERIES = {
-    "parse_transcript": ("conversations", derived.transcript_lines, lambda d: lines.transcript(d, most=5).select("conv", "pos", "role", _sha())),
-    "parse_transcript_full": ("conversations", derived.transcript_lines, lambda d: lines.full_transcript(d).select("conv", "pos", "part", "role", "reasoning", _sha())),
+    "parse_transcript": ("conversations", derived.transcript_lines, lambda d: lines.transcript(d, most=5).select("conv", "pos", "part", "role", F.array_join("commands", ";").alias("commands"), _sha())),
+    "parse_transcript_full": ("conversations", derived.transcript_lines, lambda d: lines.full_transcript(d).select("conv", "pos", "part", "role", "reasoning", F.array_join("commands", ";").alias("commands"), _sha())),
     "parse_rollout": ("conversations", derived.rollout_lines, lambda d: lines.rollout(d).select("conv", "pos", "role", _sha())),
     "to_internal": ("conversations", derived.bodies, lambda d: lines.wire_messages(d).select("conv", "idx", "role", "n_calls", "command", _sha())),
     "ledger_scan": ("events", derived.ledger_lines, lines.ledger),
@@ -23,10 +23,37 @@ def _sha():
     return F.sha2("text", 256).alias("sha")
 
 
+_BLOCKS = """j AS (SELECT conv_id AS conv, turn AS pos, role, turn % 5 = 4 AS side, '{"content":' || CASE
+    WHEN role = 'assistant' THEN CASE WHEN turn % 3 = 1 THEN '[' ELSE '[{"type":"thinking","thinking":"why ' || turn || '"},{"type":"text","text":' || to_json(coalesce(text, '')) || '},{"type":"text","text":" and ' || turn || '"},' END
+      || CASE WHEN turn % 2 = 0 THEN '{"type":"tool_use","name":"Read","input":{"file_path":"/r/' || turn || '.py","offset":"' || turn || '","limit":5}}]' ELSE '{"type":"tool_use","name":"Bash","input":{"command":"run ' || turn || '"}}]' END
+    WHEN role = 'user' AND turn % 4 <> 0 THEN '[{"type":"tool_result","content":[{"type":"text","text":' || to_json(coalesce(text, '')) || '},{"type":"image"},"x",{"text":"end"}]},{"type":"text","text":"note ' || turn || '"},{"type":"tool_result","content":' || turn || '},{"type":"tool_result","content":true}]'
+    ELSE CAST(to_json(coalesce(text, '')) AS VARCHAR) END || '}' AS line FROM conversations WHERE role IN ('user', 'assistant')),
+l AS (SELECT conv, pos, role, side, json_extract(line, '$.content') AS content FROM j),
+x AS (SELECT conv, pos, role, side, k, json_extract(content, '$[' || k || ']') AS o FROM (SELECT *, unnest(range(CAST(json_array_length(content) AS BIGINT))) AS k FROM l WHERE json_type(content) = 'ARRAY')),
+y AS (SELECT *, o ->> '$.type' AS kind, json_extract(o, '$.content') AS c, json_extract(o, '$.input') AS i, o ->> '$.name' AS name FROM x WHERE json_type(o) = 'OBJECT'),
+z AS (SELECT *, CASE WHEN json_type(c) = 'ARRAY' THEN list_transform(list_filter(list_transform(range(CAST(json_array_length(c) AS BIGINT)), lambda n: json_extract(c, '$[' || n || ']')), lambda p: json_type(p) = 'OBJECT'), lambda p: coalesce(p ->> '$.text', '')) END AS parts,
+  CASE json_type(c) WHEN 'BOOLEAN' THEN CASE WHEN (c ->> '$') = 'true' THEN 'True' ELSE 'False' END ELSE coalesce(c ->> '$', '') END AS plain FROM y),
+b AS (SELECT conv, pos, role, side, k, kind, CASE kind WHEN 'thinking' THEN coalesce(o ->> '$.thinking', '') WHEN 'text' THEN coalesce(o ->> '$.text', '') END AS said, coalesce(array_to_string(parts, ' '), plain) AS spaced, coalesce(array_to_string(parts, ''), plain) AS joined,
+  CASE name WHEN 'Bash' THEN i ->> '$.command' ELSE name || ' ' || coalesce(i ->> '$.file_path', '') END AS shown, CASE name WHEN 'Bash' THEN i ->> '$.command' ELSE CASE WHEN CAST(i ->> '$.offset' AS BIGINT) <> 0 THEN 'sed -n ''' || (i ->> '$.offset') || ',' || CAST(i ->> '$.offset' AS BIGINT) + CAST(i ->> '$.limit' AS BIGINT) - 1 || 'p'' ' ELSE 'cat ' END || (i ->> '$.file_path') END AS twin FROM z)"""
+
 _V = "CAST(floor(value * 100) AS BIGINT)"
 SQL = {
-    "parse_transcript": "WITH m AS (SELECT conv_id AS conv, turn AS pos, CASE WHEN role = 'assistant' THEN 'assistant' WHEN turn % 4 = 0 THEN 'user' ELSE 'tool' END AS role, CASE WHEN role = 'assistant' THEN 'why ' || turn || CASE WHEN text <> '' THEN chr(10) || text ELSE '' END WHEN turn % 4 = 0 THEN text ELSE substr(CASE WHEN text <> '' THEN text || ' ' ELSE '' END || 'end', 1, 2000) END AS text FROM conversations WHERE role IN ('user', 'assistant')) SELECT conv, pos, role, sha256(text) AS sha FROM m WHERE text <> '' QUALIFY row_number() OVER (PARTITION BY conv ORDER BY pos DESC) <= 5",
-    "parse_transcript_full": "WITH c AS (SELECT * FROM conversations WHERE turn % 5 <> 4) SELECT conv_id AS conv, turn AS pos, CAST(0 AS INTEGER) AS part, CASE WHEN role = 'assistant' THEN role WHEN turn % 4 = 0 THEN 'user' ELSE 'tool' END AS role, CASE WHEN role = 'assistant' THEN 'why ' || turn ELSE '' END AS reasoning, sha256(CASE WHEN role = 'assistant' OR turn % 4 = 0 THEN text ELSE text || 'end' END) AS sha FROM c WHERE role IN ('user', 'assistant') UNION ALL SELECT conv_id, turn, 1, 'user', '', sha256('note') FROM c WHERE role = 'user' AND turn % 4 <> 0",
+    # The last messages of each conversation, walked block by block.
+    "parse_transcript": f"""WITH {_BLOCKS},
+m AS (
+  SELECT conv, pos, 0 AS part, 'user' AS role, content ->> '$' AS text, '' AS commands FROM l WHERE json_type(content) = 'VARCHAR' AND role = 'user' AND trim(content ->> '$') <> ''
+  UNION ALL SELECT conv, pos, 0, 'assistant', trim(coalesce(string_agg(said, chr(10) ORDER BY k) FILTER (said <> ''), ''), chr(10) || ' '), coalesce(string_agg(shown, ';' ORDER BY k) FILTER (kind = 'tool_use'), '') FROM b WHERE role = 'assistant' GROUP BY conv, pos
+  UNION ALL SELECT conv, pos, row_number() OVER (PARTITION BY conv, pos ORDER BY k) - 1, 'tool', substr(spaced, 1, 2000), '' FROM b WHERE role <> 'assistant' AND kind = 'tool_result'
+)
+SELECT conv, pos, CAST(part AS INTEGER) AS part, role, commands, sha256(text) AS sha FROM m QUALIFY row_number() OVER (PARTITION BY conv ORDER BY pos DESC, part DESC) <= 5""",
+    "parse_transcript_full": f"""WITH {_BLOCKS},
+m AS (
+  SELECT conv, pos, 0 AS part, 'assistant' AS role, coalesce(string_agg(said, '' ORDER BY k) FILTER (kind = 'text'), '') AS text, coalesce(string_agg(said, '' ORDER BY k) FILTER (kind = 'thinking'), '') AS reasoning, coalesce(string_agg(twin, ';' ORDER BY k) FILTER (kind = 'tool_use'), '') AS commands
+  FROM b WHERE role = 'assistant' AND NOT side GROUP BY conv, pos
+  UNION ALL SELECT conv, pos, row_number() OVER (PARTITION BY conv, pos ORDER BY k) - 1, CASE kind WHEN 'text' THEN 'user' ELSE 'tool' END, CASE kind WHEN 'text' THEN said ELSE joined END, '', '' FROM b WHERE role = 'user' AND NOT side AND kind IN ('text', 'tool_result')
+  UNION ALL SELECT conv, pos, 0, role, content ->> '$', '', '' FROM l WHERE json_type(content) = 'VARCHAR' AND NOT side
+)
+SELECT conv, pos, CAST(part AS INTEGER) AS part, role, reasoning, commands, sha256(text) AS sha FROM m""",
     "parse_rollout": "SELECT conv_id AS conv, turn AS pos, CASE WHEN turn % 4 = 3 THEN 'assistant' WHEN turn % 4 = 2 THEN 'tool' ELSE role END AS role, sha256(CASE WHEN turn % 4 = 3 THEN 'shell {\"n\":' || turn || '}' ELSE text END) AS sha FROM conversations WHERE turn <> 5 AND (turn % 4 IN (2, 3) OR role <> 'system')",
     "to_internal": "WITH m AS (SELECT conv_id AS conv, row_number() OVER (PARTITION BY conv_id ORDER BY turn) - 1 AS k, turn, role, text FROM conversations WHERE role <> 'system') SELECT conv, CAST(k + conv % 2 AS INTEGER) AS idx, CASE WHEN turn = 2 THEN 'user' ELSE role END AS role, CASE WHEN role = 'assistant' THEN 1 ELSE 0 END AS n_calls, CASE WHEN role = 'assistant' THEN 'Read file=/r/' || turn || ' offset=' || turn END AS command, sha256(text) AS sha FROM m UNION ALL SELECT DISTINCT conv, 0, 'system', 0, NULL, sha256('be brief') FROM m WHERE conv % 2 = 1",
     "ledger_scan": f"SELECT CAST(event_id AS VARCHAR) AS request_id, user_id AS session_id, CASE WHEN event_id % 7 <> 0 THEN {_V} END AS cf, {_V} % 1000 AS billed FROM events WHERE event_id % 4 <> 0 AND event_id % 9 <> 0",

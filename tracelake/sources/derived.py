@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
@@ -11,24 +11,20 @@ def _text(kind: str, value):
 
 
 def transcript_lines(messages: DataFrame) -> DataFrame:
-    """One line for each message, a broken line for each conversation; every fifth turn is in a side chain."""
-    text, n = F.coalesce("text", F.lit("")), F.col("turn").cast("string")
-    side = (F.col("turn") % 5 == 4).alias("isSidechain")
-    plain = F.to_json(F.struct(F.col("role").alias("type"), side, F.struct("role", text.alias("content")).alias("message")))
-    none = F.lit(None).cast("string")
-
-    def block(kind, text=none, thinking=none, parts=None, name=none, input=None):
-        return F.struct(
-            F.lit(kind).alias("type"), text.alias("text"), thinking.alias("thinking"), (F.lit(None).cast("array<struct<type:string,text:string>>") if parts is None else parts).alias("content"),
-            name.alias("name"), (F.lit(None).cast("struct<file_path:string,offset:bigint>") if input is None else input).alias("input"),
-        )
-
-    user = F.array(block("tool_result", parts=F.array(_text("text", text), _text("text", F.lit("end")))), block("text", text=F.lit("note")))
-    call = F.struct(F.concat(F.lit("/r/"), n, F.lit(".py")).alias("file_path"), F.col("turn").cast("long").alias("offset"))
-    own = F.array(block("thinking", thinking=F.concat(F.lit("why "), n)), block("text", text=text), block("tool_use", name=F.lit("Read"), input=call))
-    blocks = F.when(F.col("role") == "assistant", own).otherwise(user)
-    parts = F.to_json(F.struct(F.col("role").alias("type"), side, F.struct("role", blocks.alias("content")).alias("message")))
-    d = messages.select(F.col("conv_id").alias("conv"), F.col("turn").cast("long").alias("line_no"), F.when((F.col("role") == "user") & (F.col("turn") % 4 != 0), parts).when(F.col("role") == "assistant", parts).otherwise(plain).alias("line"))
+    """One line for each message, a broken line for each conversation; every fifth turn is in a side chain.
+
+    Users bring plain text, or results around a note; assistants think, speak in two blocks and call a tool, or call one without a word.
+    """
+    n = F.col("turn").cast("string")
+    text = F.regexp_replace(F.to_json(F.array(F.coalesce("text", F.lit("")))), r"^\[|\]$", "")
+    join = lambda *parts: F.concat(*[p if isinstance(p, Column) else F.lit(p) for p in parts])
+    results = join('[{"type":"tool_result","content":[{"type":"text","text":', text, '},{"type":"image"},"x",{"text":"end"}]},{"type":"text","text":"note ', n, '"},{"type":"tool_result","content":', n, '},{"type":"tool_result","content":true}]')
+    read = join('{"type":"tool_use","name":"Read","input":{"file_path":"/r/', n, '.py","offset":"', n, '","limit":5}}')
+    call = F.when(F.col("turn") % 2 == 0, read).otherwise(join('{"type":"tool_use","name":"Bash","input":{"command":"run ', n, '"}}'))
+    own = F.when(F.col("turn") % 3 == 1, join("[", call, "]")).otherwise(join('[{"type":"thinking","thinking":"why ', n, '"},{"type":"text","text":', text, '},{"type":"text","text":" and ', n, '"},', call, "]"))
+    content = F.when(F.col("role") == "assistant", own).when((F.col("role") == "user") & (F.col("turn") % 4 != 0), results).otherwise(text)
+    line = join('{"type":"', F.col("role"), '","isSidechain":', F.when(F.col("turn") % 5 == 4, "true").otherwise("false"), ',"message":{"role":"', F.col("role"), '","content":', content, "}}")
+    d = messages.select(F.col("conv_id").alias("conv"), F.col("turn").cast("long").alias("line_no"), line.alias("line"))
     return d.unionByName(d.select("conv", F.lit(1000).cast("long").alias("line_no"), F.lit('{"type": "user", broken').alias("line")).distinct())
 
 

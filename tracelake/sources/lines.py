@@ -9,6 +9,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from ..functions import calls
+from ..functions.text import strip
+
 LEDGER_VERSION = "savings-ledger/v0"
 
 
@@ -39,40 +42,75 @@ def _of(blocks: Column, kind: str) -> Column:
 def _parsed(lines: DataFrame) -> DataFrame:
     d = lines.select("conv", "line_no", F.try_parse_json("line").alias("v"))
     blocks = _get(F.col("v"), "$.message.content", "array<variant>")
-    d = d.withColumns({"type": _get(F.col("v"), "$.type"), "side": F.coalesce(_get(F.col("v"), "$.isSidechain", "boolean"), F.lit(False)), "blocks": blocks})
-    return d.withColumn("plain", F.when(F.col("blocks").isNull(), _get(F.col("v"), "$.message.content"))).filter(F.col("type").isin("user", "assistant"))
+    text = F.schema_of_variant(_get(F.col("v"), "$.message.content", "variant")) == "STRING"
+    d = d.withColumns({"type": _get(F.col("v"), "$.type"), "role": _get(F.col("v"), "$.message.role"), "side": F.coalesce(_get(F.col("v"), "$.isSidechain", "boolean"), F.lit(False)), "blocks": F.filter(blocks, _is_object)})
+    return d.withColumn("plain", F.when(text, _get(F.col("v"), "$.message.content"))).filter(F.col("type").isin("user", "assistant"))
+
+
+def _is_object(v: Column) -> Column:
+    return F.schema_of_variant(v).startswith("OBJECT")
+
+
+def _text(v: Column, path: str) -> Column:
+    """A field's text; empty where it is missing or no text."""
+    return F.when(F.coalesce(F.schema_of_variant(_get(v, path, "variant")) == "STRING", F.lit(False)), _get(v, path)).otherwise("")
+
+
+def _result(block: Column, sep: str) -> Column:
+    """A tool result's text: the texts of its parts joined, empty ones too; other content as text, True and False as such, null as nothing."""
+    content = _get(block, "$.content", "variant")
+    parts = F.transform(F.filter(_get(block, "$.content", "array<variant>"), _is_object), lambda p: _text(p, "$.text"))
+    j = F.to_json(content)
+    plain = F.when(j.isNull() | (j == "null"), "").when(j.isin("true", "false"), F.initcap(j)).otherwise(F.coalesce(_get(block, "$.content"), j))
+    return F.coalesce(F.array_join(parts, sep), plain)
+
+
+def _message(role: str, text: Column, reasoning: Column | None = None, commands: Column | None = None) -> Column:
+    none = F.array().cast("array<string>")
+    return F.struct(F.lit(role).alias("role"), text.alias("text"), (F.lit("") if reasoning is None else reasoning).alias("reasoning"), (none if commands is None else F.coalesce(commands, none)).alias("commands"))
+
+
+def _commands(blocks: Column, shown) -> Column:
+    return F.transform(_of(blocks, "tool_use"), lambda x: shown(_get(x, "$.name"), _get(x, "$.input", "variant")))
+
+
+def _texts(blocks: Column, *kinds: str) -> Column:
+    """The texts of the blocks of those kinds, in order: each kind's field has its own name."""
+    return F.transform(F.filter(blocks, lambda x: _get(x, "$.type").isin(*kinds)), lambda x: F.when(_get(x, "$.type") == "thinking", _text(x, "$.thinking")).otherwise(_text(x, "$.text")))
 
 
 def transcript(lines: DataFrame, most: int = 80, chars: int = 2000) -> DataFrame:
-    """(conv, pos, role, text) of the last `most` messages: a user's plain text, an assistant's thinking and text, a tool's results
-    (parts joined by a space, at most `chars` characters); messages without text are none."""
+    """(conv, pos, part, role, text, commands) of the last `most` messages.
+
+    A user's plain text with content; an assistant's blocks as one message, thinking and text joined by line ends, with a readable line
+    for each call, whether it says anything or not; every tool result as a message of its own, at most `chars` characters each.
+    """
     d = _parsed(lines)
     b = F.col("blocks")
-    said = _joined(F.transform(F.filter(b, lambda x: _get(x, "$.type").isin("text", "thinking")), lambda x: F.coalesce(_get(x, "$.thinking"), _get(x, "$.text"))), "\n")
-    results = F.substring(_joined(F.transform(_of(b, "tool_result"), lambda x: _content(x, "$.content", " ")), " "), 1, chars)
-    role = F.when(F.col("type") == "assistant", "assistant").when(F.col("plain").isNotNull(), "user").otherwise("tool")
-    text = F.coalesce(F.col("plain"), F.when(F.col("type") == "assistant", said).otherwise(results))
-    d = d.select("conv", F.col("line_no").alias("pos"), role.alias("role"), text.alias("text")).filter("text <> ''")
-    back = F.row_number().over(Window.partitionBy("conv").orderBy(F.desc("pos")))
+    said = _message("assistant", strip(F.array_join(F.filter(_texts(b, "text", "thinking"), lambda t: t != ""), "\n")), commands=_commands(b, calls.shown_action))
+    results = F.transform(_of(b, "tool_result"), lambda x: _message("tool", F.substring(_result(x, " "), 1, chars)))
+    plain = F.when((F.col("role") == "user") & (strip(F.col("plain")) != ""), F.array(_message("user", F.col("plain"))))
+    own = F.when(F.col("plain").isNotNull(), plain).when(F.col("role") == "assistant", F.when(b.isNotNull(), F.array(said))).otherwise(results)
+    d = d.select("conv", F.col("line_no").alias("pos"), F.posexplode(own).alias("part", "m")).select("conv", "pos", "part", "m.role", "m.text", "m.commands")
+    back = F.row_number().over(Window.partitionBy("conv").orderBy(F.desc("pos"), F.desc("part")))
     return d.withColumn("back", back).filter(F.col("back") <= most).drop("back")
 
 
 def full_transcript(lines: DataFrame) -> DataFrame:
-    """(conv, pos, part, role, text, reasoning) of every message outside side chains: results joined by nothing, a user's text blocks
-    as messages of their own after them, thinking beside the text."""
+    """(conv, pos, part, role, text, reasoning, commands) of every message outside side chains, uncut.
+
+    An assistant's texts follow each other with nothing between, its thinking likewise beside them, and its calls count as commands; a
+    user's results and text blocks are messages of their own, in their order.
+    """
     d = _parsed(lines).filter("NOT side")
+    block = F.to_json(F.struct(F.lit("text").alias("type"), F.col("plain").alias("text")))
+    d = d.withColumn("blocks", F.coalesce(F.when(F.col("plain").isNotNull(), F.array(F.parse_json(block))), F.col("blocks")))
     b = F.col("blocks")
-
-    def message(role: str, text: Column, reasoning: Column | None = None) -> Column:
-        return F.struct(F.lit(role).alias("role"), text.alias("text"), (F.lit("") if reasoning is None else reasoning).alias("reasoning"))
-
-    thinking = _joined(F.transform(_of(b, "thinking"), lambda x: _get(x, "$.thinking")), "\n")
-    own = F.array(message("assistant", F.coalesce(F.col("plain"), _joined(F.transform(_of(b, "text"), lambda x: _get(x, "$.text")), "\n")), F.coalesce(thinking, F.lit(""))))
-    results = F.transform(_of(b, "tool_result"), lambda x: message("tool", F.coalesce(_content(x, "$.content", ""), F.lit(""))))
-    texts = F.transform(_of(b, "text"), lambda x: message("user", F.coalesce(_get(x, "$.text"), F.lit(""))))
-    user = F.when(F.col("plain").isNotNull(), F.array(message("user", F.col("plain")))).otherwise(F.concat(results, texts))
+    joined = lambda kind: F.coalesce(F.array_join(_texts(b, kind), ""), F.lit(""))
+    own = F.array(_message("assistant", joined("text"), joined("thinking"), _commands(b, calls.call_command)))
+    user = F.transform(F.filter(b, lambda x: _get(x, "$.type").isin("tool_result", "text")), lambda x: F.when(_get(x, "$.type") == "text", _message("user", _text(x, "$.text"))).otherwise(_message("tool", _result(x, ""))))
     d = d.select("conv", F.col("line_no").alias("pos"), F.posexplode(F.when(F.col("type") == "assistant", own).otherwise(user)).alias("part", "m"))
-    return d.select("conv", "pos", "part", "m.role", "m.text", "m.reasoning")
+    return d.select("conv", "pos", "part", "m.role", "m.text", "m.reasoning", "m.commands")
 
 
 def rollout(lines: DataFrame) -> DataFrame:
