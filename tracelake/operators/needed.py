@@ -84,17 +84,18 @@ def _rare_use(chunks: DataFrame, commands: DataFrame, level: Level) -> DataFrame
     return use.filter("uses > 0").select("conv", "gi").distinct()
 
 
-def needed(chunks: DataFrame, reads: DataFrame, commands: DataFrame, hunks: DataFrame, level: Level = LEVELS[3], now: Column | None = None) -> DataFrame:
+def needed(chunks: DataFrame, reads: DataFrame, commands: DataFrame, hunks: DataFrame, level: Level = LEVELS[3], now: Column | None = None, use: DataFrame | None = None) -> DataFrame:
     """(conv, gi, needed). The first rule that applies decides: the step being acted on (`now`) and planning documents stay; reasoning
     stays (with `now`: for `continuity` steps); copies go; lines that are read again anyway go unless the patch touches them; file
     chunks stay if a target meets them, or their file if their lines are not known; other chunks stay for a rare word said later.
 
-    An empty side gives no targets; null files and lines as above; rows of equal (conv, gi) are taken for one chunk.
+    An empty side gives no targets; null files and lines as above; rows of equal (conv, gi) are taken for one chunk. `use`: (conv, gi) of
+    the chunks that hold a rare word said later, where that is known.
     """
     d = chunks.dropDuplicates(["conv", "gi"])
     files = targets_after(d, reads, hunks, level.horizon).select("conv", "gi", "precise", "whole", "patched")
     known = d.join(files, ["conv", "gi"], "left").join(_range_facts(d, reads, hunks, level), ["conv", "gi"], "left")
-    known = known.join(_rare_use(d, commands, level).withColumn("rare", F.lit(True)), ["conv", "gi"], "left")
+    known = known.join((_rare_use(d, commands, level) if use is None else use).withColumn("rare", F.lit(True)), ["conv", "gi"], "left")
     yes = lambda c: F.coalesce(F.col(c), F.lit(False))
     lines = F.col("lo").isNotNull() & F.col("hi").isNotNull()
     whole = (F.col("whole") > 0) if level.whole else F.lit(False)
@@ -108,6 +109,60 @@ def needed(chunks: DataFrame, reads: DataFrame, commands: DataFrame, hunks: Data
     return known.select("conv", "gi", rule.alias("needed"))
 
 
+#: A trace of fewer steps, or with fewer chunks, has no keep set, and an alive set of fewer chunks decides nothing.
+LEAST = 6
+
+
+def readouts(chunks: DataFrame, last: DataFrame) -> DataFrame:
+    """(conv, gi, age, t, ...) of when each chunk that is no reasoning is looked at: at its own step and at the next, never at the first
+    or the last step of all; `last` is (conv, steps)."""
+    d = chunks.filter("coalesce(kind, '') <> 'reasoning'").join(last, "conv").withColumn("age", F.explode(F.array(F.lit(0), F.lit(1))))
+    d = d.withColumn("t", F.col("step") + F.col("age"))
+    return d.filter("step >= 1 AND t < steps - 1").drop("steps")
+
+
+def _alive_counts(admitted: DataFrame, points: DataFrame, keys: list[str], name: str) -> DataFrame:
+    """`points` (.., age, t) with how many rows of `admitted` (.., step, admitted) of the same keys are alive: those of step t, at age 1
+    of the step before too, and the admitted ones of all earlier steps.
+
+    Counts by step are summed up once and differences give every view of them; nothing is counted anew for a step.
+    """
+    at = points.select(*keys, F.col("t").alias("step")).distinct()
+    zero = F.lit(0).cast("long")
+    counts = admitted.groupBy(*keys, "step").agg(F.count_if("admitted").alias("a"), F.count_if(~F.col("admitted")).alias("b"))
+    both = counts.unionByName(at.select(*keys, "step", zero.alias("a"), zero.alias("b"))).groupBy(*keys, "step").agg(F.sum("a").alias("a"), F.sum("b").alias("b"))
+    w = Window.partitionBy(*keys).orderBy("step")
+    so_far, here, before = F.sum("a").over(w), F.col("b"), F.coalesce(F.sum("b").over(w.rangeBetween(-1, -1)), F.lit(0))
+    views = both.select(*keys, F.col("step").alias("t"), (so_far + here).alias("_0"), (so_far + here + before).alias("_1"))
+    d = points.join(views, [*keys, "t"], "left")
+    return d.withColumn(name, F.when(F.col("age") == 0, F.col("_0")).otherwise(F.col("_1"))).drop("_0", "_1")
+
+
+def keep_set(chunks: DataFrame, reads: DataFrame, commands: DataFrame, hunks: DataFrame, level: Level = LEVELS[3]) -> DataFrame:
+    """(conv, gi, keep) of every chunk: whether one of its readouts needs it.
+
+    First every chunk is judged once over all chunks; those needed, and all reasoning, are admitted. Then each chunk is judged at its own
+    step and at the next, as of that step: against later reads, commands and hunks from there on, with words rare among the chunks alive
+    then, and with copies alive then (at its own step none is fresher; at the next, `sup_next` is the share that it serves again).
+    Reasoning, first and last steps are never kept; nor is anything of a trace of fewer than six steps or chunks.
+    """
+    d = chunks.dropDuplicates(["conv", "gi"])
+    own = d.select("conv", "step").unionByName(reads.select("conv", "step")).unionByName(commands.select("conv", "step"))
+    last = own.groupBy("conv").agg((F.max("step") + 1).alias("steps")).join(d.groupBy("conv").agg(F.count("*").alias("n")), "conv").filter((F.col("steps") >= LEAST) & (F.col("n") >= LEAST)).drop("n")
+    first = needed(d, reads, commands, hunks, level).select("conv", "gi", F.col("needed").alias("admitted"))
+    judged = d.join(first, ["conv", "gi"]).select("conv", "gi", "step", "admitted", "spans")
+    points = _alive_counts(judged, readouts(d, last), ["conv"], "alive").filter(F.col("alive") >= LEAST)
+    points = points.withColumns({"sup": F.when(F.col("age") == 1, F.col("sup_next")).otherwise(F.lit(0.0)), "step": F.col("t"), "own": F.col("gi"), "gi": F.col("gi") * 2 + F.col("age")})
+    long = lambda x: x.withColumn("span", F.explode(F.array_distinct("spans"))).filter(F.char_length("span") >= level.chars).drop("spans")
+    plain = long(points.filter("file IS NULL").select("conv", "gi", "age", "t", "alive", "spans"))
+    rare = _alive_counts(long(judged), plain, ["conv", "span"], "df").filter(F.col("df") <= F.greatest(F.lit(2.0), F.col("alive") * level.rare))
+    said = commands.select("conv", "step", F.explode("spans").alias("span"))
+    use = later(rare.select("conv", "gi", "span", F.col("t").alias("step")), said, ["conv", "span"], level.horizon, "uses").filter("uses > 0").select("conv", "gi").distinct()
+    out = needed(points.drop("age", "t", "alive", "own"), reads, commands, hunks, level, use=use)
+    kept = out.filter("needed").select("conv", F.floor(F.col("gi") / 2).alias("gi"), F.lit(True).alias("keep")).distinct()
+    return d.select("conv", "gi").join(kept, ["conv", "gi"], "left").select("conv", "gi", F.coalesce("keep", F.lit(False)).alias("keep"))
+
+
 def kept_by_level(chunks: DataFrame, reads: DataFrame, commands: DataFrame, hunks: DataFrame) -> DataFrame:
     """(conv, level, kept): chunks that each level keeps."""
     parts = [needed(chunks, reads, commands, hunks, level).withColumn("level", F.lit(k)) for k, level in LEVELS.items()]
@@ -129,7 +184,7 @@ def derived(ranges: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame, DataFra
     lines = F.col("gi") % 5 != 2
     chunks = d.filter("gi % 3 <> 0").select(
         "conv", "gi", "step", F.when(F.col("gi") % 11 == 0, "reasoning").otherwise("obs").alias("kind"), F.when(F.col("gi") % 13 == 0, "docs/my-plan.md").when(F.col("gi") % 7 != 1, F.col("file")).alias("file"),
-        F.when(lines, F.col("lo")).alias("lo"), F.when(lines, F.col("hi")).alias("hi"), (F.col("tokens") % 100 / 100).alias("sup"),
+        F.when(lines, F.col("lo")).alias("lo"), F.when(lines, F.col("hi")).alias("hi"), (F.col("tokens") % 100 / 100).alias("sup"), (F.col("tokens") % 90 / 100).alias("sup_next"),
         F.array(F.concat(F.lit("symbol_"), (F.col("tokens") % 40).cast("string")), F.concat(F.lit("longer_symbol_"), (F.col("gi") % 50).cast("string")), F.lit("short")).alias("spans"),
         F.concat_ws(" ", "file", F.col("lo").cast("string")).alias("text"),
     )
