@@ -35,15 +35,23 @@ def word_hashes(words: Column) -> Column:
     return F.transform(words, lambda w: F.xxhash64(w))
 
 
-def ngram_buckets(hashes: Column, buckets: int) -> Column:
-    """Bucket numbers of all unigrams and bigrams, from the words' hashes."""
-    m = F.lit(buckets).cast("long")
-    one = F.transform(hashes, lambda h: F.pmod(h, m).cast("int"))
-    two = F.transform(F.sequence(F.lit(1), F.size(hashes) - 1), lambda i: F.pmod(F.xxhash64(F.element_at(hashes, i), F.element_at(hashes, i + 1)), m).cast("int"))
-    return F.when(F.size(hashes) > 1, F.concat(one, two)).otherwise(one)
+def pair_hashes(hashes: Column) -> Column:
+    """The hashes of neighbouring words together, one fewer than words."""
+    pairs = F.transform(hashes, lambda h, i: F.xxhash64(h, F.get(hashes, i + 1)))
+    return F.slice(pairs, F.lit(1), F.greatest(F.size(hashes) - 1, F.lit(0)))
 
 
-def _repeat_words(words: Column, hashes: Column) -> Column:
+def _bucket(h: Column, buckets: int) -> Column:
+    """The remainder, never below 0; for powers of two the low bits are just that."""
+    return (h.bitwiseAND(F.lit(buckets - 1).cast("long")) if buckets & (buckets - 1) == 0 else F.pmod(h, F.lit(buckets).cast("long"))).cast("int")
+
+
+def ngram_buckets(hashes: Column, pairs: Column, buckets: int) -> Column:
+    """Bucket numbers of all unigrams and bigrams, from the words' hashes and the pairs'."""
+    return F.concat(*[F.transform(x, lambda h: _bucket(h, buckets)) for x in (hashes, pairs)])
+
+
+def _repeat_words(words: Column, hashes: Column, pairs: Column) -> Column:
     """Words inside windows that occur twice or more. Hashed windows only tell whether there is any repeat; the count is exact."""
     n = F.size(words)
 
@@ -64,16 +72,15 @@ def _repeat_words(words: Column, hashes: Column) -> Column:
 
         return let(F.array_sort(windows), lambda s: let(repeated(s), covered))
 
-    def hashed(h: Column) -> Column:
-        return F.transform(F.sequence(F.lit(1), n - (WINDOW - 1)), lambda i: F.xxhash64(*[F.element_at(h, i + k) for k in range(WINDOW)]))
-
-    any_repeat = let(hashed(hashes), lambda x: F.size(F.array_distinct(x)) < F.size(x))
+    # Two pairs and a word make a window of five; past the last window parts are missing, which can only ask for a count in vain.
+    windows = F.transform(pairs, lambda g, i: F.xxhash64(g, F.get(pairs, i + 2), F.get(hashes, i + 4)))
+    any_repeat = let(windows, lambda x: F.size(F.array_distinct(x)) < F.size(x))
     return F.when(n <= WINDOW, F.lit(0)).when(any_repeat, exact()).otherwise(F.lit(0)).cast("long")
 
 
 def with_counts(docs: DataFrame) -> DataFrame:
-    """`docs` with the base rules' counts; _h holds the hashes of its words."""
-    d = docs.withColumn("_words", words_of(F.col("text"))).withColumn("_h", word_hashes(F.col("_words")))
+    """`docs` with the base rules' counts; _h and _g hold the hashes of its words and of its pairs of words."""
+    d = docs.withColumn("_words", words_of(F.col("text"))).withColumn("_h", word_hashes(F.col("_words"))).withColumn("_g", pair_hashes(F.col("_h")))
     text, words = text_or_empty(F.col("text")), F.col("_words")
     lines = F.filter(F.split(text, "\n"), lambda x: x.rlike(r"[^\x20\x09-\x0D]"))
     return d.select(
@@ -82,7 +89,7 @@ def with_counts(docs: DataFrame) -> DataFrame:
         F.length(F.array_join(words, "")).cast("long").alias("word_chars"),
         (F.length(text) - F.length(F.regexp_replace(text, r"[#*$%&|<>]", ""))).cast("long").alias("n_symbols"),
         let(lines, lambda x: F.size(x) - F.size(F.array_distinct(x))).cast("long").alias("n_dup_lines"),
-        let(words, lambda w: let(F.col("_h"), lambda h: _repeat_words(w, h))).alias("n_repeat_words"),
+        let(words, lambda w: let(F.col("_h"), lambda h: let(F.col("_g"), lambda g: _repeat_words(w, h, g)))).alias("n_repeat_words"),
     ).drop("_words")
 
 
@@ -97,7 +104,7 @@ def ratio_weights(docs: DataFrame, labels: DataFrame, buckets: int = BUCKETS, tr
     ids = F.broadcast(trusted_ids(labels, trusted_docs))
     d = docs.select("doc_id", "text").join(ids, F.col("doc_id") == F.col("_trusted"), "left")
     h = d.select(F.col("_trusted").isNotNull().cast("long").alias("_t"), word_hashes(words_of(F.col("text"))).alias("_h"))
-    grams = h.select("_t", F.explode(let(F.col("_h"), lambda x: ngram_buckets(x, buckets))).alias("b"))
+    grams = h.select("_t", F.explode(let(F.col("_h"), lambda x: ngram_buckets(x, pair_hashes(x), buckets))).alias("b"))
     counts = stored(grams.groupBy("b").agg(F.count("*").alias("r"), F.sum("_t").alias("t")), "ngram-counts")
     total = counts.agg(F.coalesce(F.sum("t") / F.sum("r"), F.lit(0.0)).alias("share"))
     w = counts.select("b", F.ln((F.col("t") + prior) / (F.col("r") * total.scalar() + prior)).alias("w"))
@@ -108,19 +115,19 @@ def ratio_weights(docs: DataFrame, labels: DataFrame, buckets: int = BUCKETS, tr
 
 def judge(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD, buckets: int = BUCKETS, **how) -> DataFrame:
     """`docs` with the counts, base_failed, ratio and kept; its own columns of those names give way."""
-    docs = docs.drop("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "ratio", "kept", "_words", "_h", "_weights")
+    docs = docs.drop("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "ratio", "kept", "_words", "_h", "_g", "_weights")
     weights = ratio_weights(docs, labels, buckets, **how).scalar()
     d = with_counts(docs)
 
     def ratio(w: Column) -> Column:
-        def mean(b: Column) -> Column:
-            return F.aggregate(b, F.lit(0.0), lambda a, x: a + F.element_at(w, x + 1)) / (F.size(b) + F.lit(LENGTH_PRIOR))
-
-        return let(F.col("_h"), lambda h: let(ngram_buckets(h, buckets), mean))
+        """Unigrams first, then bigrams, each looked up where its hash stands."""
+        one = F.aggregate(F.col("_h"), F.lit(0.0), lambda a, h: a + F.get(w, _bucket(h, buckets)))
+        both = F.aggregate(F.col("_g"), one, lambda a, g: a + F.get(w, _bucket(g, buckets)))
+        return both / (F.size("_h") + F.size("_g") + F.lit(LENGTH_PRIOR))
 
     failed = (F.col("n_words") < 10) | (100 * F.col("n_repeat_words") > 20 * F.col("n_words"))
     # A subquery may not stand inside a lambda as written; the optimizer folds this column into its only use, so no row carries it.
-    d = d.withColumn("_weights", weights).withColumn("ratio", let(F.col("_weights"), ratio)).drop("_h", "_weights").withColumn("base_failed", failed)
+    d = d.withColumn("_weights", weights).withColumn("ratio", let(F.col("_weights"), ratio)).drop("_h", "_g", "_weights").withColumn("base_failed", failed)
     return d.withColumn("kept", ~F.col("base_failed") & (F.col("ratio") >= F.lit(threshold)))
 
 
