@@ -245,3 +245,12 @@ def test_breaker_equals_the_gate(spark):
         row = {"session": s, "seq": i, "tool": "bash", "norm": c, "targets": "[]", "edits": '["x.py"]' if c == "e" else "[]", "mutates": False, "override": False}
         assert gates.gate_step(states.setdefault(s, {}), row)[3] != got[s, i]
     assert any(got.values())
+
+
+def test_action_edits_skip_scratch_scripts(spark):
+    e = lambda a: one(spark, X.action_edits(F.lit(a).cast("string")))
+    script = "cat > /tmp/fix.py <<'EOF'\nopen('src/a.py', 'w')\nEOF\n"
+    assert e(script) == [] and e(script + "tee lib/b.py") == ["lib/b.py"] and e(script.replace("/tmp", "src")) == ["src/a.py", "src/fix.py"]
+    assert e("cat > /tmp/x <<-END\nsed -i src/a.py\n  END and tee src/b.py") == ["src/b.py"] and e("cat > /tmp/x <<END\nsed -i src/a.py\nENDING") == []
+    assert e("cat > /TMP/x <<eof\nsed -i src/a.py\nEOF") == [] and e("sed -i x B.py A.py a.py tests/c.py > /tmp/d.py > tmp/e.py") == ["a.py", "b.py"]
+    assert e(None) == [] and e("") == [] and e("cat src/a.py > o.txt") == []

@@ -15,6 +15,10 @@ READ_VERBS = r"\b(cat|sed|head|tail|less|more|nl|awk|view|open)\b"
 RENUMBERING_VERBS = r"\b(tail|awk|nl|sed|less|more|view|open)\b"
 WINDOW_READ = r"""sed\s+(?:-[a-zA-Z]+\s+)*-n\s+['"]?(\d+),(\d+)p['"]?\s+(.+)"""
 WHOLE_READ = r"^(?i:cat|head|tail|grep|egrep|fgrep|awk|type|more|less|Get-Content)\b(.*)"
+# Line windows in commands, words that name files, and where an output names its exit code.
+WINDOW, ONE_LINE, HEAD_LINES, AWK_WINDOW = r"\b(\d+),(\d+)p", r"\bsed\s+-n\s+(\d+)p", r"\bhead\s+(?:-n\s*)?(\d+)", r"NR\s*>=\s*(\d+)\s*&&\s*NR\s*<=\s*(\d+)"
+FILE_WORD, TOKEN = r"[A-Za-z0-9_./+-]*\.[A-Za-z]{1,5}$", r"""'[^']+'|"[^"]+"|\S+"""
+EXIT_CODES = (r"(?i)<returncode>\s*(-?\d+)\s*</returncode>", r"(?i)\breturncode[:=]\s*(-?\d+)")
 # The extension classes, in the order of their columns.
 EXTENSIONS = "gml ps1 md txt json py png log yy jsonl sh diff html yyp patch js ts tsx rs go java c h cpp yaml yml toml rb cs css".split()
 TEST_DIRS = ("test", "tests", "testing")
@@ -48,12 +52,12 @@ def _number(text: Column, pattern: str, group: int = 1) -> Column:
 
 def sed_base(cmd: Column) -> Column:
     """The file line that the output's first line is: from a line window, else 1."""
-    return F.coalesce(_number(cmd, r"\b(\d+),(\d+)p"), _number(cmd, r"\bsed\s+-n\s+(\d+)p"), F.lit(1).cast("long"))
+    return F.coalesce(_number(cmd, WINDOW), _number(cmd, ONE_LINE), F.lit(1).cast("long"))
 
 
 def coords_trusted(cmd: Column) -> Column:
     """Whether output lines can be named by file lines."""
-    window = cmd.rlike(r"\b(\d+),(\d+)p") | cmd.rlike(r"\bsed\s+-n\s+(\d+)p")
+    window = cmd.rlike(WINDOW) | cmd.rlike(ONE_LINE)
     return window | (cmd.rlike(READ_VERBS) & ~cmd.contains("|") & ~cmd.rlike(RENUMBERING_VERBS))
 
 
@@ -82,7 +86,7 @@ def planning_doc(path: Column) -> Column:
 
 def path_tokens(text: Column) -> Column:
     """Quoted or bare words that name a file: no flag, four characters or more, a separator, and a dot in the base name."""
-    raw = F.transform(F.regexp_extract_all(text, F.lit(r"""'[^']+'|"[^"]+"|\S+"""), 0), lambda t: F.trim(F.when(t.rlike("""^(['"]).+\\1$"""), F.substring(t, 2, F.length(t) - 2)).otherwise(t)))
+    raw = F.transform(F.regexp_extract_all(text, F.lit(TOKEN), 0), lambda t: F.trim(F.when(t.rlike("""^(['"]).+\\1$"""), F.substring(t, 2, F.length(t) - 2)).otherwise(t)))
     return F.filter(raw, lambda t: ~t.startswith("-") & (F.length(t) >= 4) & t.rlike(r"[/\\]") & F.substring_index(F.translate(t, "\\", "/"), "/", -1).contains("."))
 
 
@@ -100,11 +104,10 @@ def read_targets(cmd: Column) -> Column:
 
 def parse_reads(cmd: Column) -> Column:
     """array<struct<file, lo, hi>>: every file word of the command with its line range; null bounds are the whole file."""
-    files = F.filter(F.transform(_words(cmd), basename), lambda b: b.rlike(r"[A-Za-z0-9_./+-]*\.[A-Za-z]{1,5}$"))
-    awk = r"NR\s*>=\s*(\d+)\s*&&\s*NR\s*<=\s*(\d+)"
-    one, head = _number(cmd, r"\bsed\s+-n\s+(\d+)p"), _number(cmd, r"\bhead\s+(?:-n\s*)?(\d+)")
-    lo = F.coalesce(_number(cmd, r"\b(\d+),(\d+)p", 1), _number(cmd, awk, 1), one, F.when(head.isNotNull(), 1))
-    hi = F.coalesce(_number(cmd, r"\b(\d+),(\d+)p", 2), _number(cmd, awk, 2), one, head)
+    files = F.filter(F.transform(_words(cmd), basename), lambda b: b.rlike(FILE_WORD))
+    one, head = _number(cmd, ONE_LINE), _number(cmd, HEAD_LINES)
+    lo = F.coalesce(_number(cmd, WINDOW, 1), _number(cmd, AWK_WINDOW, 1), one, F.when(head.isNotNull(), 1))
+    hi = F.coalesce(_number(cmd, WINDOW, 2), _number(cmd, AWK_WINDOW, 2), one, head)
     return F.transform(files, lambda f: F.struct(f.alias("file"), lo.alias("lo"), hi.alias("hi")))
 
 
@@ -134,7 +137,7 @@ def grep_candidate(line: Column) -> Column:
 def obs_rc(observation: Column) -> Column:
     """The exit code named in the first 400 characters."""
     head = F.substring(observation, 1, 400)
-    return F.coalesce(_signed(head, r"(?i)<returncode>\s*(-?\d+)\s*</returncode>"), _signed(head, r"(?i)\breturncode[:=]\s*(-?\d+)"))
+    return F.coalesce(*[_signed(head, p) for p in EXIT_CODES])
 
 
 def _signed(text: Column, pattern: str) -> Column:

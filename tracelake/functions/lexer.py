@@ -31,6 +31,15 @@ READABLE = [*SOURCE, *"txt rst md cfg ini toml yaml yml json xml html htm css re
 SCRATCH = r"^/dev/null$|\.pyc$|/__pycache__/|^/tmp/|^/private/tmp/|/appdata/local/temp/|/windows/temp/|\.diff$|\.patch$"
 SCRATCH_EDIT = r"/tmp/|^tmp/|/appdata/local/temp/|/windows/temp/|^/dev/null$"
 
+# Edits by the words of an agent's own action, scratch scripts in here-documents, and what a redirection may hit freely.
+ACTION_EDITS = (
+    r"(?i)\bsed\s+-i\b|\btee\b|\bpatch\b|git\s+apply|apply_patch|str_replace|replace_in_file|edit_file|write_file|create_file|\.write\(|"
+    r"open\([^)]*['\"]w['\"]|open\([^)]*,\s*['\"]w"
+)
+ACTION_PATH = r"/?[\w.\-/]+\.[A-Za-z][A-Za-z0-9]*"
+SCRATCH_SCRIPT = r""">>?\s*['"]?/tmp/[\w.\-/]*['"]?[^\n]*<<-?\s*['"]?(\w+)['"]?\n"""
+SCRATCH_TARGET = r"""(?i)^['"]?(?:/tmp/|tmp/|/dev/null)"""
+
 _QUOTED = r"""'[^']*(?:'|\z)|"[^"]*(?:"|\z)"""
 _MARK = "\x01"
 RANGE = "struct<lo:bigint,hi:bigint,tail:bigint>"
@@ -152,6 +161,23 @@ def shell_edits(cmd: Column) -> Column:
     return F.coalesce(F.array_distinct(F.transform(own, lambda p: F.substring_index(p, "/", -1))), F.array())
 
 
+def without_scratch_scripts(action: Column) -> Column:
+    """An action without the bodies of here-documents that go to scratch files; a body ends at its mark at a line's start, or at the end."""
+    return F.regexp_replace(action, f"(?U)((?i:{SCRATCH_SCRIPT}))(?s:.*?)((?m:^\\s*\\2\\b)|\\z)", "$1$3")
+
+
+def action_edits(action: Column) -> Column:
+    """The source files, lower case and in order, that an action edits: all it names if it has an editing word, and what it redirects to."""
+
+    def found(scan: Column) -> Column:
+        named = F.when(scan.rlike(_wide(ACTION_EDITS)), F.regexp_extract_all(scan, F.lit(_wide(ACTION_PATH)), 0)).otherwise(F.array())
+        written = F.filter(F.regexp_extract_all(scan, F.lit(_wide(rf">>?\s*({ACTION_PATH})")), 1), lambda t: ~t.rlike(SCRATCH_TARGET))
+        low = F.transform(F.concat(named, written), lambda p: F.regexp_replace(F.lower(p), "^['\"]+|['\"]+$", ""))
+        return F.array_sort(F.array_distinct(F.filter(low, lambda p: is_source(F.translate(p, "\\", "/")))))
+
+    return F.coalesce(let(without_scratch_scripts(action), found), F.array())
+
+
 def mutates_all(cmd: Column) -> Column:
     """Whether a command may change any file of a working copy."""
     return F.coalesce(cmd.rlike(_wide(MUTATES_ALL)), F.lit(False))

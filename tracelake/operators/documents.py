@@ -21,11 +21,22 @@ def rare_tokens(docs: DataFrame, share: float = 0.001, min_chars: int = 8) -> Da
     return d.groupBy("source").agg(F.count("*").alias("n_rare"), F.sum("df").alias("occurrences"))
 
 
-def exact_copies(docs: DataFrame) -> DataFrame:
-    """Of each document: earlier copies of its text and whether a later one supersedes it. Texts meet by digest."""
-    d = docs.select("doc_id", F.sha2("text", 256).alias("h"))
-    w = Window.partitionBy("h").orderBy("doc_id").rangeBetween(Window.unboundedPreceding, -1)
-    return d.select("doc_id", F.count("*").over(w).alias("earlier"), F.when(F.max("doc_id").over(Window.partitionBy("h")) > F.col("doc_id"), 1).otherwise(0).alias("superseded"))
+def exact_copies(docs: DataFrame, buckets: int = 4096) -> DataFrame:
+    """Of each document: earlier copies of its text and whether a later one supersedes it. Texts meet by digest, null texts too.
+
+    Copies are counted inside ranges of doc_id first, and the ranges' counts are summed up: a text in any number of documents meets in
+    no task as a whole.
+    """
+    d = docs.select("doc_id", F.coalesce(F.sha2("text", 256), F.lit("")).alias("h"))
+    low, high = (d.agg(f("doc_id").alias("x")).scalar() for f in (F.min, F.max))
+    d = d.withColumn("b", F.floor((F.col("doc_id") - low) / (F.floor((high - low) / buckets) + 1)))
+    parts = d.groupBy("h", "b").agg(F.count("*").alias("n"), F.max("doc_id").alias("top"))
+    w = Window.partitionBy("h")
+    before = F.coalesce(F.sum("n").over(w.orderBy("b").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    parts = parts.select("h", F.coalesce("b", F.lit(-1)).alias("b"), before.alias("before"), F.max("top").over(w).alias("top"))
+    here = F.count("*").over(Window.partitionBy("h", "b").orderBy("doc_id").rangeBetween(Window.unboundedPreceding, -1))
+    d = d.withColumn("b", F.coalesce("b", F.lit(-1))).join(parts, ["h", "b"])
+    return d.select("doc_id", (F.col("before") + here).alias("earlier"), F.when(F.col("top") > F.col("doc_id"), 1).otherwise(0).alias("superseded"))
 
 
 def path_depths(pages: DataFrame) -> DataFrame:

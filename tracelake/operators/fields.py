@@ -76,9 +76,3 @@ def identities(messages: DataFrame, salt: str = "s") -> DataFrame:
     first = F.min_by(F.when(F.col("role") == "user", F.col("text")), F.when(F.col("role") == "user", F.col("turn")))
     d = messages.groupBy("conv_id").agg(F.coalesce(first, F.lit("")).alias("first"))
     return d.select("conv_id", F.substring(F.sha2(F.concat(F.lit(salt), F.lit("\n"), F.col("first")), 256), 1, 24).alias("ident"))
-
-
-def protected(messages: DataFrame) -> DataFrame:
-    """Messages that are never cut: assistant prose, and user messages that carry no tool result (here: no `e t` in the text)."""
-    result = F.coalesce(F.col("text"), F.lit("")).contains("e t")
-    return messages.select("conv_id", "turn", ((F.col("role") == "assistant") | (F.col("role") == "user") & ~result).alias("protected"))

@@ -14,6 +14,7 @@ def derived_ledger(events: DataFrame) -> DataFrame:
         F.when(F.col("event_id") % 5 != 0, F.concat(F.lit("m"), (F.col("event_id") % 3).cast("string"))).alias("model"),
         F.when(F.col("event_id") % 7 != 0, v).alias("cf"), F.floor(v * 3 / 4 + F.col("event_id") % 13).cast("long").alias("billed"),
         (v % 97).alias("cache_read"), (v % 31).alias("cache_write"), (F.col("event_id") % 17 == 0).alias("fail_open"),
+        (F.col("user_id") * 10 + F.col("event_id") % 3).alias("conv_id"), F.when(F.col("event_id") % 9 != 0, v % 53).alias("freeze_cut"),
     )
 
 
@@ -22,7 +23,8 @@ def totals(ledger: DataFrame) -> DataFrame:
     return ledger.agg(
         F.count("*").alias("n_rows"), F.count("cf").alias("probed"), F.sum(F.when(probed, 0).otherwise(1)).cast("long").alias("null_probes"),
         F.sum(F.when(F.col("fail_open"), 1).otherwise(0)).cast("long").alias("fail_opens"), F.sum("cf").alias("cf"), F.sum(F.when(probed, F.col("billed"))).alias("billed_probed"),
-        F.sum(F.col("cf") - F.col("billed")).alias("saved"), F.sum("cache_read").alias("cache_read"), F.sum("cache_write").alias("cache_write"), F.countDistinct("session_id").alias("sessions"),
+        F.sum(F.col("cf") - F.col("billed")).alias("saved"), F.sum("cache_read").alias("cache_read"), F.sum("cache_write").alias("cache_write"), F.countDistinct("session_id").alias("sessions"), F.countDistinct("conv_id").alias("conversations"),
+        F.sum("freeze_cut").alias("freeze_cut"),
     )
 
 
@@ -64,12 +66,16 @@ def evict(ledger: DataFrame, ttl_seconds: int = 3600, cap: int = 512) -> DataFra
 
 
 def tau_for_coverage(rows: DataFrame, coverage: float) -> DataFrame:
-    """By kind: the score at which the needed tokens, from the highest score down, reach the coverage. Rows are (kind, id, score, needed, tokens)."""
-    w = Window.partitionBy("kind").orderBy(F.desc("score"), "id")
-    d = rows.filter("needed = 1").withColumn("cum", F.sum("tokens").over(w.rowsBetween(Window.unboundedPreceding, 0))).withColumn("rank", F.row_number().over(w))
-    d = d.withColumn("total", F.sum("tokens").over(Window.partitionBy("kind")))
-    first = F.min(F.when(F.col("cum") >= F.col("total") * coverage, F.struct("rank", "score")))
-    return d.groupBy("kind").agg(F.coalesce(first, F.max(F.struct("rank", "score"))).alias("f"), F.count("*").alias("n")).select("kind", F.col("f.score").alias("tau"), "n")
+    """By kind: the score at which the needed tokens, from the highest score down, reach the coverage, else the lowest. Rows are (kind,
+    score, needed, tokens).
+
+    Tokens are summed by score first, so a kind has as many rows as the grid has scores, whatever number it had before.
+    """
+    d = rows.filter("needed = 1").groupBy("kind", "score").agg(F.sum("tokens").alias("t"), F.count("*").alias("n"))
+    total = d.groupBy("kind").agg(F.sum("t").alias("total"), F.sum("n").alias("n"), F.min("score").alias("least"))
+    cum = F.sum("t").over(Window.partitionBy("kind").orderBy(F.desc("score")))
+    first = d.select("kind", "score", cum.alias("cum")).join(total.select("kind", "total"), "kind").filter(F.col("cum") >= F.col("total") * coverage).groupBy("kind").agg(F.max("score").alias("tau"))
+    return total.join(first, "kind", "left").select("kind", F.coalesce("tau", "least").alias("tau"), "n")
 
 
 def tau_report(rows: DataFrame, tau: int) -> DataFrame:

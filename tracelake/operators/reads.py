@@ -59,6 +59,23 @@ def shell_edits(calls: DataFrame) -> DataFrame:
     return calls.select("id", edited.alias("edited"), X.mutates_all(F.col("cmd")).alias("mutates")).filter("edited <> '' OR mutates")
 
 
+def derived_actions(lineitem: DataFrame) -> DataFrame:
+    """Actions that write scripts by here-documents, to scratch files or not, or edit files by words and redirections."""
+    s = lambda c: F.col(c).cast("string")
+    d = lineitem.select((F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("id"), ((F.col("l_partkey") + F.col("l_linenumber")) % 7).cast("int").alias("form"), s("l_partkey").alias("p"), s("l_suppkey").alias("q"))
+    forms = [
+        "cat > /tmp/fix.py <<'EOF'\nopen('src/A%p.py', 'w')\n  EOF ; tee lib/b%q.py", "cat > src/new%p.py <<EOF\nopen('src/c%q.py','w')\nEOF", 'python /tmp/x.py >> /tmp/log%p.py > "tests/d%q.py"', "echo 1 > tmp/e%p.py; sed -i s/x/y/ pkg/F%q.PY other/f%q.rs",
+        'cat >> "/tmp/run" <<-END\nstr_replace src/g%p.py\nno end', "ls src/h%p.py > out%q.txt > k/l%p.go", "apply_patch conftest.py src/m%p.c lib/test_n%q.py lib/m%p.c",
+    ]
+    filled = lambda x: F.replace(F.replace(F.lit(x), F.lit("%p"), F.col("p")), F.lit("%q"), F.col("q"))
+    return d.select("id", F.get(F.array(*[filled(x) for x in forms]), F.col("form")).alias("action"))
+
+
+def action_edits(actions: DataFrame) -> DataFrame:
+    """One row for each source file that an action edits."""
+    return actions.select("id", F.posexplode(X.action_edits(F.col("action"))).alias("n", "file"))
+
+
 def range_tokens(ends: Column, lo: Column, hi: Column, tail: Column) -> Column:
     """A quarter of the bytes of the lines lo..hi, or of the last `tail` lines, by the running byte counts of the file's lines; no file: 0."""
     n = F.coalesce(F.size(ends), F.lit(0)).cast("long")

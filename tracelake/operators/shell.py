@@ -74,12 +74,12 @@ def derived_observations(documents: DataFrame) -> DataFrame:
     return documents.filter("text IS NOT NULL").select(F.col("doc_id").alias("id"), cmd.alias("cmd"), F.array_join(lines, "\n").alias("obs"))
 
 
-def chunk_observations(d: DataFrame, window: int = WINDOW_LINES, atom: int = ATOM_LINES) -> DataFrame:
+def chunk_observations(d: DataFrame, window: int = WINDOW_LINES, atom: int | None = ATOM_LINES) -> DataFrame:
     """(id, kind, file, lo, hi, text, n) of observations (id, cmd, obs).
 
     A read gives atoms of `atom` lines with content, numbered as lines of the file; a search one chunk for each result line and
     windows of the lines between them; anything else windows of `window` lines. Windows without content go; an observation that
-    would have no chunk at all is one chunk.
+    would have no chunk at all is one chunk. Without `atom` a read gives windows of `window` lines as they come, blank ones too.
     """
     search, read = F.col("cmd").rlike(C.SEARCH_VERBS), F.col("cmd").rlike(C.READ_VERBS)
     d = d.withColumns({"kind": F.when(search, "grep").when(read, "read").otherwise("other"), "base": C.sed_base(F.col("cmd")), "first": C.first_file(F.col("cmd"))})
@@ -88,7 +88,8 @@ def chunk_observations(d: DataFrame, window: int = WINDOW_LINES, atom: int = ATO
     upto = by_line.rowsBetween(Window.unboundedPreceding, 0)
     text = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("i", "line"))), lambda x: x["line"]), "\n")
 
-    atoms = full.filter("kind = 'read' AND has").withColumn("g", F.floor((F.row_number().over(by_line) - 1) / atom))
+    atoms = full.filter("kind = 'read'" if atom is None else "kind = 'read' AND has")
+    atoms = atoms.withColumn("g", F.floor(F.col("i") / window) if atom is None else F.floor((F.row_number().over(by_line) - 1) / atom))
     atoms = atoms.groupBy("id", "g").agg(F.first("first").alias("file"), F.min(F.col("base") + F.col("i")).alias("lo"), F.max(F.col("base") + F.col("i")).alias("hi"), text.alias("text"), F.min("i").alias("at"))
     atoms = atoms.select("id", F.lit("read").alias("kind"), "file", "lo", "hi", "text", "at")
 
@@ -106,8 +107,8 @@ def chunk_observations(d: DataFrame, window: int = WINDOW_LINES, atom: int = ATO
     return cut.unionByName(bare).withColumn("n", F.row_number().over(Window.partitionBy("id").orderBy("at")).cast("long") - 1).drop("at")
 
 
-def observation_chunks(documents: DataFrame) -> DataFrame:
-    d = chunk_observations(derived_observations(documents))
+def observation_chunks(documents: DataFrame, **how) -> DataFrame:
+    d = chunk_observations(derived_observations(documents), **how)
     return d.select("id", "n", "kind", "file", "lo", "hi", token_estimate(F.col("text")).alias("tokens"), F.sha2("text", 256).alias("sha"))
 
 

@@ -13,7 +13,6 @@ QUERIES = {
     "keep_growth": ("events", None, fields.keep_growth),
     "top_sites": ("lineitem", lambda d: d.select(F.col("l_orderkey").alias("id"), F.concat(F.lit("/r/f"), F.col("l_partkey").cast("string"), F.lit(".py")).alias("path")), fields.first_sites),
     "conv_identity": ("conversations", None, fields.identities),
-    "protected_mask": ("conversations", None, fields.protected),
 }
 
 _V = "CAST(floor(value) AS BIGINT)"
@@ -25,5 +24,4 @@ SQL = {
     "keep_growth": "SELECT user_id, event_id, (SELECT count(DISTINCT event_type) FROM events b WHERE b.user_id = a.user_id AND (b.ts < a.ts OR b.ts = a.ts AND b.event_id <= a.event_id)) AS kept FROM events a",
     "top_sites": "SELECT file, id FROM (SELECT DISTINCT 'f' || l_partkey || '.py' AS file, l_orderkey AS id FROM lineitem) QUALIFY row_number() OVER (PARTITION BY file ORDER BY id) <= 3",
     "conv_identity": "WITH f AS (SELECT conv_id, coalesce(min(text) FILTER (k = 1 AND role = 'user'), '') AS first FROM (SELECT *, row_number() OVER (PARTITION BY conv_id, role ORDER BY turn) AS k FROM conversations) GROUP BY 1) SELECT conv_id, substr(sha256('s' || chr(10) || first), 1, 24) AS ident FROM f",
-    "protected_mask": "SELECT conv_id, turn, role = 'assistant' OR role = 'user' AND NOT contains(coalesce(text, ''), 'e t') AS protected FROM conversations",
 }

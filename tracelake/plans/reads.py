@@ -24,6 +24,7 @@ def derived_inputs(events: DataFrame) -> DataFrame:
 QUERIES = {
     "shell_reads": ("lineitem", reads.derived_calls, reads.shell_reads),
     "shell_edits": ("lineitem", reads.derived_calls, reads.shell_edits),
+    "action_edits": ("lineitem", reads.derived_actions, reads.action_edits),
     "elided_ranges": ("lineitem", None, reads.elisions),
     "scraped_commands": ("events", derived_inputs, lambda d: d.select("event_id", X.scraped_command(F.col("argv"), F.col("input")).alias("cmd"))),
 }
@@ -109,4 +110,21 @@ u AS (SELECT *, list_reduce([{{'out': '', 'esc': false}}] || list_transform(stri
 SELECT event_id, coalesce(nullif(array_to_string(argv, ' '), ''), CASE WHEN json_type(obj, '$.command') = 'VARCHAR' THEN nullif(json_extract_string(obj, '$.command'), '') END,
   CASE WHEN json_type(obj, '$.cmd') = 'VARCHAR' THEN nullif(json_extract_string(obj, '$.cmd'), '') END, nullif(plain, '')) AS cmd FROM u"""
 
-SQL = {"shell_reads": _READS, "shell_edits": _EDITS, "elided_ranges": _ELIDED, "scraped_commands": _SCRAPED}
+# Line by line: a line that opens a scratch here-document drops what follows, until its mark begins a line; then the rest of that line counts.
+_ACTIONS = rf"""WITH RECURSIVE d AS (SELECT l_orderkey * 10 + l_linenumber AS id, row_number() OVER () AS rid, (l_partkey + l_linenumber) % 7 AS form, CAST(l_partkey AS VARCHAR) AS p, CAST(l_suppkey AS VARCHAR) AS q FROM lineitem),
+a AS (SELECT id, rid, replace(replace(['cat > /tmp/fix.py <<''EOF''' || chr(10) || 'open(''src/A%p.py'', ''w'')' || chr(10) || '  EOF ; tee lib/b%q.py', 'cat > src/new%p.py <<EOF' || chr(10) || 'open(''src/c%q.py'',''w'')' || chr(10) || 'EOF', 'python /tmp/x.py >> /tmp/log%p.py > "tests/d%q.py"', 'echo 1 > tmp/e%p.py; sed -i s/x/y/ pkg/F%q.PY other/f%q.rs',
+  'cat >> "/tmp/run" <<-END' || chr(10) || 'str_replace src/g%p.py' || chr(10) || 'no end', 'ls src/h%p.py > out%q.txt > k/l%p.go', 'apply_patch conftest.py src/m%p.c lib/test_n%q.py lib/m%p.c'][form + 1], '%p', p), '%q', q) AS action FROM d),
+l AS (SELECT rid, string_split(action, chr(10)) AS ls FROM a),
+w(rid, ls, k, mark, kept) AS (
+  SELECT rid, ls, 0::BIGINT, NULL::VARCHAR, ''::VARCHAR FROM l
+  UNION ALL SELECT rid, ls, k + 1, CASE WHEN mark IS NOT NULL AND NOT regexp_matches(x, '^\s*' || mark || '\b') THEN mark ELSE nullif(regexp_extract(x || chr(10), '(?i){X.SCRATCH_SCRIPT.replace("'", "''")}', 1), '') END,
+    kept || CASE WHEN mark IS NOT NULL AND NOT regexp_matches(x, '^\s*' || mark || '\b') THEN '' ELSE x || chr(10) END
+  FROM (SELECT *, ls[k + 1] AS x FROM w) WHERE k < len(ls)
+),
+f AS (SELECT a.id, a.rid, w.kept FROM a JOIN w ON w.rid = a.rid AND w.k = len(w.ls)),
+n AS (SELECT id, rid, list_concat(CASE WHEN regexp_matches(kept, '{X.ACTION_EDITS.replace("'", "''")}') THEN regexp_extract_all(kept, '{X.ACTION_PATH}') ELSE [] END, list_filter(regexp_extract_all(kept, '>>?\s*({X.ACTION_PATH})', 1), lambda t: NOT regexp_matches(t, '{X.SCRATCH_TARGET.replace("'", "''")}'))) AS ps FROM f),
+s AS (SELECT DISTINCT id, rid, unnest(list_transform(ps, lambda p: lower(p))) AS file FROM n),
+e AS (SELECT id, rid, file FROM s WHERE regexp_matches(file, '\.(?:{_SOURCE})$') AND NOT regexp_matches(file, '{X.SCRATCH_EDIT}') AND NOT regexp_matches('/' || file, '/(test|tests|testing)/') AND NOT regexp_matches(string_split(file, '/')[-1], '^(test_|tests_|conftest)|_tests?\.|reproduce|^(repro|repro_bug|bug)(\.|$)'))
+SELECT id, CAST(row_number() OVER (PARTITION BY rid ORDER BY file) - 1 AS INTEGER) AS n, file FROM e"""
+
+SQL = {"action_edits": _ACTIONS, "shell_reads": _READS, "shell_edits": _EDITS, "elided_ranges": _ELIDED, "scraped_commands": _SCRAPED}

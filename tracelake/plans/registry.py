@@ -55,7 +55,6 @@ _QUERIES = {
     "loop_feats": ("events", commands.derived_commands, commands.loop_shares),
     "loop_breaker": ("events", commands.derived_commands, commands.loop_breaker),
     "governor_latch": ("events", commands.derived_commands, commands.latches),
-    "rule_fires": ("events", commands.derived_commands, commands.first_fires),
     "neighbors_topk": ("embeddings", None, lambda d: vectors.nearest(d).select("query", "rank", "neighbour", "score")),
     "cost_median": ("embeddings", None, vectors.cost_median),
     "splitlines": ("documents", None, documents.line_counts),

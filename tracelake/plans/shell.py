@@ -10,6 +10,7 @@ QUERIES = {
     "command_reads": ("lineitem", shell.derived_shell, shell.command_reads),
     "patch_hunks": ("lineitem", shell.derived_patch, shell.patch_hunks),
     "chunk_observation": ("documents", None, shell.observation_chunks),
+    "chunk_reads": ("documents", None, lambda d: shell.observation_chunks(d.filter("doc_id % 3 = 0"), atom=None)),
 }
 
 _SHELL = """s AS (SELECT *, CASE form WHEN 0 THEN 'sed -n ''' || lo || ',' || lo + 9 || 'p'' ' || path || ' | head -5' WHEN 1 THEN 'cat  ' || path || ';' || chr(9) || 'ls' WHEN 2 THEN 'head -n ' || lo || ' ' || path || ' && tail -3 "' || path || '"'
@@ -32,6 +33,12 @@ _WINDOW = r"""sed\s+(?:-[a-zA-Z]+\s+)*-n\s+[''"]?(\d+),(\d+)p[''"]?\s+(.+)"""
 _LOWER_BASE = "lower(string_split(path, '/')[-1])"
 
 SQL = {
+    # Reads in windows of 40 lines, blank ones too; a text without any line is one chunk.
+    "chunk_reads": """WITH p AS (SELECT doc_id AS id, text, string_split(text, chr(10)) AS p FROM documents WHERE text IS NOT NULL AND doc_id % 3 = 0),
+l AS (SELECT id, text, CASE WHEN p[len(p)] = '' THEN p[1:len(p) - 1] ELSE p END AS ls FROM p),
+w AS (SELECT id, ls, unnest(range((len(ls) + 39) // 40)) AS n FROM l)
+SELECT id, n, 'read' AS kind, 'doc.py' AS file, id + n * 40 AS lo, id + least(n * 40 + 40, len(ls)) - 1 AS hi, CAST(greatest(1, length(array_to_string(ls[n * 40 + 1:n * 40 + 40], chr(10))) // 4) AS BIGINT) AS tokens, sha256(array_to_string(ls[n * 40 + 1:n * 40 + 40], chr(10))) AS sha FROM w
+UNION ALL SELECT id, 0, 'read', 'doc.py', NULL, NULL, greatest(1, length(text) // 4), sha256(text) FROM l WHERE len(ls) = 0""",
     "command_fields": rf"""WITH {_SHELL}, f AS (SELECT *, list_filter(list_transform(list_filter(regexp_split_to_array(translate(cmd, '''"', '  '), '\s+'), lambda w: w <> ''), lambda w: string_split(w, '/')[-1]), lambda b: regexp_matches(b, '\.[A-Za-z]{{1,5}}'))[1] AS first_file, string_split(lower(path), '/') AS parts FROM s)
 SELECT id, first_file, coalesce({_num("cmd", r"\b(\d+),(\d+)p")}, {_num("cmd", r"\bsed\s+-n\s+(\d+)p")}, 1) AS base,
 regexp_matches(cmd, '\b\d+,\d+p') OR regexp_matches(cmd, '\bsed\s+-n\s+\d+p') OR (regexp_matches(cmd, '\b(cat|sed|head|tail|less|more|nl|awk|view|open)\b') AND NOT contains(cmd, '|') AND NOT regexp_matches(cmd, '\b(tail|awk|nl|sed|less|more|view|open)\b')) AS trusted,

@@ -5,13 +5,23 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..operators import ranges
+from ..operators.wire import billed_usage
 from ..sources import derived, lines
 
+
+
+def _billed(rows):
+    d = lines.response_usage(rows)
+    return d.select("request", billed_usage(*[F.col(c) for c in ("given", "cached", "out")]).alias("u"), F.array_join("types", ",").alias("types"), F.col("given").isNotNull().alias("seen")).select("request", "u.input", "u.cache_read", "u.output", "seen", "types")
+
+
 QUERIES = {
     "parse_transcript": ("conversations", derived.transcript_lines, lambda d: lines.transcript(d, most=5).select("conv", "pos", "part", "role", F.array_join("commands", ";").alias("commands"), _sha())),
     "parse_transcript_full": ("conversations", derived.transcript_lines, lambda d: lines.full_transcript(d).select("conv", "pos", "part", "role", "reasoning", F.array_join("commands", ";").alias("commands"), _sha())),
     "parse_rollout": ("conversations", derived.rollout_lines, lambda d: lines.rollout(d).select("conv", "pos", "role", _sha())),
-    "to_internal": ("conversations", derived.bodies, lambda d: lines.wire_messages(d).select("conv", "idx", "role", "n_calls", "command", _sha())),
+    "to_internal": ("conversations", derived.bodies, lambda d: lines.wire_messages(d).select("conv", "idx", "role", "n_calls", F.array_join("commands", "; ").alias("commands"), F.array_join("queries", ";").alias("queries"), _sha())),
+    "protected_mask": ("conversations", derived.bodies, lambda d: lines.wire_messages(d).select("conv", "idx", "protected")),
+    "response_usage": ("events", derived.response_lines, _billed),
     "ledger_scan": ("events", derived.ledger_lines, lines.ledger),
     "score_memo": ("events", derived.memo_rows, lambda d: lines.trailing_scores(d, cap=7)),
     "visibility_merge": ("lineitem", ranges.derived_ranges, lambda d: lines.merged_exports(d.select((F.col("conv") % 10).alias("session"), F.col("file").alias("base"), "lo", "hi")).select("session", "base", F.size("ranges").cast("long").alias("n"), F.element_at("ranges", -1)["lo"].alias("last_lo"))),
@@ -55,7 +65,17 @@ m AS (
 )
 SELECT conv, pos, CAST(part AS INTEGER) AS part, role, reasoning, commands, sha256(text) AS sha FROM m""",
     "parse_rollout": "SELECT conv_id AS conv, turn AS pos, CASE WHEN turn % 4 = 3 THEN 'assistant' WHEN turn % 4 = 2 THEN 'tool' ELSE role END AS role, sha256(CASE WHEN turn % 4 = 3 THEN 'shell {\"n\":' || turn || '}' ELSE text END) AS sha FROM conversations WHERE turn <> 5 AND (turn % 4 IN (2, 3) OR role <> 'system')",
-    "to_internal": "WITH m AS (SELECT conv_id AS conv, row_number() OVER (PARTITION BY conv_id ORDER BY turn) - 1 AS k, turn, role, text FROM conversations WHERE role <> 'system') SELECT conv, CAST(k + conv % 2 AS INTEGER) AS idx, CASE WHEN turn = 2 THEN 'user' ELSE role END AS role, CASE WHEN role = 'assistant' THEN 1 ELSE 0 END AS n_calls, CASE WHEN role = 'assistant' THEN 'Read file=/r/' || turn || ' offset=' || turn END AS command, sha256(text) AS sha FROM m UNION ALL SELECT DISTINCT conv, 0, 'system', 0, NULL, sha256('be brief') FROM m WHERE conv % 2 = 1",
+    "to_internal": "WITH m AS (SELECT conv_id AS conv, row_number() OVER (PARTITION BY conv_id ORDER BY turn) - 1 AS k, turn, role, text FROM conversations WHERE role <> 'system') SELECT conv, CAST(k + conv % 2 AS INTEGER) AS idx, CASE WHEN turn = 2 THEN 'user' ELSE role END AS role, CASE WHEN role <> 'assistant' THEN 0 WHEN turn % 4 = 3 THEN 2 ELSE 1 END AS n_calls, CASE WHEN role = 'assistant' THEN CASE WHEN turn = 0 THEN 'cat /r/0' ELSE 'sed -n ''' || turn || ',' || turn + 1999 || 'p'' /r/' || turn END || CASE WHEN turn % 4 = 3 THEN '; grep ''it s ' || turn || '''' ELSE '' END ELSE '' END AS commands, CASE WHEN role = 'assistant' AND turn % 4 = 3 THEN 'it''s ' || turn ELSE '' END AS queries, sha256(coalesce(text, '')) AS sha FROM m UNION ALL SELECT DISTINCT conv, 0, 'system', 0, '', '', sha256('be brief') FROM m WHERE conv % 2 = 1",
+    "protected_mask": "WITH m AS (SELECT conv_id AS conv, row_number() OVER (PARTITION BY conv_id ORDER BY turn) - 1 AS k, turn, role FROM conversations WHERE role <> 'system') SELECT conv, CAST(k + conv % 2 AS INTEGER) AS idx, role = 'assistant' OR turn % 4 <> 1 AS protected FROM m UNION ALL SELECT DISTINCT conv, 0, false FROM m WHERE conv % 2 = 1",
+    "response_usage": f"""WITH e AS (SELECT user_id AS request, event_id AS seq, {_V} AS v, event_id % 5 AS n, event_type FROM events),
+l AS (SELECT request, seq, CASE n WHEN 0 THEN ' data: {{"type":"response.completed","response":{{"usage":' || CASE WHEN v % 4 = 0 THEN 'null' ELSE '{{"input_tokens":' || v || ',"input_tokens_details":{{"cached_tokens":' || v % 7000 - 50 || '}},"output_tokens":' || v % 13 || '}}' END || '}}}} ' WHEN 1 THEN 'data: [DONE]' WHEN 2 THEN 'data:{{"type":"response.' || event_type || '"}}' WHEN 3 THEN 'event: x' ELSE 'data: {{broken' END AS line FROM e),
+p AS (SELECT *, CASE WHEN starts_with(trim(line), 'data:') AND json_valid(trim(substr(trim(line), 6))) THEN trim(substr(trim(line), 6)) END AS j FROM l),
+t AS (SELECT *, CASE WHEN json_type(j) = 'OBJECT' AND json_type(j, '$.type') = 'VARCHAR' THEN j->>'$.type' END AS type FROM p),
+u AS (SELECT request, json_extract(j, '$.response.usage') AS u FROM t WHERE type = 'response.completed' AND json_type(j, '$.response.usage') = 'OBJECT' QUALIFY row_number() OVER (PARTITION BY request ORDER BY seq DESC) = 1),
+k AS (SELECT request, CAST(u->>'$.input_tokens' AS BIGINT) AS given, CAST(u->>'$.input_tokens_details.cached_tokens' AS BIGINT) AS cached, CAST(u->>'$.output_tokens' AS BIGINT) AS out FROM u),
+y AS (SELECT request, string_agg(type, ',' ORDER BY f) AS types FROM (SELECT request, type, min(seq) AS f FROM t WHERE type IS NOT NULL GROUP BY request, type QUALIFY row_number() OVER (PARTITION BY request ORDER BY min(seq)) <= 24) GROUP BY 1),
+r AS (SELECT DISTINCT request FROM l), b AS (SELECT r.request, given, out, types, least(greatest(coalesce(cached, 0), 0), greatest(coalesce(given, 0), 0)) AS hit FROM r LEFT JOIN k ON k.request = r.request LEFT JOIN y ON y.request = r.request)
+SELECT request, coalesce(given, 0) - hit AS input, hit AS cache_read, coalesce(out, 0) AS output, given IS NOT NULL AS seen, coalesce(types, '') AS types FROM b""",
     "ledger_scan": f"SELECT CAST(event_id AS VARCHAR) AS request_id, user_id AS session_id, CASE WHEN event_id % 7 <> 0 THEN {_V} END AS cf, {_V} % 1000 AS billed FROM events WHERE event_id % 4 <> 0 AND event_id % 9 <> 0",
     "score_memo": "WITH m AS (SELECT user_id AS conv, event_id AS seq, CASE WHEN event_id % 40 < 20 THEN 'a' ELSE 'b' END AS checkpoint, CAST(floor(value) AS BIGINT) AS score FROM events WHERE CAST(floor(value) AS BIGINT) % 6 <> 0), l AS (SELECT conv, arg_max(checkpoint, seq) AS c FROM m GROUP BY 1), b AS (SELECT m.conv, max(seq) AS brk FROM m JOIN l ON l.conv = m.conv AND l.c <> m.checkpoint GROUP BY 1) SELECT m.* FROM m LEFT JOIN b ON b.conv = m.conv WHERE seq > coalesce(brk, -1) QUALIFY row_number() OVER (PARTITION BY m.conv ORDER BY seq DESC) <= 7",
     "visibility_merge": "WITH r AS (SELECT DISTINCT l_suppkey % 10 AS session, 'f' || CAST(l_partkey % 50 AS VARCHAR) || '.py' AS base, CAST(l_quantity AS BIGINT) AS lo FROM lineitem) SELECT session, base, count(*) AS n, max(lo) AS last_lo FROM r GROUP BY 1, 2",

@@ -26,7 +26,7 @@ SELECT l_suppkey AS conv, l_orderkey AS step, CAST(l_linenumber AS BIGINT) AS ln
 """
 
 _LEDGER = """led AS (SELECT event_id, ts, user_id AS session_id, CASE WHEN event_id % 11 <> 0 THEN event_type END AS tool, CASE WHEN event_id % 5 <> 0 THEN 'm' || CAST(event_id % 3 AS VARCHAR) END AS model,
-CASE WHEN event_id % 7 <> 0 THEN v END AS cf, CAST(floor(v * 3 / CAST(4 AS DOUBLE) + event_id % 13) AS BIGINT) AS billed, v % 97 AS cache_read, v % 31 AS cache_write, event_id % 17 = 0 AS fail_open
+CASE WHEN event_id % 7 <> 0 THEN v END AS cf, CAST(floor(v * 3 / CAST(4 AS DOUBLE) + event_id % 13) AS BIGINT) AS billed, v % 97 AS cache_read, v % 31 AS cache_write, event_id % 17 = 0 AS fail_open, user_id * 10 + event_id % 3 AS conv_id, CASE WHEN event_id % 9 <> 0 THEN v % 53 END AS freeze_cut
 FROM (SELECT *, CAST(floor(value * 100) AS BIGINT) AS v FROM events))
 """
 
@@ -70,7 +70,7 @@ SELECT conv_id, gi, round(ln(1 + CAST(obs AS DOUBLE)) / 8, 9) AS log_obs, round(
     "merge_ranges": f"WITH {_RANGES}, n AS (SELECT *, CASE WHEN lo <= max(hi) OVER (PARTITION BY conv, file ORDER BY lo, hi {_PRE} 1 PRECEDING) + 1 THEN 0 ELSE 1 END AS new FROM r), i AS (SELECT *, sum(new) OVER (PARTITION BY conv, file ORDER BY lo, hi {_PRE} CURRENT ROW) AS island FROM n) SELECT conv, file, min(lo) AS lo, max(hi) AS hi, count(*) AS n FROM i GROUP BY conv, file, island",
     "neighbour_chains": f"WITH {_RANGES} SELECT conv, gi, lead(gi) OVER (PARTITION BY conv, file ORDER BY lo, gi) AS next_in_file, lead(gi) OVER (PARTITION BY conv ORDER BY gi) AS next_in_time FROM r",
     "tool_prune": f"WITH {_RANGES}, p AS (SELECT conv, tokens, coalesce(sum(tokens) OVER (PARTITION BY conv ORDER BY lo, gi {_PRE} 1 PRECEDING), 0) < CAST(0.7 AS DOUBLE) * sum(tokens) OVER (PARTITION BY conv) AS cut FROM r) SELECT conv, CAST(sum(CASE WHEN cut THEN 1 ELSE 0 END) AS BIGINT) AS pruned, CAST(sum(CASE WHEN cut THEN tokens ELSE 0 END) AS BIGINT) AS pruned_tokens FROM p GROUP BY 1",
-    "ledger_totals": f"WITH {_LEDGER} SELECT count(*) AS n_rows, count(cf) AS probed, CAST(sum(CASE WHEN cf IS NULL THEN 1 ELSE 0 END) AS BIGINT) AS null_probes, CAST(sum(CASE WHEN fail_open THEN 1 ELSE 0 END) AS BIGINT) AS fail_opens, CAST(sum(cf) AS BIGINT) AS cf, CAST(sum(CASE WHEN cf IS NOT NULL THEN billed END) AS BIGINT) AS billed_probed, CAST(sum(cf - billed) AS BIGINT) AS saved, CAST(sum(cache_read) AS BIGINT) AS cache_read, CAST(sum(cache_write) AS BIGINT) AS cache_write, count(DISTINCT session_id) AS sessions FROM led",
+    "ledger_totals": f"WITH {_LEDGER} SELECT count(*) AS n_rows, count(cf) AS probed, CAST(sum(CASE WHEN cf IS NULL THEN 1 ELSE 0 END) AS BIGINT) AS null_probes, CAST(sum(CASE WHEN fail_open THEN 1 ELSE 0 END) AS BIGINT) AS fail_opens, CAST(sum(cf) AS BIGINT) AS cf, CAST(sum(CASE WHEN cf IS NOT NULL THEN billed END) AS BIGINT) AS billed_probed, CAST(sum(cf - billed) AS BIGINT) AS saved, CAST(sum(cache_read) AS BIGINT) AS cache_read, CAST(sum(cache_write) AS BIGINT) AS cache_write, count(DISTINCT session_id) AS sessions, count(DISTINCT conv_id) AS conversations, CAST(sum(freeze_cut) AS BIGINT) AS freeze_cut FROM led",
     "ledger_by_model": f"WITH {_LEDGER} SELECT coalesce(model, '(unrecorded)') AS model, count(*) AS n, CAST(sum(cf) AS BIGINT) AS cf, CAST(sum(cf - billed) AS BIGINT) AS saved FROM led WHERE cf IS NOT NULL GROUP BY 1",
     "ledger_by_tool": f"WITH {_LEDGER} SELECT coalesce(tool, '(default)') AS tool, count(*) AS n, count(cf) AS probed, CAST(sum(cf - billed) AS BIGINT) AS saved FROM led GROUP BY 1",
     "session_saved": f"WITH {_LEDGER} SELECT session_id, CAST(sum(cf - billed) AS BIGINT) AS saved, count(*) AS n FROM led GROUP BY 1",
@@ -81,7 +81,6 @@ SELECT conv_id, gi, round(ln(1 + CAST(obs AS DOUBLE)) / 8, 9) AS log_obs, round(
     "loop_feats": f"WITH {_COMMANDS} SELECT session, seq, round(lf, 9) AS lf, round(mean3, 9) AS mean3, round(delta, 9) AS delta, round(low6, 9) AS low6, mech FROM f",
     "loop_breaker": f"WITH {_COMMANDS}, e AS (SELECT *, CAST(coalesce(sum(CASE WHEN edit THEN 1 ELSE 0 END) OVER (PARTITION BY session ORDER BY seq ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS BIGINT) AS epoch FROM c), n AS (SELECT *, row_number() OVER (PARTITION BY session, epoch, cmd ORDER BY seq) AS run FROM e), t AS (SELECT *, sum((run > 3)::INT) OVER (PARTITION BY session, cmd ORDER BY seq) AS turn FROM n) SELECT session, seq, epoch, CAST(run AS BIGINT) AS run, run > 3 AND turn % 2 = 1 AS blocked FROM t",
     "governor_latch": f"WITH {_COMMANDS}, g AS (SELECT *, sum(CASE WHEN mech THEN 1 ELSE 0 END) OVER (PARTITION BY session ORDER BY seq) AS n FROM f) SELECT session, seq, n > 0 AS stopped, mech AND n = 1 AS set_here FROM g",
-    "rule_fires": f"WITH {_COMMANDS} SELECT session, cmd, min(seq) AS seq, count(*) AS n FROM c GROUP BY 1, 2",
     "neighbors_topk": f"WITH {_NEAR} SELECT query, rank, neighbour, score FROM k",
     "cost_median": f"WITH {_NEAR} SELECT query, CASE WHEN count(*) >= 4 THEN median(CAST(label AS DOUBLE)) END AS cost_median FROM k GROUP BY 1",
     "splitlines": "WITH p AS (SELECT doc_id, CASE WHEN p[len(p)] = '' THEN p[1:len(p) - 1] ELSE p END AS ls FROM (SELECT doc_id, string_split(replace(text, chr(13) || chr(10), chr(10)), chr(10)) AS p FROM documents)) SELECT doc_id, CAST(len(ls) AS BIGINT) AS n_lines, CAST(len(list_filter(ls, lambda x: trim(x) <> '')) AS BIGINT) AS n_full FROM p",

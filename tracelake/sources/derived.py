@@ -40,11 +40,21 @@ def rollout_lines(messages: DataFrame) -> DataFrame:
 
 
 def bodies(messages: DataFrame) -> DataFrame:
-    """One request body for each conversation: system text where the id is odd, assistants with a call, users without a role where the turn is 2."""
-    text = F.coalesce("text", F.lit(""))
-    call = F.struct(F.lit("tool_use").alias("type"), F.lit(None).cast("string").alias("text"), F.lit("Read").alias("name"), F.struct(F.col("turn").cast("string").alias("offset"), F.concat(F.lit("/r/"), F.col("turn").cast("string")).alias("file")).alias("input"))
-    said = F.struct(F.lit("text").alias("type"), text.alias("text"), F.lit(None).cast("string").alias("name"), F.lit(None).cast("struct<offset:string,file:string>").alias("input"))
-    m = F.struct("turn", F.when(F.col("turn") != 2, F.col("role")).alias("role"), F.when(F.col("role") == "assistant", F.array(said, call)).otherwise(F.array(said)).alias("content"))
+    """One request body for each conversation: system text where the id is odd, assistants with one call or two, users with a result at
+    every fourth turn, and without a role where the turn is 2."""
+    text, n = F.coalesce("text", F.lit("")), F.col("turn").cast("string")
+    null = lambda kind="string": F.lit(None).cast(kind)
+    fields = "struct<offset:string,file:string,pattern:string>"
+
+    def block(kind: str, text: Column, name: Column, input: Column) -> Column:
+        return F.struct(F.lit(kind).alias("type"), text.alias("text"), name.alias("name"), input.alias("input"))
+
+    read = block("tool_use", null(), F.lit("Read"), F.struct(n.alias("offset"), F.concat(F.lit("/r/"), n).alias("file"), null().alias("pattern")))
+    search = block("tool_use", null(), F.lit("Grep"), F.struct(null().alias("offset"), null().alias("file"), F.concat(F.lit("it's "), n).alias("pattern")))
+    said = block("text", text, null(), null(fields))
+    own = F.when(F.col("turn") % 4 == 3, F.array(said, read, search)).otherwise(F.array(said, read))
+    given = F.when(F.col("turn") % 4 == 1, F.array(said, block("tool_result", null(), null(), null(fields)))).otherwise(F.array(said))
+    m = F.struct("turn", F.when(F.col("turn") != 2, F.col("role")).alias("role"), F.when(F.col("role") == "assistant", own).otherwise(given).alias("content"))
     d = messages.filter("role <> 'system'").groupBy(F.col("conv_id").alias("conv")).agg(F.array_sort(F.collect_list(m), lambda a, b: (a["turn"] - b["turn"]).cast("int")).alias("m"))
     own = F.transform("m", lambda x: F.struct(x["role"].alias("role"), x["content"].alias("content")))
     return d.select("conv", F.to_json(F.struct(F.when(F.col("conv") % 2 == 1, "be brief").alias("system"), own.alias("messages"))).alias("body"))
@@ -69,3 +79,15 @@ def usage_frames(events: DataFrame) -> DataFrame:
     v = F.floor(F.col("value") * 100).cast("long")
     usage = F.struct(F.when(F.col("event_id") % 2 == 0, v).alias("input_tokens"), (v + 1).alias("output_tokens"), F.when(v % 3 == 0, v % 50).alias("cache_read_input_tokens"), F.when(v % 5 == 0, v % 70).alias("cache_creation_input_tokens"))
     return events.select(F.col("user_id").alias("request"), F.col("event_id").alias("seq"), F.col("event_type").alias("type"), F.when(F.col("event_id") % 10 == 0, "data: [broken").otherwise(F.to_json(F.struct(usage.alias("usage")))).alias("data"))
+
+
+def response_lines(events: DataFrame) -> DataFrame:
+    """Lines of a response stream for each user: completed responses with and without usage, other events, what is no data or no JSON."""
+    v = F.floor(F.col("value") * 100).cast("long")
+    t = lambda c: c.cast("string")
+    usage = F.concat(F.lit('{"input_tokens":'), t(v), F.lit(',"input_tokens_details":{"cached_tokens":'), t(v % 7000 - 50), F.lit('},"output_tokens":'), t(v % 13), F.lit("}"))
+    done = F.concat(F.lit(' data: {"type":"response.completed","response":{"usage":'), F.when(v % 4 == 0, "null").otherwise(usage), F.lit("}} "))
+    n = F.col("event_id") % 5
+    other = F.concat(F.lit('data:{"type":"response.'), F.col("event_type"), F.lit('"}'))
+    line = F.when(n == 0, done).when(n == 1, "data: [DONE]").when(n == 2, other).when(n == 3, "event: x").otherwise("data: {broken")
+    return events.select(F.col("user_id").alias("request"), F.col("event_id").alias("seq"), line.alias("line"))

@@ -127,22 +127,28 @@ def rollout(lines: DataFrame) -> DataFrame:
 
 
 def wire_messages(bodies: DataFrame) -> DataFrame:
-    """(conv, idx, role, text, n_calls, command) of request bodies (conv, body): the system text first if there is one, then each message
-    with its text parts joined by a space; command is the first tool call's, as `name key=value` with keys in order."""
+    """(conv, idx, role, text, n_calls, commands, queries, protected) of request bodies (conv, body): the system text first if there is one,
+    then each message with its text parts joined by a space, and what each of its calls counts as and asks for. Protected is what no cut
+    may touch: assistant prose, and user messages (also those without a role) that bring no tool result."""
     d = bodies.select("conv", F.try_parse_json("body").alias("v"))
     m = _get(F.col("v"), "$.messages", "array<variant>")
+    texts = F.array().cast("array<string>")
 
     def message(x: Column) -> Column:
-        uses = _of(_get(x, "$.content", "array<variant>"), "tool_use")
-        args = F.from_json(F.to_json(_get(F.get(uses, 0), "$.input", "variant")), "map<string,string>")
-        shown = F.array_join(F.transform(F.array_sort(F.map_keys(args)), lambda k: F.concat(k, F.lit("="), F.substring(F.element_at(args, k), 1, 160))), " ")
-        command = F.substring(F.concat_ws(" ", _get(F.get(uses, 0), "$.name"), shown), 1, 400)
-        return F.struct(F.coalesce(_get(x, "$.role"), F.lit("user")).alias("role"), F.coalesce(_content(x, "$.content", " "), F.lit("")).alias("text"), F.coalesce(F.size(uses), F.lit(0)).alias("n_calls"), F.when(F.size(uses) > 0, command).alias("command"))
+        uses = F.filter(_get(x, "$.content", "array<variant>"), lambda b: _is_object(b) & (_get(b, "$.type") == "tool_use"))
+        queries = F.filter(F.transform(uses, lambda u: calls.call_query(_get(u, "$.input", "variant"))), lambda q: q != "")
+        role = F.coalesce(_get(x, "$.role"), F.lit("user"))
+        result = F.coalesce(F.exists(_get(x, "$.content", "array<variant>"), lambda b: _is_object(b) & (_get(b, "$.type") == "tool_result")), F.lit(False))
+        return F.struct(
+            role.alias("role"), F.coalesce(_content(x, "$.content", " "), F.lit("")).alias("text"), F.coalesce(F.size(uses), F.lit(0)).alias("n_calls"),
+            F.coalesce(F.transform(uses, lambda u: calls.call_command(_get(u, "$.name"), _get(u, "$.input", "variant"))), texts).alias("commands"), F.coalesce(queries, texts).alias("queries"),
+            ((role == "assistant") | (role == "user") & ~result).alias("protected"),
+        )
 
     system = F.coalesce(_content(F.col("v"), "$.system", "\n"), F.lit(""))
-    none = F.struct(F.lit("system").alias("role"), system.alias("text"), F.lit(0).alias("n_calls"), F.lit(None).cast("string").alias("command"))
-    all_ = F.concat(F.when(system != "", F.array(none)).otherwise(F.array().cast("array<struct<role:string,text:string,n_calls:int,command:string>>")), F.transform(m, message))
-    return d.select("conv", F.posexplode(all_).alias("idx", "m")).select("conv", "idx", "m.role", "m.text", "m.n_calls", "m.command")
+    none = F.struct(F.lit("system").alias("role"), system.alias("text"), F.lit(0).alias("n_calls"), texts.alias("commands"), texts.alias("queries"), F.lit(False).alias("protected"))
+    first = F.when(system != "", F.array(none)).otherwise(F.array().cast("array<struct<role:string,text:string,n_calls:int,commands:array<string>,queries:array<string>,protected:boolean>>"))
+    return d.select("conv", F.posexplode(F.concat(first, F.transform(m, message))).alias("idx", "m")).select("conv", "idx", "m.role", "m.text", "m.n_calls", "m.commands", "m.queries", "m.protected")
 
 
 def ledger(lines: DataFrame) -> DataFrame:
@@ -175,3 +181,18 @@ def stream_usage(frames: DataFrame) -> DataFrame:
     d = frames.select("request", "seq", "type", *[_get(v, f"$.usage.{k}", "bigint").alias(k) for k in USAGE])
     last = [F.max_by(F.col(k), F.when(F.col(k).isNotNull(), F.col("seq"))).alias(k) for k in USAGE]
     return d.groupBy("request").agg(*last, F.slice(F.array_sort(F.collect_set("type")), 1, 24).alias("types"))
+
+
+def response_usage(lines: DataFrame) -> DataFrame:
+    """(request, given, cached, out, types) of the lines (request, seq, line) of response streams: the usage of the last completed response
+    that names one, and the event types in the order they were met, 24 at most. Lines that are no data, or no JSON, say nothing."""
+    payload = F.regexp_extract(strip(F.col("line")), r"(?s)^data:(.*)$", 1)
+    v = F.try_parse_json(strip(payload))
+    d = lines.select("request", "seq", v.alias("v")).withColumn("type", F.when(F.schema_of_variant(_get(F.col("v"), "$.type", "variant")) == "STRING", _get(F.col("v"), "$.type")))
+    usage = _get(F.col("v"), "$.response.usage", "variant")
+    there = (F.col("type") == "response.completed") & usage.isNotNull() & (F.to_json(usage) != "null")
+    fields = F.struct(*[_get(usage, f"$.{k}", "bigint").alias(n) for k, n in (("input_tokens", "given"), ("input_tokens_details.cached_tokens", "cached"), ("output_tokens", "out"))])
+    last = d.groupBy("request").agg(F.max_by(F.when(there, fields), F.when(there, F.col("seq"))).alias("u"))
+    met = d.filter("type IS NOT NULL").groupBy("request", "type").agg(F.min(F.struct("seq", "type")).alias("m")).groupBy("request").agg(F.slice(F.array_sort(F.collect_list("m")), 1, 24).alias("m"))
+    none = F.array().cast("array<string>")
+    return last.join(met, "request", "left").select("request", "u.given", "u.cached", "u.out", F.coalesce(F.transform("m", lambda x: x["type"]), none).alias("types"))
