@@ -63,6 +63,24 @@ def brute_hits(text, items):
     return len(w), len(hit), sorted(found)
 
 
+def test_runs_of_one_byte_or_period_are_one_node(spark):
+    """Megabytes of one byte give one node and one span; what is removed agrees with the definition where a run borders other text."""
+    x = np.frombuffer(b"a" * 2_000_000, np.uint8)
+    rows = repeats.anchored(x, np.array([0]), np.array([len(x)]))
+    assert len(rows) == 8 and all(len(r) <= 2 for r in rows) and sum(rows[-1]) > 1_900_000
+    rng = random.Random(11)
+    noise = lambda n: "".join(rng.choice("bcdefghij") for _ in range(n))
+    texts = {0: noise(300) + "a" * 700 + noise(300), 1: noise(250) + "xyz" * 250 + noise(250), 2: "a" * 201, 3: "q" * 200, 4: noise(200) + "a" * 199, 5: "pq" * 400, 6: noise(900)}
+    docs = spark.createDataFrame(list(texts.items()), "doc_id long, text string")
+    k, raw = repeats.LENGTH, {i: t.encode() for i, t in texts.items()}
+    seen = collections.Counter(t[p : p + k] for t in raw.values() for p in range(len(t) - k + 1))
+    for r in repeats.remove_repeats(docs).collect():
+        t = raw[r.doc_id]
+        gone = {q for p in range(len(t) - k + 1) if seen[t[p : p + k]] > 1 for q in range(p, p + k)}
+        assert r.kept_bytes == bytes(c for q, c in enumerate(t) if q not in gone), r.doc_id
+    assert repeats.with_spans(spark.createDataFrame([(1, "a" * 300_000)], "doc_id long, text string")).selectExpr("size(removed) AS n").first().n <= 3
+
+
 def test_a_line_rare_at_first_and_frequent_later_is_told(spark):
     """It is settled by three documents of the first batch; its count of later batches still makes it one of the broadcast keys."""
     line = "a line that nearly every document holds"

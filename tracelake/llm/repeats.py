@@ -6,7 +6,8 @@ smallest hash of `GRAM` bytes among the grams inside its window: equal windows h
 starts with one anchor form a node. The most significant digit of a node is its anchor gram; a gram met once ends all its
 starts. Later digits take in the bytes around the anchor for ever narrower offset ranges (all, then 16, then 1):
 
-- nodes whose whole strings (all bytes of all their windows) are equal are settled: all their starts repeat;
+- nodes whose whole strings (all bytes of all their windows) are equal are settled: all their starts repeat (neighbours in a run of
+  one byte or a short period are one row from the start, however long the run);
 - a range whose common bytes (those in every window of it) are met once has no repeats;
 - what is left is split to the next narrower range, together with one witness of each settled class it might still match.
 
@@ -77,7 +78,11 @@ class Hashes:
 
 
 def anchored(data: np.ndarray, begins: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, ...]:
-    """Nodes of a buffer of texts [begin, end): (text, first start, last start, anchor, gram hash, string hash)."""
+    """Nodes of a buffer of texts [begin, end): (text, first start, last start, anchor, gram hash, string hash, last anchor, nodes).
+
+    Neighbouring nodes with equal strings around their anchors, as a run of one byte or of a short period has at every place, are one
+    row: the first of them, the last one's anchor and how many they are. Their starts follow each other without a gap.
+    """
     hashes = Hashes(data)
     gram = hashes.grams()
     low = (gram & ~_LOW) | np.arange(len(gram), dtype=np.uint64)
@@ -93,7 +98,11 @@ def anchored(data: np.ndarray, begins: np.ndarray, ends: np.ndarray) -> tuple[np
     first = np.flatnonzero(np.concatenate([[True], (a[1:] != a[:-1]) | (text[1:] != text[:-1])]))
     last = np.append(first[1:], len(a)) - 1
     lo, hi, at = start[first], start[last], a[first]
-    return text[first], lo, hi, at, gram[at], hashes.of(lo, hi + LENGTH)
+    rows = (text[first], lo, hi, at, gram[at], hashes.of(lo, hi + LENGTH))
+    told = (rows[0], at - lo, at - hi, rows[4], rows[5])
+    new = np.flatnonzero(np.concatenate([[True] * bool(len(at)), np.any([x[1:] != x[:-1] for x in told], axis=0)])) if len(at) else first
+    end = np.append(new[1:], len(at)) - 1 if len(at) else new
+    return *[x[new] for x in rows], at[end], end - new + 1
 
 
 def _segments(texts: list[bytes]) -> Iterator[tuple[list[int], np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
@@ -128,20 +137,21 @@ def with_key(docs: DataFrame) -> DataFrame:
 
 
 def _nodes(keyed: DataFrame) -> DataFrame:
-    """(k1, k2, m, r, h, s): anchor position, offset range r1 * 256 + r2 of its starts before it, hashes of gram and string."""
+    """(k1, k2, m, r, h, s, e, n): anchor position, offset range r1 * 256 + r2 of its starts before it, hashes of gram and string; for `n`
+    equal neighbours in one row, the last one's anchor is `e`."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             k1, k2 = batch.column("k1").to_numpy(), batch.column("k2").to_numpy()
             for numbers, data, begins, ends, offsets in _segments([t or b"" for t in batch.column("text").to_pylist()]):
-                piece, lo, hi, at, gram, string = anchored(data, begins, ends)
-                row = np.array(numbers)[piece]
+                piece, lo, hi, at, gram, string, end, n = anchored(data, begins, ends)
+                row, shift = np.array(numbers)[piece], offsets[piece] - begins[piece]
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(k1[row]), pa.array(k2[row]), pa.array(at - begins[piece] + offsets[piece]), pa.array(((at - hi) * 256 + (at - lo)).astype(np.int32)), _signed(gram), _signed(string)],
-                    names=["k1", "k2", "m", "r", "h", "s"],
+                    [pa.array(k1[row]), pa.array(k2[row]), pa.array(at + shift), pa.array(((at - hi) * 256 + (at - lo)).astype(np.int32)), _signed(gram), _signed(string), pa.array(end + shift), pa.array(n)],
+                    names=["k1", "k2", "m", "r", "h", "s", "e", "n"],
                 )
 
-    return keyed.select("k1", "k2", F.col("text").cast("binary").alias("text")).mapInArrow(run, "k1 long, k2 long, m long, r int, h long, s long")
+    return keyed.select("k1", "k2", F.col("text").cast("binary").alias("text")).mapInArrow(run, "k1 long, k2 long, m long, r int, h long, s long, e long, n long")
 
 
 def _ranges(seeded: DataFrame) -> DataFrame:
@@ -188,21 +198,21 @@ def _windows(rows: DataFrame) -> DataFrame:
     return d.select("k1", "k2", (F.col("m") - F.col("o")).alias("lo"), "h", "o", "settled", F.xxhash64(F.substring("bytes", F.col("_top") - F.col("o") + 1, F.lit(LENGTH))).alias("w"))
 
 
-def _spans(rows: DataFrame) -> DataFrame:
-    """Settled nodes as byte spans [lo, hi)."""
-    return rows.select("k1", "k2", (F.col("m") - F.col("r") % 256).alias("lo"), (F.col("m") - (F.col("r") / 256).cast("int") + LENGTH).alias("hi"))
+def _spans(rows: DataFrame, end: str = "m") -> DataFrame:
+    """Settled nodes as byte spans [lo, hi); `end`: the anchor of the last of them."""
+    return rows.select("k1", "k2", (F.col("m") - F.col("r") % 256).alias("lo"), (F.col(end) - (F.col("r") / 256).cast("int") + LENGTH).alias("hi"))
 
 
 def repeated_spans(keyed: DataFrame) -> DataFrame:
     """(k1, k2, lo, hi): byte spans that together cover just the bytes in repeated windows. `keyed` has k1, k2, text."""
     nodes = stored(_nodes(keyed), "nodes")
-    again = nodes.groupBy("h").agg(F.count("*").alias("n")).filter("n > 1").select("h")
+    again = nodes.groupBy("h").agg(F.sum("n").alias("n")).filter("n > 1").select("h")
     live = stored(nodes.join(again, "h", "left_semi"), "live-nodes")
     drop_stored(nodes)
     node = F.struct("k1", "k2", "m")
-    classes = stored(live.groupBy("h", "r", "s").agg(F.count("*").alias("n"), F.min(node).alias("one")), "node-classes")
+    classes = stored(live.groupBy("h", "r", "s").agg(F.sum("n").alias("n"), F.min(node).alias("one")), "node-classes")
     settled = classes.filter("n > 1").select("h", "r", "s")
-    spans = [_spans(live.join(settled, ["h", "r", "s"]))]
+    spans = [_spans(live.join(settled, ["h", "r", "s"]), "e")]
 
     open_grams = classes.groupBy("h").agg(F.count("*").alias("k"), F.min("n").alias("least")).filter("k > 1 AND least = 1").select("h")
     seeds = classes.join(open_grams, "h", "left_semi").select("one.k1", "one.k2", F.struct("one.m", "r", "h", (F.col("n") > 1).alias("settled")).alias("seed"))
