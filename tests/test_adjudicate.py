@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from tracelake.functions import calls
 from tracelake.operators import adjudicate as A
+from tracelake.operators import steps
 from tracelake.sources import lines
 
 
@@ -97,3 +98,11 @@ def test_cache_guard(spark):
     d = spark.createDataFrame(rows, "session long, seq long, hashes array<string>, tokens array<long>")
     got = [(r.rewritten, r.tripped) for r in A.cache_guard(d, 99).orderBy("session", "seq").collect()]
     assert got == [(0, False), (0, False), (100, True), (0, True), (0, False), (99, False), (0, False)]
+
+
+def test_steps_pair_assistants_with_what_answers_them(spark):
+    rows = [("user", "task", []), ("assistant", "one", ["a"]), ("assistant", "two", ["b", "c"]), ("system", "s", None), ("tool", "r1", None), ("tool", "r2", None), ("user", None, None), ("assistant", None, None), ("user", "u", []), ("assistant", "last", ["z"])]
+    d = spark.createDataFrame([(1, i, 0, r, t, "why" if r == "assistant" else None, c) for i, (r, t, c) in enumerate(rows)], "conv long, pos long, part int, role string, text string, reasoning string, commands array<string>")
+    assert [tuple(r)[1:] for r in steps.paired(d).orderBy("step").collect()] == [(0, "b ; c", "r1", "two", "why"), (1, "", "u", "", "why")]
+    assert [tuple(r)[1:] for r in steps.observed(d).orderBy("step").collect()] == [(0, "", ""), (1, "b ; c", "r1"), (2, "b ; c", "r2"), (3, "b ; c", ""), (4, "", "u")]
+    assert steps.paired(d.limit(0)).count() == steps.observed(d.limit(0)).count() == 0

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..operators import ranges
+from ..operators import ranges, steps
 from ..operators.wire import billed_usage
 from ..sources import derived, lines
 
@@ -20,6 +20,8 @@ QUERIES = {
     "parse_transcript_full": ("conversations", derived.transcript_lines, lambda d: lines.full_transcript(d).select("conv", "pos", "part", "role", "reasoning", F.array_join("commands", ";").alias("commands"), _sha())),
     "parse_rollout": ("conversations", derived.rollout_lines, lambda d: lines.rollout(d).select("conv", "pos", "role", _sha())),
     "to_internal": ("conversations", derived.bodies, lambda d: lines.wire_messages(d).select("conv", "idx", "role", "n_calls", F.array_join("commands", "; ").alias("commands"), F.array_join("queries", ";").alias("queries"), _sha())),
+    "paired_steps": ("conversations", derived.transcript_lines, lambda d: steps.paired(lines.full_transcript(d)).select("conv", "step", "cmd", "reasoning", *[F.sha2(c, 256).alias(c) for c in ("obs", "said")])),
+    "observed_steps": ("conversations", derived.transcript_lines, lambda d: steps.observed(lines.full_transcript(d)).select("conv", "step", "cmd", F.sha2("obs", 256).alias("obs"))),
     "protected_mask": ("conversations", derived.bodies, lambda d: lines.wire_messages(d).select("conv", "idx", "protected")),
     "response_usage": ("events", derived.response_lines, _billed),
     "ledger_scan": ("events", derived.ledger_lines, lines.ledger),
@@ -46,6 +48,13 @@ z AS (SELECT *, CASE WHEN json_type(c) = 'ARRAY' THEN list_transform(list_filter
 b AS (SELECT conv, pos, role, side, k, kind, CASE kind WHEN 'thinking' THEN coalesce(o ->> '$.thinking', '') WHEN 'text' THEN coalesce(o ->> '$.text', '') END AS said, coalesce(array_to_string(parts, ' '), plain) AS spaced, coalesce(array_to_string(parts, ''), plain) AS joined,
   CASE name WHEN 'Bash' THEN i ->> '$.command' ELSE name || ' ' || coalesce(i ->> '$.file_path', '') END AS shown, CASE name WHEN 'Bash' THEN i ->> '$.command' ELSE CASE WHEN CAST(i ->> '$.offset' AS BIGINT) <> 0 THEN 'sed -n ''' || (i ->> '$.offset') || ',' || CAST(i ->> '$.offset' AS BIGINT) + CAST(i ->> '$.limit' AS BIGINT) - 1 || 'p'' ' ELSE 'cat ' END || (i ->> '$.file_path') END AS twin FROM z)"""
 
+_FULL = f"""{_BLOCKS},
+m AS (
+  SELECT conv, pos, 0 AS part, 'assistant' AS role, coalesce(string_agg(said, '' ORDER BY k) FILTER (kind = 'text'), '') AS text, coalesce(string_agg(said, '' ORDER BY k) FILTER (kind = 'thinking'), '') AS reasoning, coalesce(string_agg(twin, ';' ORDER BY k) FILTER (kind = 'tool_use'), '') AS commands
+  FROM b WHERE role = 'assistant' AND NOT side GROUP BY conv, pos
+  UNION ALL SELECT conv, pos, row_number() OVER (PARTITION BY conv, pos ORDER BY k) - 1, CASE kind WHEN 'text' THEN 'user' ELSE 'tool' END, CASE kind WHEN 'text' THEN said ELSE joined END, '', '' FROM b WHERE role = 'user' AND NOT side AND kind IN ('text', 'tool_result')
+  UNION ALL SELECT conv, pos, 0, role, content ->> '$', '', '' FROM l WHERE json_type(content) = 'VARCHAR' AND NOT side
+)"""
 _V = "CAST(floor(value * 100) AS BIGINT)"
 SQL = {
     # The last messages of each conversation, walked block by block.
@@ -56,14 +65,18 @@ m AS (
   UNION ALL SELECT conv, pos, row_number() OVER (PARTITION BY conv, pos ORDER BY k) - 1, 'tool', substr(spaced, 1, 2000), '' FROM b WHERE role <> 'assistant' AND kind = 'tool_result'
 )
 SELECT conv, pos, CAST(part AS INTEGER) AS part, role, commands, sha256(text) AS sha FROM m QUALIFY row_number() OVER (PARTITION BY conv ORDER BY pos DESC, part DESC) <= 5""",
-    "parse_transcript_full": f"""WITH {_BLOCKS},
-m AS (
-  SELECT conv, pos, 0 AS part, 'assistant' AS role, coalesce(string_agg(said, '' ORDER BY k) FILTER (kind = 'text'), '') AS text, coalesce(string_agg(said, '' ORDER BY k) FILTER (kind = 'thinking'), '') AS reasoning, coalesce(string_agg(twin, ';' ORDER BY k) FILTER (kind = 'tool_use'), '') AS commands
-  FROM b WHERE role = 'assistant' AND NOT side GROUP BY conv, pos
-  UNION ALL SELECT conv, pos, row_number() OVER (PARTITION BY conv, pos ORDER BY k) - 1, CASE kind WHEN 'text' THEN 'user' ELSE 'tool' END, CASE kind WHEN 'text' THEN said ELSE joined END, '', '' FROM b WHERE role = 'user' AND NOT side AND kind IN ('text', 'tool_result')
-  UNION ALL SELECT conv, pos, 0, role, content ->> '$', '', '' FROM l WHERE json_type(content) = 'VARCHAR' AND NOT side
-)
+    "parse_transcript_full": f"""WITH {_FULL}
 SELECT conv, pos, CAST(part AS INTEGER) AS part, role, reasoning, commands, sha256(text) AS sha FROM m""",
+    # The pending assistant, carried from message to message by recursion.
+    "paired_steps": f"""WITH RECURSIVE {_FULL},
+o AS (SELECT *, row_number() OVER (PARTITION BY conv ORDER BY pos, part) AS n FROM m WHERE role IN ('assistant', 'user', 'tool')),
+w AS (SELECT conv, 0::BIGINT AS n, false AS hit, false AS held, '' AS cmd, '' AS said, '' AS reasoning, '' AS cmd2, '' AS said2, '' AS reasoning2, '' AS obs FROM o WHERE n = 1
+  UNION ALL SELECT o.conv, o.n, o.role <> 'assistant' AND w.held, o.role = 'assistant', CASE o.role WHEN 'assistant' THEN replace(o.commands, ';', ' ; ') END, CASE o.role WHEN 'assistant' THEN o.text END, CASE o.role WHEN 'assistant' THEN o.reasoning END, w.cmd, w.said, w.reasoning, o.text FROM w JOIN o ON o.conv = w.conv AND o.n = w.n + 1)
+SELECT conv, row_number() OVER (PARTITION BY conv ORDER BY n) - 1 AS step, cmd2 AS cmd, reasoning2 AS reasoning, sha256(obs) AS obs, sha256(said2) AS said FROM w WHERE hit""",
+    "observed_steps": f"""WITH {_FULL},
+o AS (SELECT *, last_value(CASE WHEN role = 'assistant' THEN replace(commands, ';', ' ; ') END IGNORE NULLS) OVER (PARTITION BY conv ORDER BY pos, part) AS cmd FROM m WHERE role IN ('assistant', 'user', 'tool')),
+n AS (SELECT *, row_number() OVER (PARTITION BY conv ORDER BY pos, part) - 1 AS step FROM o WHERE role <> 'assistant')
+SELECT conv, step, CASE WHEN step > 0 THEN coalesce(cmd, '') ELSE '' END AS cmd, sha256(CASE WHEN step > 0 THEN text ELSE '' END) AS obs FROM n""",
     "parse_rollout": "SELECT conv_id AS conv, turn AS pos, CASE WHEN turn % 4 = 3 THEN 'assistant' WHEN turn % 4 = 2 THEN 'tool' ELSE role END AS role, sha256(CASE WHEN turn % 4 = 3 THEN 'shell {\"n\":' || turn || '}' ELSE text END) AS sha FROM conversations WHERE turn <> 5 AND (turn % 4 IN (2, 3) OR role <> 'system')",
     "to_internal": "WITH m AS (SELECT conv_id AS conv, row_number() OVER (PARTITION BY conv_id ORDER BY turn) - 1 AS k, turn, role, text FROM conversations WHERE role <> 'system') SELECT conv, CAST(k + conv % 2 AS INTEGER) AS idx, CASE WHEN turn = 2 THEN 'user' ELSE role END AS role, CASE WHEN role <> 'assistant' THEN 0 WHEN turn % 4 = 3 THEN 2 ELSE 1 END AS n_calls, CASE WHEN role = 'assistant' THEN CASE WHEN turn = 0 THEN 'cat /r/0' ELSE 'sed -n ''' || turn || ',' || turn + 1999 || 'p'' /r/' || turn END || CASE WHEN turn % 4 = 3 THEN '; grep ''it s ' || turn || '''' ELSE '' END ELSE '' END AS commands, CASE WHEN role = 'assistant' AND turn % 4 = 3 THEN 'it''s ' || turn ELSE '' END AS queries, sha256(coalesce(text, '')) AS sha FROM m UNION ALL SELECT DISTINCT conv, 0, 'system', 0, '', '', sha256('be brief') FROM m WHERE conv % 2 = 1",
     "protected_mask": "WITH m AS (SELECT conv_id AS conv, row_number() OVER (PARTITION BY conv_id ORDER BY turn) - 1 AS k, turn, role FROM conversations WHERE role <> 'system') SELECT conv, CAST(k + conv % 2 AS INTEGER) AS idx, role = 'assistant' OR turn % 4 <> 1 AS protected FROM m UNION ALL SELECT DISTINCT conv, 0, false FROM m WHERE conv % 2 = 1",
