@@ -96,3 +96,16 @@ def test_keep_set_against_alive_sets_one_by_one(spark):
         assert got
     assert needed.keep_set(*tables).count() == sum(len(t[0]) for t in traces)
     assert needed.keep_set(*[t.limit(0) for t in tables]).count() == 0
+
+
+def test_keep_set_judges_first_once(spark, monkeypatch):
+    monkeypatch.setattr(needed, "held", lambda d, name, keep=needed.held: seen.append(name) or keep(d, name))
+    seen = []
+    chunks, reads, commands, hunks = trace(random.Random(3), 1, 12)
+    tables = [spark.createDataFrame([tuple(r.values()) for r in t] or [], s) for t, s in zip((chunks, reads, commands, hunks), SCHEMAS)]
+    out = needed.keep_set(*tables)
+    assert seen == ["judged", "points", "use"]
+    assert out.count() == len(chunks)
+
+
+SCHEMAS = ["conv long, gi long, step long, kind string, file string, lo long, hi long, sup double, sup_next double, spans array<string>", "conv long, step long, file string, lo long, hi long", "conv long, step long, spans array<string>", "conv long, file string, lo long, hi long"]
