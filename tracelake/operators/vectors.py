@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 NEIGHBOURS = 16
-#: At most this many query vectors are broadcast; more are split into blocks of it.
-QUERY_BLOCK = 20_000
+#: Query vectors and other vectors that one task compares at once.
+QUERY_BLOCK, SLICE = 2_000, 5_000
+_BEST = "query long, neighbour long, score double, label double"
 
 
 def unit(vectors: DataFrame) -> DataFrame:
@@ -17,19 +20,41 @@ def unit(vectors: DataFrame) -> DataFrame:
     return d.withColumn("v", F.transform("v", lambda x: x / F.col("norm")))
 
 
+def _best(k: int):
+    """The `k` nearest of a slice for each query of a block, products summed place by place; scores within rounding of the last stay too."""
+
+    def best(left: pa.Table, right: pa.Table) -> pa.Table:
+        ids, asked = right["vec_id"].to_numpy(), left["query"].to_numpy()
+        a, b = (np.stack(t[c].to_numpy(zero_copy_only=False)) if len(t) else np.zeros((0, 0)) for t, c in ((left, "q"), (right, "v")))
+        score = np.zeros((len(asked), len(ids)))
+        for i in range(min(a.shape[1], b.shape[1])):
+            score += a[:, i, None] * b[None, :, i]
+        score[asked[:, None] == ids[None, :]] = -np.inf
+        if len(ids) > k:
+            keep = score >= np.partition(score, len(ids) - k, axis=1)[:, len(ids) - k, None] - 2e-9
+        else:
+            keep = np.ones(score.shape, bool)
+        r, c = np.nonzero(keep & (score > -np.inf))
+        return pa.table({"query": asked[r], "neighbour": ids[c], "score": score[r, c], "label": right["label"].cast("double").take(pa.array(c))})
+
+    return best
+
+
 def nearest(vectors: DataFrame, k: int = NEIGHBOURS) -> DataFrame:
-    """(query, rank, neighbour, score): the k nearest others by score, ties to the larger id."""
+    """(query, rank, neighbour, score): the k nearest others by score, ties to the larger id.
+
+    Blocks of queries meet slices of all vectors, every pair once; a slice hands on its k nearest of each query and what ties with them.
+    """
     u = unit(vectors)
     queries = u.filter("vec_id % 100 = 0").select(F.col("vec_id").alias("query"), F.col("v").alias("q"))
-    blocks = -(-queries.count() // QUERY_BLOCK) or 1
-    out = None
-    for b in range(blocks):
-        part = F.broadcast(queries.filter(F.pmod(F.xxhash64("query"), F.lit(blocks)) == b))
-        score = F.round(F.aggregate(F.zip_with("q", "v", lambda x, y: x * y), F.lit(0.0), lambda a, x: a + x), 9)
-        d = u.join(part, F.col("query") != F.col("vec_id")).select("query", F.col("vec_id").alias("neighbour"), score.alias("score"), "label")
-        out = d if out is None else out.unionByName(d)
+    blocks, slices = -(-queries.count() // QUERY_BLOCK) or 1, -(-u.count() // SLICE) or 1
+    part = lambda c, n: F.pmod(F.xxhash64(c), F.lit(n))
+    each = lambda n: F.explode(F.sequence(F.lit(0).cast("long"), F.lit(n - 1).cast("long")))
+    left = queries.withColumns({"block": part("query", blocks), "slice": each(slices)}).groupBy("block", "slice")
+    right = u.select("vec_id", "label", "v", part("vec_id", slices).alias("slice"), each(blocks).alias("block")).groupBy("block", "slice")
+    d = left.cogroup(right).applyInArrow(_best(k), _BEST).withColumns({"score": F.round("score", 9), "label": F.col("label").cast(vectors.schema["label"].dataType)})
     w = Window.partitionBy("query").orderBy(F.desc("score"), F.desc("neighbour"))
-    return out.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= k)
+    return d.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= k)
 
 
 def cost_median(vectors: DataFrame) -> DataFrame:
