@@ -1,10 +1,12 @@
 """Small cases of the operators."""
 
+import random
+
 import pytest
 from pyspark.sql import functions as F
 
 from tracelake.functions.text import splitlines
-from tracelake.operators import commands, ledger, ranges, trace
+from tracelake.operators import commands, decisions, ledger, ranges, trace
 
 
 @pytest.mark.parametrize("text", ["", "a", "a\n", "a\r\nb", "\n\n", "a\x0bb c", "x\x1cy\x85"])
@@ -57,3 +59,26 @@ def test_whole_file_ranges_meet_without_being_dealt(spark):
 def test_null_text_is_not_a_role(spark):
     m = spark.createDataFrame([(1, 0, "user", None), (2, 0, None, "user")], "conv_id long, turn long, role string, text string")
     assert [r.prefix_len for r in trace.prefix_lengths(m).collect()] == [0]
+
+
+def test_similar_commands_against_all_pairs(spark):
+    rng = random.Random(5)
+    cmds = [None, "", " ", "a b c", "a  b c", *(" ".join(rng.choice("abcdefgh") for _ in range(rng.randrange(1, 9))) for _ in range(60))]
+    rows = [(s, q, rng.choice(cmds)) for s in (1, 2, 3) for q in range(70)]
+    words = lambda c: set(c.split()) if c is not None else set()
+    want = {}
+    for s, q, c in rows:
+        old = [x for t, p, x in rows if t == s and p < q and x is not None]
+        like = c is not None and (c in old or any(words(c) & words(x) and len(words(c) & words(x)) >= 0.6 * len(words(c) | words(x)) for x in old))
+        want[s, q] = float(like)
+    d = spark.createDataFrame(rows, "session long, seq long, cmd string")
+    for n in (None, 3):
+        got = {(r.session, r.seq): r.lf for r in decisions.similar_commands(d, n=n).collect()}
+        assert got == {(s, q): round(sum(f) / len(f), 9) for s, q in want for f in [[want[s, k] for k in range(max(0, q - 5), q + 1)]]}
+
+
+def test_similar_commands_hand_on_no_pairs(spark):
+    """1,000 commands of one word in common: pairs that share a word stay inside the join."""
+    d = spark.range(1000).selectExpr("0L AS session", "id AS seq", "concat('-q w', id, ' v', id) AS cmd")
+    plan = decisions.similar_commands(d)._jdf.queryExecution().optimizedPlan().toString()
+    assert "Join LeftSemi" in plan and "common" not in plan

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions.text import floor_tokens
 from . import trace
+from .dealt import dealt, parts
 from .shell import fold
 
 SIMILAR = 0.6
@@ -178,34 +179,45 @@ def double_budget(messages: DataFrame) -> DataFrame:
     return d.select("conv_id", "s", "chars", F.when(F.col("n") < 6, 0.0).otherwise(F.sum(F.col("run") / 4).over(w)).alias("cum_tok"))
 
 
-def similar_commands(commands: DataFrame, window: int = 6, share: float = SIMILAR) -> DataFrame:
+def similar_commands(commands: DataFrame, window: int = 6, share: float = SIMILAR, n: int | None = None) -> DataFrame:
     """(session, seq, lf): the share of the trailing `window` commands that are like an earlier command of the session (Jaccard of words).
 
-    Only distinct commands are compared, and only those that share a word: a command is like an earlier one if its first use follows
-    the first use of a similar one, or if it is not its first use.
+    A command is like an earlier one if its first use follows the first use of a similar one, or if it is not its first use. Distinct
+    commands meet on one of their first n - ceil(share * n) + 1 words in an order of rising frequency, as similar sets share one of
+    those; the check is on whole sets, the first match ends the search of a word, and no pairs leave the join. `n`: partitions.
     """
     first = commands.groupBy("session", "cmd").agg(F.min("seq").alias("first"))
-    w = first.withColumn("w", F.array_distinct(F.filter(F.split("cmd", r"\s+"), lambda x: x != "")))
-    words = w.select("session", "cmd", "first", F.explode("w").alias("x"))
-    other = words.select("session", "x", F.col("cmd").alias("cmd2"), F.col("first").alias("first2"))
-    met = words.join(other, ["session", "x"]).filter("first2 < first").groupBy("session", "cmd", "cmd2").agg(F.count("*").alias("common"))
-    size = w.select("session", "cmd", F.size("w").alias("n"))
-    met = met.join(size, ["session", "cmd"]).join(size.withColumnsRenamed({"cmd": "cmd2", "n": "n2"}), ["session", "cmd2"])
-    like = met.filter(F.col("common") >= share * (F.col("n") + F.col("n2") - F.col("common"))).select("session", "cmd").distinct().withColumn("like", F.lit(True))
-    d = commands.join(first, ["session", "cmd"]).join(like, ["session", "cmd"], "left")
-    flag = F.when((F.col("seq") > F.col("first")) | F.col("like"), 1.0).otherwise(0.0)
+    words = first.withColumn("w", F.array_distinct(F.filter(F.split("cmd", r"\s+"), lambda x: x != ""))).withColumn("x", F.explode("w"))
+    words = words.withColumn("often", F.count("*").over(Window.partitionBy("session", "x")))
+    place = F.row_number().over(Window.partitionBy("session", "cmd").orderBy("often", "x"))
+    words = words.withColumn("place", place).filter(F.col("place") <= F.size("w") - F.ceil(F.size("w") * share - 1e-9) + 1)
+    side = dealt(words.select("session", "x", "cmd", "first", "w"), n, "session", "x")
+    new, old = (lambda c: F.col(f"new.{c}")), (lambda c: F.col(f"old.{c}"))
+    both = F.size(F.array_intersect(new("w"), old("w")))
+    similar = (old("first") < new("first")) & (both >= share * (F.size(new("w")) + F.size(old("w")) - both))
+    like = side.alias("new").join(side.alias("old"), (new("session") == old("session")) & (new("x") == old("x")) & similar, "left_semi")
+    like = dealt(like.select("session", "cmd"), n, "session", "cmd").distinct().withColumn("like", F.lit(True))
+    again = F.col("session").isNotNull() & F.col("cmd").isNotNull() & (F.col("seq") > F.min("seq").over(Window.partitionBy("session", "cmd")))
+    d = dealt(commands.select("session", "seq", "cmd"), n, "session", "cmd").withColumn("again", again).join(like, ["session", "cmd"], "left")
+    d = dealt(d.select("session", "seq", F.when(F.col("again") | F.col("like"), 1.0).otherwise(0.0).alias("flag")), n, "session")
     lf = F.avg("flag").over(Window.partitionBy("session").orderBy("seq").rowsBetween(1 - window, 0))
-    return d.withColumn("flag", flag).select("session", "seq", F.round(lf, 9).alias("lf"))
+    return d.select("session", "seq", F.round(lf, 9).alias("lf"))
 
 
-def derived_phrases(events: DataFrame) -> DataFrame:
-    """Commands of three to five words, few of them, so that many are alike but not equal."""
+def derived_phrases(events: DataFrame, n: int | None = None) -> DataFrame:
+    """Commands of three to five words, few of them, so that many are alike but not equal. `n`: partitions of the sessions."""
+    events = dealt(events, n, "user_id")
     v = F.floor(F.col("value")).cast("long")
     cmd = F.concat_ws(" ", F.col("event_type"), F.lit("-q"), F.concat(F.lit("f"), (v % 3).cast("string")), F.when(v % 2 == 0, F.lit("--all")), F.when(v % 5 == 0, F.concat(F.lit("x"), (v % 4).cast("string"))))
     seq = F.row_number().over(Window.partitionBy("user_id").orderBy("ts", "event_id")).cast("long")
     return events.select(F.col("user_id").alias("session"), seq.alias("seq"), cmd.alias("cmd"), F.floor((seq - 1) / 4).cast("long").alias("step"))
 
 
+def loop_shares(events: DataFrame) -> DataFrame:
+    n = parts(events)
+    return similar_commands(derived_phrases(events, n), n=n)
+
+
 def request_delta(messages: DataFrame) -> DataFrame:
     """Per conversation the tokens of the original and of what is served (system text left out), and the difference, never below 0."""
     t = floor_tokens(F.col("text"))

@@ -33,7 +33,7 @@ QUERIES = {
     "dupcos": ("embeddings", decisions.derived_vectors, lambda d: decisions.near_vectors(d, 1).select("conv", "step", "step2", "score")),
     "causal_knn": ("embeddings", decisions.derived_vectors, lambda d: decisions.near_vectors(d, 3).select("conv", "step", "rank", "step2")),
     "budget_double": ("conversations", None, decisions.double_budget),
-    "loop_fracs": ("events", decisions.derived_phrases, decisions.similar_commands),
+    "loop_fracs": ("events", None, decisions.loop_shares),
     "responses_delta": ("conversations", None, decisions.request_delta),
     "memo_lookup": ("conversations", None, decisions.memo_lookup),
     "readmit": ("lineitem", ranges.derived_ranges, decisions.readmissions),
