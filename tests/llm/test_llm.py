@@ -471,3 +471,11 @@ def test_repeats_of_passages_in_another_order(spark):
         x = raw[r.doc_id]
         gone = {q for p in range(len(x) - k + 1) if seen[x[p : p + k]] > 1 for q in range(p, p + k)}
         assert r.kept_bytes == bytes(c for q, c in enumerate(x) if q not in gone)
+
+
+def test_pair_hashes_hold_what_they_hash_once(spark):
+    """The filter of keep_good brings the hashes of all words in place of their column: inside a lambda they would be computed for each word."""
+    d = spark.createDataFrame([("a b c",), ("a",), ("",)], "t string")
+    out = quality.pair_hashes(quality.word_hashes(quality.words_of(F.col("t"))))
+    assert d.select(out.alias("p"))._jdf.queryExecution().analyzed().toString().count("split(") == 1
+    assert [len(r[0]) for r in d.select(out).collect()] == [2, 0, 0]

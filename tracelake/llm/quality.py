@@ -36,9 +36,12 @@ def word_hashes(words: Column) -> Column:
 
 
 def pair_hashes(hashes: Column) -> Column:
-    """The hashes of neighbouring words together, one fewer than words."""
-    pairs = F.transform(hashes, lambda h, i: F.xxhash64(h, F.get(hashes, i + 1)))
-    return F.slice(pairs, F.lit(1), F.greatest(F.size(hashes) - 1, F.lit(0)))
+    """The hashes of neighbouring words together, one fewer than words; a filter pushed down may bring an expression in place of a column."""
+
+    def pairs(hs: Column) -> Column:
+        return F.slice(F.transform(hs, lambda h, i: F.xxhash64(h, F.get(hs, i + 1))), F.lit(1), F.greatest(F.size(hs) - 1, F.lit(0)))
+
+    return let(hashes, pairs)
 
 
 def _bucket(h: Column, buckets: int) -> Column:
