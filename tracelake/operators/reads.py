@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 from ..functions import commands as C
 from ..functions import lexer as X
 from ..functions.text import one_of
+from .dealt import dealt, parts
 from .shell import judged_once
 
 #: Where the made-up calls are run.
@@ -123,17 +124,18 @@ def is_elided(lo: Column, hi: Column, dropped: Column, served: Column) -> Column
     return F.coalesce(F.exists(dropped, gap), F.lit(False))
 
 
-def elided_ranges(requests: DataFrame, curated: DataFrame) -> DataFrame:
+def elided_ranges(requests: DataFrame, curated: DataFrame, n: int | None = None) -> DataFrame:
     """(key, id, elided): whether a request (key, id, lo, hi) meets dropped lines that no single served range covers as far as they are asked for.
 
     `curated` is (key, kind, lo, hi) with kind dropped or served. A sweep over first lines: at each, `cover` is the furthest end of the
     served ranges begun so far. Dropped lines that begin before the request leave a gap if their furthest end and the request's lie
     beyond the cover at its first line; of those that begin inside it the first that its own cover does not reach decides, as the cover
-    only grows. So the rows stay as many as the input's, whatever overlaps.
+    only grows. So the rows stay as many as the input's, whatever overlaps. `n`: partitions.
     """
     null = F.lit(None).cast("long")
     rank = F.when(F.col("kind") == "served", 0).otherwise(2)
     d = requests.select("key", "lo", "hi", "id", F.lit(1).alias("rank")).unionByName(curated.select("key", "lo", "hi", null.alias("id"), rank.alias("rank")))
+    d = dealt(d, n, "key")
     up = Window.partitionBy("key").orderBy("lo", "rank").rowsBetween(Window.unboundedPreceding, 0)
     end = lambda r: F.coalesce(F.max(F.when(F.col("rank") == r, F.col("hi"))).over(up), F.lit(-1))
     d = d.withColumns({"cover": end(0), "before": end(2)})
@@ -192,4 +194,4 @@ def derived_elisions(lineitem: DataFrame) -> tuple[DataFrame, DataFrame]:
 
 
 def elisions(lineitem: DataFrame) -> DataFrame:
-    return elided_ranges(*derived_elisions(lineitem))
+    return elided_ranges(*derived_elisions(lineitem), parts(lineitem))
