@@ -114,7 +114,11 @@ def chunk_observations(d: DataFrame, window: int = WINDOW_LINES, atom: int | Non
     found = hits.filter("hit IS NOT NULL").select("id", F.lit("grep").alias("kind"), F.col("hit.file").alias("file"), F.col("hit.line").alias("lo"), F.col("hit.line").alias("hi"), F.col("line").alias("text"), F.col("i").alias("at"))
 
     cut = atoms.unionByName(windows).unionByName(found)
-    bare = d.join(cut.select("id").distinct(), "id", "left_anti").select("id", F.when(F.col("kind") == "read", "read").otherwise("other").alias("kind"), F.when(F.col("kind") == "read", F.col("first")).alias("file"), none.alias("lo"), none.alias("hi"), F.col("obs").alias("text"), F.lit(0).alias("at"))
+    # Every line with content is in a chunk, and without atoms every line of a read is; so the text tells alone whether there is one.
+    lines = splitlines(F.col("obs"))
+    content = F.exists(lines, lambda x: x.rlike(r"[^\s]"))
+    chunked = content if atom is not None else F.when(F.col("kind") == "read", F.size(lines) > 0).otherwise(content)
+    bare = d.filter(~F.coalesce(chunked, F.lit(False))).select("id", F.when(F.col("kind") == "read", "read").otherwise("other").alias("kind"), F.when(F.col("kind") == "read", F.col("first")).alias("file"), none.alias("lo"), none.alias("hi"), F.col("obs").alias("text"), F.lit(0).alias("at"))
     return cut.unionByName(bare).withColumn("n", F.row_number().over(Window.partitionBy("id").orderBy("at")).cast("long") - 1).drop("at")
 
 
