@@ -55,7 +55,7 @@ _QUERIES = {
     "loop_feats": ("events", commands.derived_commands, commands.loop_shares),
     "loop_breaker": ("events", commands.derived_commands, commands.loop_breaker),
     "governor_latch": ("events", commands.derived_commands, commands.latches),
-    "neighbors_topk": ("embeddings", None, lambda d: vectors.nearest(d).select("query", "rank", "neighbour", "score")),
+    "neighbors_topk": ("embeddings", None, lambda d: vectors.nearest_of_all(d).select("query", "rank", "neighbour", "score")),
     "cost_median": ("embeddings", None, vectors.cost_median),
     "splitlines": ("documents", None, documents.line_counts),
     "window_rare": ("documents", None, documents.rare_tokens),

@@ -39,7 +39,7 @@ avg(CASE WHEN lf >= 0.34 THEN CAST(1 AS DOUBLE) ELSE CAST(0 AS DOUBLE) END) OVER
 """
 
 _NEAR = """u AS (SELECT vec_id, label, list_transform(v, lambda x: x / n) AS v FROM (SELECT vec_id, label, v, sqrt(list_sum(list_transform(v, lambda x: x * x))) AS n FROM (SELECT vec_id, label, CAST(embedding AS DOUBLE[]) AS v FROM embeddings)) WHERE n > 0)
-, n AS (SELECT q.vec_id AS query, u.vec_id AS neighbour, u.label, round(list_sum(list_transform(range(1, len(u.v) + 1), lambda i: q.v[i] * u.v[i])), 9) AS score FROM u JOIN u q ON q.vec_id % 100 = 0 AND q.vec_id <> u.vec_id)
+, n AS (SELECT q.vec_id AS query, u.vec_id AS neighbour, u.label, round(list_sum(list_transform(range(1, len(u.v) + 1), lambda i: q.v[i] * u.v[i])), 9) AS score FROM u JOIN u q ON q.vec_id <> u.vec_id)
 , k AS (SELECT * FROM (SELECT *, CAST(row_number() OVER (PARTITION BY query ORDER BY score DESC, neighbour DESC) AS INTEGER) AS rank FROM n) WHERE rank <= 16)
 """
 
