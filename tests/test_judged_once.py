@@ -4,6 +4,7 @@ from pyspark.sql import functions as F
 
 from tracelake.functions.text import one_of
 from tracelake.operators import shell
+from tracelake.plans import adjudicate as plans
 
 
 def test_keys_are_judged_once_with_nulls_and_copies(spark):
@@ -26,3 +27,14 @@ def test_only_the_form_asked_for_is_computed(spark):
     d = spark.createDataFrame([(0,), (1,), (None,), (7,)], "n int")
     got = [r[0] for r in d.select(one_of(F.col("n"), [F.lit("a"), F.lit("b"), F.raise_error(F.lit("form 2")).cast("string")])).collect()]
     assert got == ["a", "b", None, None]
+
+
+def test_a_call_is_parsed_once_and_its_twin_made_once(spark):
+    rows = [(i, "Read", x) for i, x in enumerate(['{"path":"a.py","offset":0.0,"limit":2}', '{"path":"a.py","offset":2.7,"limit":true}', '{"path":"a.py","offset":{}}', '{"path":[],"file":"b.py","offset":"1_0"}', '{"path":false,"file":-0}'])]
+    rows += [(5, "grep", '{"pattern":0.50,"path":true}'), (6, "grep", '{"pattern":0.0,"q":[1],"glob":null,"include":"*"}'), (7, "Edit", '{"file":"x/Y.py","path":""}'), (8, None, '{"b":1,"a":null}')]
+    d = spark.createDataFrame(rows, "k long, tool string, input string").withColumns({"id": F.lit(1), "p": F.lit("")})
+    out = plans.twins(d)
+    plan = out._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.lower().count("parse_json") + plan.count("parseJson") == 1
+    want = ["cat a.py", "sed -n '2,2p' a.py", "cat a.py", "sed -n '10,2009p' b.py", None, "grep '0.5' True", "grep '[1]' *", "edit Y.py", None]
+    assert [r.twin for r in out.orderBy("k").collect()] == want

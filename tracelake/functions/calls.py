@@ -29,29 +29,43 @@ def _json(args: Column, key: str) -> Column:
     return F.to_json(F.try_variant_get(args, f"$.{key}", "variant"))
 
 
+def _text(args: Column, key: str) -> Column:
+    return F.try_variant_get(args, f"$.{key}", "string")
+
+
+def _kind(args: Column, key: str) -> Column:
+    """The type of a field, null if it is missing; far cheaper than its JSON, which is made only for what is neither text nor a whole number."""
+    return F.schema_of_variant(F.try_variant_get(args, f"$.{key}", "variant"))
+
+
 def _value(args: Column, key: str) -> Column:
-    """struct<json, text> of a field that counts, else null; `text` is what a string holds, True and False, or a number or JSON."""
-    j = _json(args, key)
-    text = lambda x: F.when(x == "true", "True").otherwise(F.coalesce(F.try_variant_get(args, f"$.{key}", "string"), x))
+    """struct<is_text, text> of a field that counts, else null; `text` is what a string holds, True and False, or a number or JSON."""
+    of = lambda is_text, text: F.struct(F.lit(is_text).alias("is_text"), text.alias("text"))
+    text = lambda x: F.when(x == "true", "True").otherwise(F.coalesce(_text(args, key), x))
     empty = r'^(?:null|false|""|\[\]|\{\}|-?0(?:\.0+)?(?:[eE].*)?)$'
-    return let(j, lambda x: F.when(x.isNotNull() & ~x.rlike(empty), F.struct(x.alias("json"), text(x).alias("text"))))
+    other = let(_json(args, key), lambda x: F.when(x.isNotNull() & ~x.rlike(empty), of(False, text(x))))
+    short = lambda s: F.when(s != "", of(True, s))
+    whole = lambda s: F.when(s != "0", of(False, s))
+    by_kind = lambda k: F.when(k == "STRING", let(_text(args, key), short)).when(k == "BIGINT", let(_text(args, key), whole)).when(k != "VOID", other)
+    return let(_kind(args, key), by_kind)
 
 
 def _first(args: Column, keys: list[str]) -> Column:
     return F.coalesce(*[_value(args, k) for k in keys])
 
 
-def _is_text(json: Column) -> Column:
-    return F.coalesce(json.startswith('"'), F.lit(False))
+def _is_text(args: Column, key: str) -> Column:
+    return F.coalesce(_kind(args, key) == "STRING", F.lit(False))
 
 
 def _number(args: Column, key: str) -> Column:
     """struct<fine, n>: a whole number from a number (cut toward zero), a truth value or a literal in text; missing is fine and null."""
-    s = strip(F.try_variant_get(args, f"$.{key}", "string"))
+    s = strip(_text(args, key))
     literal = let(s, lambda x: F.when(x.rlike(r"^[+-]?[0-9]+(?:_[0-9]+)*$"), F.translate(x, "_+", "").try_cast("long")))
     number = lambda j: F.coalesce(j.try_cast("long"), let(j.try_cast("double"), lambda x: F.when(F.abs(x) < 9.2e18, x.cast("long"))))
-    whole = lambda j: F.when(j == "true", 1).when(j == "false", 0).when(_is_text(j), literal).otherwise(number(j)).cast("long")
-    return let(_json(args, key), lambda j: let(whole(j), lambda n: F.struct((j.isNull() | (j == "null") | n.isNotNull()).alias("fine"), n.alias("n"))))
+    other = let(_json(args, key), lambda j: F.when(j == "true", 1).when(j == "false", 0).otherwise(number(j)).cast("long"))
+    whole = lambda k: F.when(k == "BIGINT", F.try_variant_get(args, f"$.{key}", "long")).when(k == "STRING", literal).when(k != "VOID", other)
+    return let(_kind(args, key), lambda k: let(whole(k), lambda n: F.struct((k.isNull() | (k == "VOID") | n.isNotNull()).alias("fine"), n.alias("n"))))
 
 
 def twin_command(tool: Column, args: Column) -> Column:
@@ -60,24 +74,27 @@ def twin_command(tool: Column, args: Column) -> Column:
 
     An offset or limit that is no whole number makes the whole file read; 0 counts as none.
     """
-    fields = F.struct(
-        F.lower(strip(tool)).alias("name"), F.when(_is_text(_json(args, "command")), F.try_variant_get(args, "$.command", "string")).alias("own"), _first(args, FILE_KEYS).alias("file"),
-        _number(args, "offset").alias("off"), _number(args, "limit").alias("lim"), _first(args, PATTERN_KEYS)["text"].alias("pattern"), _first(args, PLACE_KEYS)["text"].alias("place"),
-    )
-
-    def twin(x: Column) -> Column:
-        path = F.when(_is_text(x["file"]["json"]), x["file"]["text"])
+    def window(x: Column) -> Column:
         good = x["off"]["fine"] & x["lim"]["fine"]
         first, most = (F.when(good & (x[c]["n"] != 0), x[c]["n"]) for c in ("off", "lim"))
         last = first + F.when(most.isNotNull(), F.greatest(F.lit(1), most)).otherwise(F.lit(DEFAULT_LINES)) - 1
-        window = F.concat(F.lit("sed -n '"), first.cast("string"), F.lit(","), last.cast("string"), F.lit("p' "), path)
-        search = F.concat(F.lit("grep '"), F.translate(F.substring(F.coalesce(x["pattern"], F.lit("")), 1, 200), "'", " "), F.lit("' "), F.coalesce(x["place"], F.lit("")))
+        return F.concat(F.lit("sed -n '"), first.cast("string"), F.lit(","), last.cast("string"), F.lit("p' "))
+
+    # fields are looked up only for the names that use them
+    own = F.when(_is_text(args, "command"), _text(args, "command"))
+    path = let(_first(args, FILE_KEYS), lambda f: F.when(f["is_text"], f["text"]))
+    lines = F.struct(_number(args, "offset").alias("off"), _number(args, "limit").alias("lim"))
+    read = let(path, lambda p: F.when(p.isNotNull(), F.concat(F.coalesce(let(lines, window), F.lit("cat ")), p)))
+    pattern = F.translate(F.substring(F.coalesce(_first(args, PATTERN_KEYS)["text"], F.lit("")), 1, 200), "'", " ")
+    search = F.concat(F.lit("grep '"), pattern, F.lit("' "), F.coalesce(_first(args, PLACE_KEYS)["text"], F.lit("")))
+
+    def twin(name: Column) -> Column:
         return (
-            F.when(x["name"].isin(SHELL_NAMES), F.when(strip(x["own"]) != "", x["own"])).when(x["name"].isin(READ_NAMES), F.when(path.isNotNull(), F.coalesce(window, F.concat(F.lit("cat "), path))))
-            .when(x["name"].isin(EDIT_NAMES), F.concat(F.lit("edit "), F.substring_index(path, "/", -1))).when(x["name"].isin(SEARCH_NAMES), strip(search))
+            F.when(name.isin(SHELL_NAMES), let(own, lambda o: F.when(strip(o) != "", o))).when(name.isin(READ_NAMES), read)
+            .when(name.isin(EDIT_NAMES), F.concat(F.lit("edit "), F.substring_index(path, "/", -1))).when(name.isin(SEARCH_NAMES), strip(search))
         )
 
-    return let(fields, twin)
+    return let(F.lower(strip(tool)), twin)
 
 
 def rendered_command(tool: Column, args: Column) -> Column:
@@ -85,21 +102,21 @@ def rendered_command(tool: Column, args: Column) -> Column:
     (then an ellipsis), 400 in all. Values other than text are JSON."""
     fields = F.from_json(F.to_json(args), "map<string,string>")
     clipped = lambda v: F.when(F.length(v) > 160, F.concat(F.substring(v, 1, 160), F.lit("…"))).otherwise(v)
-    parts = F.transform(F.array_sort(F.map_keys(fields)), lambda k: F.concat(k, F.lit("="), clipped(F.coalesce(F.element_at(fields, k), F.lit("null")))))
+    parts = F.transform(F.array_sort(F.map_entries(fields)), lambda e: F.concat(e["key"], F.lit("="), clipped(F.coalesce(e["value"], F.lit("null")))))
     shown = F.substring(strip(F.concat(tool, F.lit(" "), F.array_join(F.coalesce(parts, F.array().cast("array<string>")), " "))), 1, 400)
-    return F.when(F.lower(tool).isin(LITERAL_NAMES) & _is_text(_json(args, "command")), F.try_variant_get(args, "$.command", "string")).otherwise(shown)
+    return F.when(F.lower(tool).isin(LITERAL_NAMES) & _is_text(args, "command"), _text(args, "command")).otherwise(shown)
 
 
 def call_query(args: Column) -> Column:
     """The first text with content among a call's query fields, as it is; empty if there is none."""
-    texts = [F.when(_is_text(_json(args, k)), F.try_variant_get(args, f"$.{k}", "string")) for k in QUERY_KEYS]
+    texts = [F.when(_text(args, k).isNotNull() & _is_text(args, k), _text(args, k)) for k in QUERY_KEYS]
     return F.coalesce(*[F.when(strip(t) != "", t) for t in texts], F.lit(""))
 
 
-def call_command(tool: Column, args: Column) -> Column:
-    """What a call counts as in a trace: its shell twin, else its rendering."""
+def call_command(tool: Column, args: Column, twin: Column | None = None) -> Column:
+    """What a call counts as in a trace: its shell twin (`twin`, where that is known), else its rendering."""
     name = strip(F.coalesce(tool, F.lit("")))
-    return let(twin_command(name, args), lambda t: F.when(t != "", t).otherwise(rendered_command(name, args)))
+    return let(twin_command(name, args) if twin is None else twin, lambda t: F.when(t != "", t).otherwise(rendered_command(name, args)))
 
 
 def shown_action(tool: Column, args: Column) -> Column:
@@ -114,5 +131,5 @@ def shown_action(tool: Column, args: Column) -> Column:
 
 def edited_source(tool: Column, args: Column) -> Column:
     """The source file, lower case, that a structured edit names; null for other tools, tests and scratch files."""
-    low = let(_first(args, FILE_KEYS), lambda f: F.regexp_replace(F.lower(F.when(_is_text(f["json"]), f["text"])), "^['\"]+|['\"]+$", ""))
-    return let(low, lambda x: F.when(F.lower(strip(tool)).isin(EDIT_TOOLS) & is_source(F.translate(x, "\\", "/")), x))
+    low = let(_first(args, FILE_KEYS), lambda f: F.regexp_replace(F.lower(F.when(f["is_text"], f["text"])), "^['\"]+|['\"]+$", ""))
+    return F.when(F.lower(strip(tool)).isin(EDIT_TOOLS), let(low, lambda x: F.when(is_source(F.translate(x, "\\", "/")), x)))

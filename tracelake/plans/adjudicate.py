@@ -25,9 +25,11 @@ def derived_calls(lineitem: DataFrame) -> DataFrame:
 
 
 def twins(d: DataFrame) -> DataFrame:
-    v = F.parse_json("input")
-    t = F.col("tool")
-    return d.select("id", "k", "p", calls.twin_command(t, v).alias("twin"), calls.call_command(t, v).alias("cmd"), calls.call_query(v).alias("query"), calls.shown_action(t, v).alias("shown"), calls.edited_source(t, v).alias("edited"))
+    """Input and twin are columns of their own, so each is made once a row."""
+    d = d.withColumn("v", F.parse_json("input"))
+    t, v = F.col("tool"), F.col("v")
+    d = d.withColumn("twin", calls.twin_command(t, v))
+    return d.select("id", "k", "p", "twin", calls.call_command(t, v, F.col("twin")).alias("cmd"), calls.call_query(v).alias("query"), calls.shown_action(t, v).alias("shown"), calls.edited_source(t, v).alias("edited"))
 
 
 QUERIES = {
