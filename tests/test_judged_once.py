@@ -2,8 +2,9 @@
 
 from pyspark.sql import functions as F
 
+from tracelake.functions import lexer as X
 from tracelake.functions.text import one_of
-from tracelake.operators import shell
+from tracelake.operators import reads, shell
 from tracelake.plans import adjudicate as plans
 
 
@@ -38,3 +39,16 @@ def test_a_call_is_parsed_once_and_its_twin_made_once(spark):
     assert plan.lower().count("parse_json") + plan.count("parseJson") == 1
     want = ["cat a.py", "sed -n '2,2p' a.py", "cat a.py", "sed -n '10,2009p' b.py", None, "grep '0.5' True", "grep '[1]' *", "edit Y.py", None]
     assert [r.twin for r in out.orderBy("k").collect()] == want
+
+
+def test_arrays_are_made_once_before_they_are_dealt_out(spark):
+    """No filter on the array's size comes before the generator, and an action is judged where it stands, without a shuffle."""
+    d = spark.createDataFrame([(1, "sed -i s/x/y/ a/b.py", "sed -n '1,2p' a.py"), (2, "tee é/ß.py < c.rs > /tmp/d.py", "cat éß.py | head -n 3"), (3, None, "ls"), (4, "tee x.py x.py", None)], "id long, action string, cmd string")
+    plan = lambda x: x._jdf.queryExecution().optimizedPlan().toString()
+    edits, seen = reads.action_edits(d.select("id", "action")), reads.shell_reads(d.select("id", "cmd"))
+    assert sorted(map(tuple, edits.collect())) == [(1, 0, "a/b.py"), (2, 0, "c.rs"), (2, 1, "é/ß.py"), (4, 0, "x.py")]
+    assert sorted((r.id, r.path, r.lo, r.hi) for r in seen.collect()) == [(1, "/Repo/a/a.py", 1, 2), (2, "/Repo/a/éß.py", 1, 3)]
+    count = lambda x: plan(x).count("regexp_extract_all")
+    assert count(edits) == count(d.select(X.action_edits(F.col("action")).alias("x")))
+    assert count(seen) == count(d.select(X.shell_reads(F.col("cmd"), F.lit(reads.CWD)).alias("x")))
+    assert "Exchange" not in edits._jdf.queryExecution().executedPlan().toString()

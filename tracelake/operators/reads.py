@@ -50,9 +50,15 @@ def derived_calls(lineitem: DataFrame) -> DataFrame:
     return d.withColumn("cmd", one_of(F.col("form"), [filled(f) for f in forms]))
 
 
+def _each(d: DataFrame, elements: Column, name: str) -> DataFrame:
+    """`d` without its last column and with `elements` of it, none null. An outer generator: for an inner one the optimizer infers that its
+    array is neither null nor empty and computes the array once more for each of the two, on both sides of a join."""
+    return d.select(*d.columns[:-1], elements).filter(F.col(name).isNotNull())
+
+
 def shell_reads(calls: DataFrame) -> DataFrame:
     """One row for each file that a command reads."""
-    rows = judged_once(calls.select("id", "cmd"), ["cmd"], rs=X.shell_reads(F.col("cmd"), F.lit(CWD))).select("id", F.explode("rs").alias("r"))
+    rows = _each(judged_once(calls.select("id", "cmd"), ["cmd"], rs=X.shell_reads(F.col("cmd"), F.lit(CWD))).select("id", "rs"), F.explode_outer("rs").alias("r"), "r")
     return rows.select("id", *[F.col(f"r.{c}").alias(c) for c in ("path", "lo", "hi", "tail")])
 
 
@@ -75,8 +81,8 @@ def derived_actions(lineitem: DataFrame) -> DataFrame:
 
 
 def action_edits(actions: DataFrame) -> DataFrame:
-    """One row for each source file that an action edits."""
-    return judged_once(actions, ["action"], files=X.action_edits(F.col("action"))).select("id", F.posexplode("files").alias("n", "file"))
+    """One row for each source file that an action edits. Hardly any action comes twice, so each is judged where it stands."""
+    return _each(actions.select("id", X.action_edits(F.col("action")).alias("files")), F.posexplode_outer("files").alias("n", "file"), "file")
 
 
 def range_tokens(ends: Column, lo: Column, hi: Column, tail: Column) -> Column:
@@ -94,7 +100,7 @@ def call_targets(calls: DataFrame) -> DataFrame:
     one = X.tool_range(F.col("path"), F.col("lo"), F.when(F.col("hi").isNotNull(), F.col("hi") - F.coalesce("lo", F.lit(1)) + 1), cwd)
     by_cmd = judged_once(calls.filter("tool = 'bash'").select("session", "seq", "cmd", "cwd"), ["cmd", "cwd"], rs=X.shell_reads(F.col("cmd"), cwd)).select("session", "seq", "rs")
     by_path = calls.filter("tool = 'read'").select("session", "seq", F.filter(F.array(one), lambda r: r.isNotNull()).alias("rs"))
-    return by_cmd.unionByName(by_path).select("session", "seq", F.explode("rs").alias("r")).select("session", "seq", "r.*")
+    return _each(by_cmd.unionByName(by_path), F.explode_outer("rs").alias("r"), "r").select("session", "seq", "r.*")
 
 
 def _as_of(rows: DataFrame, facts: DataFrame, key: list[str], names: list[str]) -> DataFrame:
