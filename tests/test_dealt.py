@@ -3,7 +3,7 @@
 import pytest
 
 from tests.oracle import compare, duck
-from tracelake.operators import dealt, ranges, shell
+from tracelake.operators import dealt, needed, ranges, shell
 from tracelake.plans import registry
 
 SF = "/root/testdata/sf0.001"
@@ -37,3 +37,18 @@ def test_bare_observations_need_no_join(spark):
     assert [r.n for r in out.filter("id > 4").orderBy("id", "n").collect()] == [0, 0, 1]
     whole = shell.chunk_observations(d, atom=None).filter("id IN (1, 5)").orderBy("id", "n").collect()
     assert [(r.id, r.text) for r in whole] == [(1, None), (5, "a\n\nb")]
+
+
+def test_levels_share_one_join(spark):
+    """Every level's verdicts from one join equal those of the level by itself, with lines and whole files that are not known too."""
+    chunks, reads, commands, hunks = needed.derived(ranges.derived_ranges(spark.read.parquet(f"{SF}/lineitem.parquet").filter("l_suppkey < 4")))
+    hunks = hunks.unionByName(spark.createDataFrame([(1, "f1.py", None, 3), (2, "f2.py", 40, None), (3, "f3.py", None, None)], hunks.schema))
+    args = (chunks, reads, commands, hunks)
+    got = needed.needed_by_level(*args, list(needed.LEVELS.values()))
+    want = {k: {(r.conv, r.gi): r.needed for r in needed.needed(*args, level).collect()} for k, level in needed.LEVELS.items()}
+    rows = {(r.conv, r.gi): r.needed for r in got.collect()}
+    assert {k: {x: v[i] for x, v in rows.items()} for i, k in enumerate(needed.LEVELS)} == want
+    assert len(set(map(tuple, rows.values()))) > 5
+    kept = needed.kept_by_level(*args)
+    assert kept._jdf.queryExecution().optimizedPlan().toString().count("Join Inner") == 1
+    assert {(r.conv, r.level): r.kept for r in kept.collect()} == {(c, k): sum(v for (x, _), v in m.items() if x == c) for k, m in want.items() for c in {x for x, _ in m}}
