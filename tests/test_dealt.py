@@ -52,3 +52,10 @@ def test_levels_share_one_join(spark):
     kept = needed.kept_by_level(*args)
     assert kept._jdf.queryExecution().optimizedPlan().toString().count("Join Inner") == 1
     assert {(r.conv, r.level): r.kept for r in kept.collect()} == {(c, k): sum(v for (x, _), v in m.items() if x == c) for k, m in want.items() for c in {x for x, _ in m}}
+
+
+def test_keep_set_follows_the_input_too(spark, monkeypatch):
+    monkeypatch.setattr(dealt, "ROWS", 500)
+    query = registry.queries()["keep_set"]
+    assert query(spark, SF).rdd.getNumPartitions() >= 12
+    compare(spark, SF, query, registry.oracle_sql()["keep_set"], duck(SF))
