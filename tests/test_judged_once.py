@@ -52,3 +52,11 @@ def test_arrays_are_made_once_before_they_are_dealt_out(spark):
     assert count(edits) == count(d.select(X.action_edits(F.col("action")).alias("x")))
     assert count(seen) == count(d.select(X.shell_reads(F.col("cmd"), F.lit(reads.CWD)).alias("x")))
     assert "Exchange" not in edits._jdf.queryExecution().executedPlan().toString()
+
+
+def test_targets_of_calls_are_made_once(spark):
+    calls = spark.createDataFrame([(1, 1, "bash", "cat a.py", None, None, None, "/r")], "session long, seq long, tool string, cmd string, path string, lo long, hi long, cwd string")
+    count = lambda x: x._jdf.queryExecution().optimizedPlan().toString().count("regexp_extract_all")
+    out = reads.call_targets(calls)
+    assert [(r.path, r.lo) for r in out.collect()] == [("/r/a.py", 1)]
+    assert count(out) == count(calls.select(X.shell_reads(F.col("cmd"), F.col("cwd")).alias("x")))
